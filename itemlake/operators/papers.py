@@ -15,6 +15,7 @@ from itemlake import constants as C
 from itemlake.operators.bank import active
 from itemlake.operators.ordered import by_range, ordered_scan, ranked_by_digest
 from itemlake.operators.select import walk
+from itemlake.session import cut_lineage
 
 ROW = ["paper_id", "question_id", "position", "paper_section", "display_number", "locked"]
 
@@ -279,7 +280,8 @@ def alternatives(rows: DataFrame, questions: DataFrame, seed: Column, count: int
     Same subject, chapter (NULL equals NULL), section type and, if set, difficulty; active and
     not in the paper. Rows never meet whole pools: every question has a shuffled place in its
     pool, the places a paper already uses are known, and the j-th free place is found by a
-    running count over the used ones.
+    running count over the used ones. Each stage feeds several branches and is written once, in
+    narrow columns.
     """
     base = ["subject", "chapter", "section_type"]
     graded = F.nullif("difficulty", F.lit(""))
@@ -290,16 +292,16 @@ def alternatives(rows: DataFrame, questions: DataFrame, seed: Column, count: int
     pools = active(questions).select("id", F.explode(F.array_compact(F.array(
         F.when(graded.isNotNull(), key), open_key))).alias("pool"))
     needed = own.join(rows.select("question_id").distinct(), "question_id", "left_semi").select("pool").distinct()
-    placed = ranked_by_digest(pools.join(needed, "pool", "left_semi"), ["pool"],
-                              F.md5(F.col("id").cast("string")), "id", "place")
+    placed = cut_lineage(ranked_by_digest(
+        pools.join(needed, "pool", "left_semi"), ["pool"], F.md5(F.col("id").cast("string")), "id", "place"))
     sizes = placed.groupBy("pool").agg(F.count(F.lit(1)).alias("size"))
 
-    asked = rows.select("paper_id", "question_id").join(own, "question_id")
+    asked = cut_lineage(rows.select("paper_id", "question_id").join(own, "question_id"))
     in_paper = rows.select("paper_id", F.col("question_id").alias("id"))
     groups = ["paper_id", "pool"]
     used = (placed.join(in_paper, "id").select(*groups, "place")
             .join(asked.select(*groups).distinct(), groups, "left_semi"))
-    ranked = ordered_scan(used, groups, ["place"], position="__j")
+    ranked = cut_lineage(ordered_scan(used, groups, ["place"], position="__j"))
     gaps = ranked.groupBy(*groups, (F.col("place") - F.col("__j")).alias("at")).agg(
         F.count(F.lit(1)).alias("taken"))
     taken = ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("taken_all"))
@@ -309,7 +311,8 @@ def alternatives(rows: DataFrame, questions: DataFrame, seed: Column, count: int
              .filter(F.col("free") > 0))
     stops = sized.withColumn("rank", F.explode(F.sequence(
         F.lit(1).cast("long"), F.least(F.col("free"), F.lit(count).cast("long")))))
-    stops = stops.withColumn("at", walk(seed, F.col("question_id").cast("string"), F.col("rank") - 1, F.col("free")))
+    stops = cut_lineage(stops.withColumn(
+        "at", walk(seed, F.col("question_id").cast("string"), F.col("rank") - 1, F.col("free"))))
     lookups = stops.select(*groups, "at").distinct().withColumns({"taken": F.lit(0).cast("long"), "kind": F.lit(1)})
     merged = lookups.unionByName(gaps.withColumn("kind", F.lit(0)))
     counted = ordered_scan(merged, groups, ["at", "kind"], running={"__shift": F.col("taken")})
