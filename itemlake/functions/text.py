@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -25,6 +26,11 @@ def group1(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def py_strip(text: Column) -> Column:
     """Trim all white space, not only blanks."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -122,16 +128,18 @@ def marked_options(text: Column) -> Column:
     A value starts three characters after the start of its marker, as in ``(1)``; a marker
     written with inner blanks therefore leaves its tail in the value.
     """
-    markers = F.regexp_extract_all(text, F.lit(C.OPTION_MARKER), F.lit(0))
-    labels = F.regexp_extract_all(text, F.lit(C.OPTION_MARKER), F.lit(1))
-    pieces = F.slice(F.split(text, C.OPTION_MARKER), F.lit(2), F.size(labels))
-    return F.transform(
-        F.arrays_zip(markers.alias("m"), labels.alias("l"), pieces.alias("p")),
-        lambda z: F.struct(
-            letter(z["l"]).alias("label"),
-            py_strip(F.concat(F.substring(z["m"], 4, 1000000), z["p"])).alias("value"),
-        ),
-    )
+    def pairs(t: Column) -> Column:
+        markers = F.regexp_extract_all(t, F.lit(C.OPTION_MARKER), F.lit(0))
+        pieces = F.slice(F.split(t, C.OPTION_MARKER), 2, 1000000)
+        return F.transform(
+            F.arrays_zip(markers.alias("m"), pieces.alias("p")),
+            lambda z: F.struct(
+                letter(F.regexp_extract(z["m"], r"\w", 0)).alias("label"),
+                py_strip(F.concat(F.substring(z["m"], 4, 1000000), z["p"])).alias("value"),
+            ),
+        )
+
+    return let(text, pairs)
 
 
 def last_per_label(options: Column) -> Column:
@@ -139,15 +147,15 @@ def last_per_label(options: Column) -> Column:
     def labelled(name: str):
         return lambda o: o["label"] == name
 
-    return F.array_compact(F.array(*[
-        F.try_element_at(F.filter(options, labelled(name)), F.lit(-1)) for name in C.OPTION_LABELS
-    ]))
+    return let(options, lambda found: F.array_compact(F.array(*[
+        F.try_element_at(F.filter(found, labelled(name)), F.lit(-1)) for name in C.OPTION_LABELS
+    ])))
 
 
 def split_options(text: Column) -> Column:
     """Options of a text holding at least two markers; otherwise an empty array."""
-    found = marked_options(text)
-    return F.when(F.size(found) >= 2, last_per_label(found)).otherwise(F.slice(found, 1, 0))
+    return let(marked_options(text), lambda found: F.when(
+        F.size(found) >= 2, last_per_label(found)).otherwise(F.slice(found, 1, 0)))
 
 
 def inline_options(text: Column) -> Column:
@@ -169,32 +177,31 @@ def latex_array_options(text: Column) -> Column:
         F.replace(F.replace(_unframe(text), F.lit("\\\\"), F.lit(" ")), F.lit("&"), F.lit(" ")),
         (r"(?U)\{\s*\{", " "), (r"(?U)\}\s*\}", " "),
     )
-    direct = split_options(inner)
-    loose = split_options(F.regexp_replace(inner, r"(?U)(?<!\()([1-4])\)\s", r"($1) "))
-    none = F.slice(direct, 1, 0)
-    return (F.when(~F.contains(text, F.lit("\\begin")), none)
-            .when(F.size(direct) > 0, direct).otherwise(loose))
+
+    def parse(t: Column) -> Column:
+        loose = split_options(F.regexp_replace(t, r"(?U)(?<!\()([1-4])\)\s", r"($1) "))
+        return let(split_options(t), lambda direct: F.when(F.size(direct) > 0, direct).otherwise(loose))
+
+    return let(F.when(F.contains(text, F.lit("\\begin")), inner).otherwise(F.lit("")), parse)
 
 
 def equation_options(text: Column) -> Column:
     """Options in the cells of an equation array; fewer than two cells count as none."""
     cells = F.transform(
-        F.split(_unframe(text), C.ARRAY_CELL_BREAK),
+        F.split(F.when(F.contains(text, F.lit("\\begin")), _unframe(text)).otherwise(F.lit("")), C.ARRAY_CELL_BREAK),
         lambda cell: F.struct(
             letter(F.regexp_extract(cell, C.CELL_OPTION, 1)).alias("label"),
             py_strip(F.regexp_extract(cell, C.CELL_OPTION, 2)).alias("value"),
         ),
     )
-    found = last_per_label(F.filter(cells, lambda c: c["value"] != ""))
-    usable = F.contains(text, F.lit("\\begin")) & (F.size(found) >= 2)
-    return F.when(usable, found).otherwise(F.slice(found, 1, 0))
+    return let(last_per_label(F.filter(cells, lambda c: c["value"] != "")), lambda found: F.when(
+        F.size(found) >= 2, found).otherwise(F.slice(found, 1, 0)))
 
 
 def embedded_array_options(text: Column) -> Column:
     """Options of a text block that opens with ``( $\\begin`` ."""
-    inside = F.regexp_extract(text, r"(?s)\$(.*)\$", 1)
-    found = equation_options(F.concat(F.lit("$$"), inside, F.lit("$$")))
-    return F.when(py_strip(text).rlike(C.EMBEDDED_ARRAY), found).otherwise(F.slice(found, 1, 0))
+    inside = F.concat(F.lit("$$"), F.regexp_extract(text, r"(?s)\$(.*)\$", 1), F.lit("$$"))
+    return equation_options(F.when(py_strip(text).rlike(C.EMBEDDED_ARRAY), inside).otherwise(F.lit("")))
 
 
 def is_merged_marker(text: Column) -> Column:
@@ -207,11 +214,8 @@ def merged_marker_options(text: Column) -> Column:
     NULL when the text is no merged marker.
     """
     pair = F.regexp_extract(text, C.MERGED_MARKER, 1)
-    rest = py_strip(F.regexp_extract(text, C.MERGED_MARKER, 2))
     first = F.when(pair == "13", F.lit("A")).otherwise(F.lit("B"))
     second = F.when(pair == "13", F.lit("C")).otherwise(F.lit("D"))
-    math = F.regexp_extract_all(rest, F.lit(r"\$[^$]+\$"), F.lit(0))
-    parts = F.transform(F.split(rest, r"(?U)\s{2,}|\n", 2), py_strip)
 
     def two(values: Column) -> Column:
         return F.array(
@@ -219,10 +223,14 @@ def merged_marker_options(text: Column) -> Column:
             F.struct(second.alias("label"), F.get(values, F.lit(1)).alias("value")),
         )
 
-    splits = (F.size(parts) == 2) & (F.get(parts, F.lit(0)) != "") & (F.get(parts, F.lit(1)) != "")
-    none = F.slice(two(math), 1, 0)
-    return (F.when(~is_merged_marker(text), F.lit(None))
-            .when(F.size(math) >= 2, two(math)).when(splits, two(parts)).otherwise(none))
+    def values_of(rest: Column) -> Column:
+        math = F.regexp_extract_all(rest, F.lit(r"\$[^$]+\$"), F.lit(0))
+        parts = F.filter(F.transform(F.split(rest, r"(?U)\s{2,}|\n", 2), py_strip), lambda x: x != "")
+        return let(math, lambda m: F.when(F.size(m) >= 2, m).otherwise(parts))
+
+    values = let(py_strip(F.regexp_extract(text, C.MERGED_MARKER, 2)), values_of)
+    split = let(values, lambda found: F.when(F.size(found) >= 2, two(found)).otherwise(F.slice(two(found), 1, 0)))
+    return F.when(is_merged_marker(text), split)
 
 
 def stem_fragment(text: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from itemlake import constants as C
 from itemlake.functions import text as X
 from itemlake.operators.ordered import ordered_scan
+from itemlake.session import cut_lineage
 
 NO_OPTIONS = "array<struct<label:string,value:string>>"
 
@@ -39,7 +40,7 @@ def detect_inline(blocks: DataFrame) -> DataFrame:
     flagged = blocks.select(
         "doc_id", "block_idx", start.alias("is_start"),
         X.is_answer(_col("type"), _col("text")).alias("is_ans"))
-    placed = ordered_scan(flagged, ["doc_id"], ["block_idx"], position="pos")
+    placed = cut_lineage(ordered_scan(flagged, ["doc_id"], ["block_idx"], position="pos"))
     scanned = ordered_scan(placed, ["doc_id"], ["block_idx"],
                            following={"next_ans": F.when(_col("is_ans"), _col("pos"))})
     near = _col("is_start") & (_col("next_ans") - _col("pos") <= C.INLINE_WINDOW)
@@ -56,7 +57,7 @@ def detect_by_key(blocks: DataFrame) -> DataFrame:
         X.is_key_header(_col("text")).alias("is_header"),
         F.coalesce(_col("text").rlike(C.INLINE_ANSWER_HINT), F.lit(False)).alias("is_hint"),
         F.coalesce(_col("text").rlike(C.Q_PREFIX), F.lit(False)).alias("is_prefix"))
-    placed = ordered_scan(texts, ["doc_id"], ["block_idx"], position="pos")
+    placed = cut_lineage(ordered_scan(texts, ["doc_id"], ["block_idx"], position="pos"))
     totals = placed.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.when(_col("is_header"), _col("pos"))).alias("last_header"),
@@ -123,26 +124,24 @@ def inline_runs(blocks: DataFrame) -> DataFrame:
 
 def _inline_questions(runs: DataFrame, need_answer: bool) -> DataFrame:
     """One row per run: stem, options, answer, images."""
-    text, kind = _col("text"), _col("type")
-    raw = F.coalesce(text, F.lit(""))
-    plain = X.is_text(kind)
-    direct = X.split_options(raw)
-    array_part = X.group1(raw, C.LATEX_ARRAY, 0)
-    options = F.when(F.size(direct) > 0, direct).otherwise(
-        F.coalesce(X.latex_array_options(array_part), F.slice(direct, 1, 0)))
+    plain, kind, raw = X.is_text(_col("type")), _col("type"), _col("__raw")
+    empty = F.array().cast(NO_OPTIONS)
     marker = F.coalesce(F.nullif(F.instr(raw, "(1)"), F.lit(0)), F.instr(raw, "(A)"))
-    lead = F.when(marker > 1, X.py_strip(F.left(raw, marker - 1)))
+    read = runs.withColumn("__raw", F.coalesce("text", F.lit(""))).withColumns({
+        "__direct": F.when(plain, X.split_options(raw)),
+        "__array": F.when(plain, X.latex_array_options(X.group1(raw, C.LATEX_ARRAY, 0))),
+        "__ans": F.when(plain, X.extract_answer(raw)),
+        "__lead": F.when(plain & (marker > 1), X.py_strip(F.left(raw, marker - 1))),
+    })
     part = F.struct(
-        _col("block_idx").alias("i"),
-        plain.alias("plain"), raw.alias("raw"),
-        F.when(plain, X.extract_answer(raw)).alias("ans"),
-        F.when(plain, options).alias("opts"),
-        F.coalesce(lead, F.lit("")).alias("lead"),
-        F.when((kind == "equation") & ~X.is_blank(text), X.py_strip(raw)).alias("eq"),
+        _col("block_idx").alias("i"), plain.alias("plain"), raw.alias("raw"), _col("__ans").alias("ans"),
+        F.when(F.size("__direct") > 0, _col("__direct")).otherwise(F.coalesce("__array", empty)).alias("opts"),
+        F.coalesce("__lead", F.lit("")).alias("lead"),
+        F.when((kind == "equation") & ~X.is_blank(raw), X.py_strip(raw)).alias("eq"),
         F.when(_has_image(kind, _col("img_path")), _file_name(_col("img_path"))).alias("img"),
     )
-    grouped = runs.groupBy("doc_id", "start_idx", "question_number").agg(
-        F.array_sort(F.collect_list(part)).alias("parts"),
+    grouped = read.groupBy("doc_id", "start_idx", "question_number").agg(
+        F.sort_array(F.collect_list(part)).alias("parts"),
         F.max(F.when(_col("block_idx") == _col("start_idx"), _col("page_idx"))).alias("source_page"),
         F.max_by("__label", "block_idx").alias("label"),
     )
@@ -252,7 +251,8 @@ def key_boundary(blocks: DataFrame) -> DataFrame:
                    F.lit(False)).alias("is_dense"),
         F.when(_has_image(kind, _col("img_path")) & blank, _col("img_path")).alias("bare_image"),
     )
-    placed = ordered_scan(features, ["doc_id"], ["block_idx"], position="pos")
+    # Texts are read once; what follows works on these few flags.
+    placed = cut_lineage(ordered_scan(features, ["doc_id"], ["block_idx"], position="pos"))
     totals = placed.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.when(_col("is_header"), _col("block_idx"))).alias("header_idx"))
@@ -306,28 +306,31 @@ def _candidates(found: Column, source: str) -> Column:
 
 def _full_paper_groups(runs: DataFrame) -> DataFrame:
     """One row per run with its stem, options, option conflicts and image names."""
-    kind = _col("type")
-    raw = F.coalesce("text", F.lit(""))
-    plain, equation = X.is_text(kind), kind == "equation"
-    t = X.normalize_text(raw)
-    embedded, merged = X.embedded_array_options(t), X.merged_marker_options(t)
-    formula = X.equation_options(X.py_strip(raw))
-    is_embedded = F.size(embedded) > 0
-    is_merged = X.is_merged_marker(t)
-    cands = (F.when(plain & is_embedded, _candidates(embedded, "embedded array"))
-             .when(plain & is_merged, _candidates(merged, "merged marker"))
-             .when(plain, _candidates(X.inline_options(t), "text block"))
-             .when(equation, _candidates(formula, "equation")))
+    plain, equation = X.is_text(_col("type")), _col("type") == "equation"
+    raw, t = _col("__raw"), _col("__t")
+    is_embedded, is_merged = F.size("__embedded") > 0, _col("__merged").isNotNull()
+    read = runs.withColumn("__raw", F.coalesce("text", F.lit(""))).withColumns({
+        "__t": F.when(plain, X.normalize_text(raw)), "__eq": F.when(equation, X.py_strip(raw)),
+    }).withColumns({
+        "__embedded": F.coalesce(X.embedded_array_options(t), F.array().cast(NO_OPTIONS)),
+        "__merged": X.merged_marker_options(t), "__inline": X.inline_options(t),
+        "__formula": X.equation_options(_col("__eq")),
+    })
+    cands = (F.when(plain & is_embedded, _candidates(_col("__embedded"), "embedded array"))
+             .when(plain & is_merged, _candidates(_col("__merged"), "merged marker"))
+             .when(plain, _candidates(_col("__inline"), "text block"))
+             .when(equation, _candidates(_col("__formula"), "equation")))
     stem = (F.when(plain & ~is_embedded & ~is_merged, X.stem_fragment(t))
-            .when(equation & (F.size(formula) == 0), X.py_strip(raw)))
+            .when(equation & (F.size("__formula") == 0), _col("__eq")))
+    read = read.withColumns({"__cands": cands, "__stem": stem})
     part = F.struct(
-        _col("block_idx").alias("i"), cands.alias("cands"),
-        F.when(stem != "", stem).alias("stem"),
-        F.when(_has_image(kind, _col("img_path")), _file_name(_col("img_path"))).alias("img"),
+        _col("block_idx").alias("i"), _col("__cands").alias("cands"),
+        F.nullif("__stem", F.lit("")).alias("stem"),
+        F.when(_has_image(_col("type"), _col("img_path")), _file_name(_col("img_path"))).alias("img"),
     )
     at_start = _col("block_idx") == _col("start_idx")
-    grouped = runs.groupBy("doc_id", "start_idx", "question_number").agg(
-        F.array_sort(F.collect_list(part)).alias("parts"),
+    grouped = read.groupBy("doc_id", "start_idx", "question_number").agg(
+        F.sort_array(F.collect_list(part)).alias("parts"),
         F.max(F.when(at_start, _col("__section"))).alias("section_label"),
         F.max(F.when(at_start, _col("page_idx"))).alias("source_page"),
     )
@@ -390,7 +393,7 @@ def build_full_paper(blocks: DataFrame, files: DataFrame | None = None) -> DataF
     """Full papers. ``files (doc_id, filename)`` lists the images that exist; without it no
     image can be linked."""
     kept = filter_noise(blocks)
-    boundary = key_boundary(kept)
+    boundary = cut_lineage(key_boundary(kept))
     questions = settle_duplicates(full_paper_groups(blocks, boundary))
     key = full_paper_key(kept, boundary)
     joined = questions.join(key, ["doc_id", "question_number"], "left")
@@ -428,6 +431,7 @@ def link_images(questions: DataFrame, files: DataFrame | None) -> DataFrame:
     if files is None:
         return questions.withColumns({
             "images": F.array().cast(struct_type), "unlinked": _col("image_names")}).drop("image_names")
+    questions = cut_lineage(questions)
     keys = ["doc_id", "start_idx"]
     listed = files.select("doc_id", "filename").distinct().withColumn("there", F.lit(True))
     names = questions.select(*keys, F.posexplode("image_names").alias("at", "filename"))
@@ -446,7 +450,7 @@ def link_images(questions: DataFrame, files: DataFrame | None) -> DataFrame:
 def document_warnings(blocks: DataFrame, questions: DataFrame) -> DataFrame:
     """``(doc_id, warning)`` rows of full papers: no readable key, key entries without a question."""
     kept = filter_noise(blocks)
-    boundary = key_boundary(kept)
+    boundary = cut_lineage(key_boundary(kept))
     unreadable = boundary.filter(_col("boundary_idx").isNull() | _col("key_img_path").isNotNull()).select(
         "doc_id", F.lit("answer-key boundary not found in MinerU text; the answer-key page "
                         "may have been emitted as an image block").alias("warning"))

@@ -122,12 +122,12 @@ f AS (SELECT *, regexp_matches(lower(text), 'answer key|ans key|ans\\. key|answe
 SELECT doc_id, bool_or(hdr AND pos >= floor(n * 0.7::DOUBLE)) AND count(*) FILTER (hint AND pos < floor(n * 0.7::DOUBLE)) < 3 AS is_separate_key,
   bool_or(pre AND pos < 50) AND bool_or(hdr AND pos >= floor(n * 0.75::DOUBLE)) AS is_full_paper FROM f GROUP BY doc_id""")
 def _(v):
-    return L.detect_by_key(v.blk_full)
+    return L.detect_by_key(v.full_blocks)
 
 
 @query("layout_detection")
 def _(v):
-    return L.detect_layout(v.blk_full)
+    return L.detect_layout(v.full_blocks)
 
 
 @query("layout_errors", """
@@ -169,9 +169,10 @@ runs AS (SELECT st.doc_id, st.start_idx, st.n, st.page_idx, coalesce(closing, ta
 @query("header_carry_forward", "WITH " + LABELS.replace("{source}", "blk_inline") + """
 SELECT doc_id, start_idx, n AS question_number, label.a AS subject, label.b AS section_label FROM runs""")
 def _(v):
-    return L.inline_runs(v.blk_inline).filter("block_idx = start_idx").select(
-        "doc_id", "start_idx", "question_number", F.col("__label.subject").alias("subject"),
-        F.col("__label.section").alias("section_label"))
+    labels = L.inline_runs(v.blk_inline).groupBy("doc_id", "start_idx", "question_number").agg(
+        F.max_by("__label", "block_idx").alias("label"))
+    return labels.select("doc_id", "start_idx", "question_number", "label.subject",
+                         F.col("label.section").alias("section_label"))
 
 
 # --- Inline builder -----------------------------------------------------------------------------------
@@ -203,7 +204,7 @@ FROM runs r JOIN a USING (doc_id, start_idx) LEFT JOIN o USING (doc_id, start_id
 LEFT JOIN eq USING (doc_id, start_idx)
 WHERE coalesce(stem, eq) IS NOT NULL""")
 def _(v):
-    return L.build_inline(cut_lineage(K.clean_blocks(v.blk_inline))).select(
+    return L.build_inline(v.cleaned_blocks).select(
         "doc_id", "start_idx", "question_number", "stem_md", "answer", "section_type", "subject", "section_label",
         "source_page", flat().alias("options"))
 
@@ -289,25 +290,25 @@ built AS (SELECT *, CASE WHEN k > 0 THEN 'mcq' ELSE 'integer' END AS section_typ
 
 @query("drop_noise_blocks", FULL + "SELECT doc_id, block_idx FROM clean")
 def _(v):
-    return L.filter_noise(v.blk_full).select("doc_id", "block_idx")
+    return L.filter_noise(v.full_blocks).select("doc_id", "block_idx")
 
 
 @query("key_boundary", FULL + """
 SELECT doc_id, boundary_idx, CASE WHEN image_idx IS NOT NULL THEN concat('images/', image_idx, '.jpg') END AS key_img_path FROM boundary""")
 def _(v):
-    return L.key_boundary(L.filter_noise(v.blk_full))
+    return L.key_boundary(L.filter_noise(v.full_blocks))
 
 
 @query("full_paper_key", FULL + "SELECT * FROM key")
 def _(v):
-    kept = cut_lineage(L.filter_noise(v.blk_full))
+    kept = cut_lineage(L.filter_noise(v.full_blocks))
     return L.full_paper_key(kept, L.key_boundary(kept))
 
 
 @query("full_paper_groups", FULL + """
 SELECT doc_id, start_idx, question_number, stem_md, options, conflicts, section_label, source_page FROM groups""")
 def _(v):
-    return L.full_paper_groups(v.blk_full).select(
+    return L.full_paper_groups(v.full_blocks).select(
         "doc_id", "start_idx", "question_number", "stem_md", flat().alias("options"),
         F.size("conflicts").cast("long").alias("conflicts"), "section_label", "source_page")
 
@@ -315,13 +316,13 @@ def _(v):
 @query("duplicate_numbers", FULL + """
 SELECT DISTINCT doc_id, question_number, built FROM ranked WHERE built > 1""")
 def _(v):
-    return L.settle_duplicates(L.full_paper_groups(v.blk_full)).filter("built > 1").select("doc_id", "question_number", "built")
+    return L.settle_duplicates(L.full_paper_groups(v.full_blocks)).filter("built > 1").select("doc_id", "question_number", "built")
 
 
 @query("build_full_paper_questions", FULL + """
 SELECT doc_id, start_idx, question_number, stem_md, options, answer, section_type, section_label, source_page FROM built""")
 def _(v):
-    return L.build_full_paper(v.blk_full).select(
+    return L.build_full_paper(v.full_blocks).select(
         "doc_id", "start_idx", "question_number", "stem_md", flat().alias("options"), "answer", "section_type",
         "section_label", "source_page")
 
@@ -329,14 +330,14 @@ def _(v):
 @query("orphan_key_entries", FULL + """
 SELECT k.* FROM key k WHERE NOT EXISTS (SELECT 1 FROM built b WHERE b.doc_id = k.doc_id AND b.question_number = k.question_number)""")
 def _(v):
-    kept = cut_lineage(L.filter_noise(v.blk_full))
+    kept = cut_lineage(L.filter_noise(v.full_blocks))
     key = L.full_paper_key(kept, L.key_boundary(kept))
-    return L.orphan_key_entries(key, L.build_full_paper(v.blk_full))
+    return L.orphan_key_entries(key, L.build_full_paper(v.full_blocks))
 
 
 @query("document_warnings")
 def _(v):
-    blocks = cut_lineage(v.blk_full)
+    blocks = v.full_blocks
     return L.document_warnings(blocks, cut_lineage(L.build_full_paper(blocks)))
 
 
@@ -345,7 +346,7 @@ SELECT b.doc_id, b.question_number, (SELECT string_agg(x, ',' ORDER BY x) FROM (
   WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.doc_id = b.doc_id AND f.start_idx = b.start_idx AND f.l = u.x)) AS missing
 FROM built b WHERE k BETWEEN 1 AND 3""")
 def _(v):
-    built = L.build_full_paper(v.blk_full).filter(F.size("options").between(1, 3))
+    built = L.build_full_paper(v.full_blocks).filter(F.size("options").between(1, 3))
     return built.select("doc_id", "question_number",
                         F.array_join(X.missing_labels(X.as_map(F.col("options"))), ",").alias("missing"))
 
@@ -354,7 +355,7 @@ def _(v):
 SELECT doc_id, coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT unnest(range(lo, hi + 1)) AS x) AS r WHERE NOT list_contains(seen, x)), '') AS missing
 FROM (SELECT doc_id, min(question_number) AS lo, max(question_number) AS hi, list(question_number) AS seen FROM built GROUP BY doc_id) AS d""")
 def _(v):
-    return L.missing_numbers(cut_lineage(L.build_full_paper(v.blk_full))).select(
+    return L.missing_numbers(cut_lineage(L.build_full_paper(v.full_blocks))).select(
         "doc_id", F.array_join("missing", ",").alias("missing"))
 
 
@@ -363,7 +364,7 @@ SELECT doc_id, count(*) AS total_extracted, count(*) FILTER (section_type = 'mcq
   count(*) FILTER (section_type = 'integer') AS integer_count, count(*) FILTER (answer = '') AS no_answer,
   count(*) FILTER (k = 4) AS complete_options, max(question_number) - min(question_number) + 1 - count(*) AS missing FROM built GROUP BY doc_id""")
 def _(v):
-    report = L.quality_report(cut_lineage(L.build_full_paper(v.blk_full)))
+    report = L.quality_report(cut_lineage(L.build_full_paper(v.full_blocks)))
     return report.select("doc_id", "total_extracted", "mcq_count", "integer_count", "no_answer", "complete_options",
                          F.size("missing").cast("long").alias("missing"))
 
@@ -378,7 +379,7 @@ FROM built b LEFT JOIN im ON im.doc_id = b.doc_id AND im.start_idx = b.start_idx
 LEFT JOIN events e ON e.event_id = im.block_idx AND e.value < 50 GROUP BY b.doc_id, b.question_number""")
 def _(v):
     files = v.events.filter("value < 50").selectExpr("user_id AS doc_id", "concat(event_id, '.jpg') AS filename")
-    built = L.build_full_paper(v.blk_full, files)
+    built = L.build_full_paper(v.full_blocks, files)
     return built.select(
         "doc_id", "question_number", F.array_join(F.transform("images", lambda i: i["filename"]), ",").alias("linked"),
         F.size(F.filter("warnings", lambda w: F.contains(w, F.lit("could not be linked")))).cast("long").alias("unlinked"))
@@ -390,13 +391,13 @@ q AS (SELECT r.doc_id, r.label.a AS subject FROM runs r JOIN a USING (doc_id, st
 SELECT doc_id, count(*) AS questions_detected, coalesce(array_to_string(list_sort(list(DISTINCT subject) FILTER (subject IS NOT NULL)), ','), '') AS detected_subjects
 FROM q GROUP BY doc_id""")
 def _(v):
-    report = L.document_report(L.build_inline(cut_lineage(K.clean_blocks(v.blk_inline))))
+    report = L.document_report(L.build_inline(v.cleaned_blocks))
     return report.select("doc_id", "questions_detected", F.array_join("detected_subjects", ",").alias("detected_subjects"))
 
 
 @query("question_report", FULL + "SELECT doc_id, question_number AS number, 'ok' AS status FROM built")
 def _(v):
-    return L.question_report(L.build_full_paper(v.blk_full)).select("doc_id", "number", "status")
+    return L.question_report(L.build_full_paper(v.full_blocks)).select("doc_id", "number", "status")
 
 
 @query("layout_dispatch")

@@ -11,6 +11,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from itemlake.session import cut_lineage
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -259,6 +261,15 @@ class Views:
             "CASE flag WHEN 'A' THEN 'Section A' WHEN 'N' THEN 'Section B' END AS paper_section",
             "cast(__p + 1 AS int) AS display_number", "linestatus = 'F' AS locked")
 
+    @cached_property
+    def full_blocks(self) -> DataFrame:
+        return cut_lineage(self.blk_full)
+
+    @cached_property
+    def cleaned_blocks(self) -> DataFrame:
+        from itemlake.operators.clean import clean_blocks
+        return cut_lineage(clean_blocks(self.blk_inline))
+
     @cached_property
     def resolved(self) -> DataFrame:
         """Requests with concrete chapters, names matched exactly or by alias."""
