@@ -145,6 +145,7 @@ def shuffle(papers: DataFrame, rows: DataFrame, seed: Column) -> tuple[DataFrame
         "paper_id", "question_id", F.col("position").alias("__to"))
     placed = (rows.join(moved, ["paper_id", "question_id"], "left")
               .withColumn("position", F.coalesce("__to", "position")).drop("__to").select(ROW))
+    placed = cut_lineage(placed)
     touched = placed.join(open_ids, "paper_id", "left_semi")
     return renumber(touched).unionByName(placed.join(open_ids, "paper_id", "left_anti")), rejects
 

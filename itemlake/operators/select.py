@@ -14,6 +14,7 @@ once. The same seed gives the same questions on any partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 from typing import NamedTuple
@@ -277,24 +278,29 @@ def tier_counts(cells: DataFrame) -> DataFrame:
     return counts.groupBy("spec").agg(F.array_sort(F.collect_list(entry)).alias("tiers"))
 
 
+def _total(values: Column, field: Callable[[Column], Column]) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda acc, t: acc + field(t))
+
+
 def proportional_split(tiers: Column) -> Column:
     """Share of every tier of the pool, tiers that can never be selected included."""
-    total = F.aggregate(tiers, F.lit(0).cast("long"), lambda acc, t: acc + t["n"])
-    return F.transform(tiers, lambda t: F.struct(
-        t["tier"].alias("tier"), (t["n"] / total).alias("frac")))
+    return X.let(_total(tiers, lambda t: t["n"]), lambda total: F.transform(tiers, lambda t: F.struct(
+        t["tier"].alias("tier"), (t["n"] / total).alias("frac"))))
 
 
 def tier_targets(split: Column, count: Column) -> Column:
     """Target per tier, rounded half to even; medium takes what rounding leaves, even below 0."""
-    rounded = F.transform(split, lambda t: F.struct(
-        t["tier"].alias("tier"), F.rint(t["frac"] * count).cast("long").alias("target")))
-    rest = count - F.aggregate(rounded, F.lit(0).cast("long"), lambda acc, t: acc + t["target"])
-    adjusted = F.transform(rounded, lambda t: F.struct(
-        t["tier"].alias("tier"),
-        F.when(t["tier"] == "medium", t["target"] + rest).otherwise(t["target"]).alias("target")))
-    extra = F.array(F.struct(F.lit("medium").alias("tier"), rest.cast("long").alias("target")))
-    has_medium = F.exists(split, lambda t: t["tier"] == "medium")
-    return F.when(has_medium | (rest == 0), adjusted).otherwise(F.concat(adjusted, extra))
+    def settle(rounded: Column) -> Column:
+        return X.let(count - _total(rounded, lambda t: t["target"]), lambda rest: F.when(
+            rest == 0, rounded).when(
+            F.exists(rounded, lambda t: t["tier"] == "medium"),
+            F.transform(rounded, lambda t: F.struct(
+                t["tier"].alias("tier"),
+                F.when(t["tier"] == "medium", t["target"] + rest).otherwise(t["target"]).alias("target")))
+        ).otherwise(F.concat(rounded, F.array(F.struct(F.lit("medium").alias("tier"), rest.alias("target"))))))
+
+    return X.let(F.transform(split, lambda t: F.struct(
+        t["tier"].alias("tier"), F.rint(t["frac"] * count).cast("long").alias("target"))), settle)
 
 
 def tier_picks(targets: Column, tiers: Column, count: Column) -> Column:
@@ -302,29 +308,24 @@ def tier_picks(targets: Column, tiers: Column, count: Column) -> Column:
 
     A negative target leaves out that many questions of the tier until leftovers are needed.
     """
-    def size_of(t: Column) -> Column:
-        known = F.get(F.filter(tiers, lambda x: (x["tier"] == t["tier"]) & x["tier"].isin(C.DIFFICULTIES)), F.lit(0))
-        return F.coalesce(known["n"], F.lit(0)).cast("long")
-
     zero = F.lit(0).cast("long")
-    sized = F.transform(targets, lambda t: F.struct(
-        t["tier"].alias("tier"), size_of(t).alias("n"),
-        F.when(t["target"] >= 0, F.least(t["target"], size_of(t)))
-        .otherwise(F.greatest(zero, size_of(t) + t["target"])).alias("s")))
+    known = F.filter(tiers, lambda x: x["tier"].isin(C.DIFFICULTIES))
 
-    def before(values: Column, i: Column, field) -> Column:
-        return F.aggregate(F.slice(values, F.lit(1), i), zero, lambda acc, t: acc + field(t))
+    def sized(t: Column) -> Column:
+        return X.let(
+            F.coalesce(F.get(F.filter(known, lambda x: x["tier"] == t["tier"]), F.lit(0))["n"], zero).cast("long"),
+            lambda n: F.struct(t["tier"].alias("tier"), n.alias("n"), F.when(
+                t["target"] >= 0, F.least(t["target"], n)).otherwise(F.greatest(zero, n + t["target"])).alias("s")))
 
     def pick(values: Column) -> Column:
-        chosen = F.aggregate(values, zero, lambda acc, t: acc + t["s"])
-        short = F.greatest(zero, count - chosen)
-        return F.transform(values, lambda t, i: F.struct(
+        short = F.greatest(zero, count - _total(values, lambda t: t["s"]))
+        return F.transform(values, lambda t, i: X.let(F.slice(values, F.lit(1), i), lambda earlier: F.struct(
             t["tier"].alias("tier"), t["n"].alias("n"),
-            (F.greatest(zero, F.least(t["s"], count - before(values, i, lambda x: x["s"])))
-             + F.greatest(zero, F.least(t["n"] - t["s"], short - before(values, i, lambda x: x["n"] - x["s"]))))
-            .alias("k")))
+            (F.greatest(zero, F.least(t["s"], count - _total(earlier, lambda x: x["s"])))
+             + F.greatest(zero, F.least(t["n"] - t["s"], short - _total(earlier, lambda x: x["n"] - x["s"]))))
+            .alias("k"))))
 
-    return pick(sized)
+    return X.let(F.transform(targets, sized), pick)
 
 
 def _seed_number(*parts: Column) -> Column:
@@ -363,18 +364,27 @@ def select_ids(wanted: DataFrame, cells: DataFrame, index: DataFrame) -> DataFra
         F.col("seed"), F.concat_ws(" ", "label", "tier"), F.col("place"), F.col("n")))
     # Cells of one spec and tier, at most as many as there are facet combinations.
     tier = F.coalesce(F.nullif("difficulty", F.lit("")), F.lit("medium"))
-    layout = cells.select("spec", tier.alias("tier"), "pool", "n").withColumn(
-        "lo", F.sum("n").over(Window.partitionBy("spec", "tier").orderBy("pool")
-                              .rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
-    strips = layout.groupBy("spec", "tier").agg(
-        F.array_sort(F.collect_list(F.struct("lo", "pool"))).alias("strips"))
-    located = addressed.join(strips, ["spec", "tier"]).withColumn(
-        "strip", F.try_element_at(F.filter("strips", lambda s: s["lo"] <= F.col("at")), F.lit(-1)))
-    wanted_rows = located.select("request_id", "label", F.col("strip.pool").alias("pool"),
-                                 (F.col("at") - F.col("strip.lo")).alias("pool_pos"))
+    order = Window.partitionBy("spec", "tier").orderBy("pool")
+    layout = cells.select("spec", tier.alias("tier"), "pool", "n").withColumns({
+        "strip": F.row_number().over(order),
+        "lo": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")})
+    starts = layout.groupBy("spec", "tier").agg(F.sort_array(F.collect_list("lo")).alias("starts"))
+    located = addressed.join(starts, ["spec", "tier"]).select(
+        "request_id", "label", "spec", "tier", "at", strip_of(F.col("starts"), F.col("at")).alias("strip"))
+    wanted_rows = located.join(layout, ["spec", "tier", "strip"]).select(
+        "request_id", "label", "pool", (F.col("at") - F.col("lo")).alias("pool_pos"))
     return wanted_rows.join(index, ["pool", "pool_pos"]).drop("pool", "pool_pos")
 
 
+def strip_of(starts: Column, at: Column) -> Column:
+    """1-based index of the last of the ascending ``starts`` not beyond ``at``, by halving steps."""
+    steps = F.transform(
+        F.sequence(F.floor(F.log2(F.size(starts))).cast("int"), F.lit(0), F.lit(-1)),
+        lambda e: F.pow(F.lit(2), e).cast("int"))
+    return F.aggregate(steps, F.lit(0), lambda pos, step: F.when(
+        F.get(starts, pos + step - 1) <= at, pos + step).otherwise(pos))
+
+
 def in_syllabus_order(selected: DataFrame, requests: DataFrame, by_number: bool = True) -> DataFrame:
     """Adds the 1-based ``position`` per request: section label, chapter place, question number.
 

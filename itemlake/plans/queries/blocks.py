@@ -7,7 +7,7 @@ from itemlake.functions import text as X
 from itemlake.operators import clean as K
 from itemlake.operators import layouts as L
 from itemlake.plans.queries import query
-from itemlake.session import cut_lineage, shared_folder
+from itemlake.session import cut_lineage, new_folder
 from itemlake.sources.content import parse_content_lists
 from itemlake.streaming.status import read_status_board, start_status_board
 
@@ -415,8 +415,7 @@ def _(v):
 @query("status_board_stream", """
 SELECT ingestion_id, arg_max(status, seq) AS status, max(seq) AS seq FROM ing GROUP BY ingestion_id""")
 def _(v):
-    import uuid
-    work = f"{shared_folder(v.spark)}/itemlake-{uuid.uuid4().hex}"
+    work = new_folder(v.spark)
     stream = (v.spark.readStream.schema(v.events.schema).option("pathGlobFilter", "events.parquet").parquet(v.folder)
               .selectExpr("user_id AS ingestion_id", "event_id AS seq", """CASE event_type WHEN 'signup' THEN 'UPLOADED'
                   WHEN 'view' THEN 'MINERU_COMPLETE' WHEN 'click' THEN 'QUESTIONS_BUILT' WHEN 'purchase' THEN 'METADATA_COMPLETE'

@@ -1,14 +1,12 @@
 """Papers: reading, shuffling, edits, alternatives, export."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from itemlake.operators import export as E
 from itemlake.operators import papers as P
 from itemlake.operators import select as S
 from itemlake.plans.queries import query
-from itemlake.session import shared_folder
+from itemlake.session import new_folder
 from itemlake.sources.sinks import append_questions, write_markdown
 
 ROWS = "paper_id, question_id, position, paper_section, display_number, locked"
@@ -322,7 +320,7 @@ def _(v):
 @query("markdown_sink", LINES + """
 SELECT paper_id, CAST(0 AS INT) AS part, string_agg(markdown, chr(10) ORDER BY position) AS markdown FROM lines GROUP BY paper_id""")
 def _(v):
-    path = f"{shared_folder(v.spark)}/itemlake-{uuid.uuid4().hex}"
+    path = new_folder(v.spark)
     write_markdown(E.in_parts(E.markdown_lines(v.papers, v.paper_rows, v.questions)), path)
     return v.spark.read.schema("paper_id bigint, part int, markdown string").parquet(path)
 
@@ -330,7 +328,7 @@ def _(v):
 @query("question_append", """
 SELECT id, exam_name, subject, chapter, stem_md FROM q_parts UNION ALL SELECT id, exam_name, subject, chapter, stem_md FROM q_docs""")
 def _(v):
-    path = f"{shared_folder(v.spark)}/itemlake-{uuid.uuid4().hex}"
+    path = new_folder(v.spark)
     columns = ["id", "exam_name", "subject", "chapter", "stem_md"]
     append_questions(v.q_parts.select(columns), path)
     append_questions(v.q_docs.select(columns), path)

@@ -256,10 +256,10 @@ class Views:
         from itemlake.operators.ordered import by_range, ordered_scan
         placed = ordered_scan(self.pq0, ["paper_id"], ["line", "question_id"],
                               buckets=[F.col("line"), by_range("question_id")], position="__p")
-        return placed.selectExpr(
+        return cut_lineage(placed.selectExpr(
             "paper_id", "question_id", "cast(__p + 1 AS int) AS position",
             "CASE flag WHEN 'A' THEN 'Section A' WHEN 'N' THEN 'Section B' END AS paper_section",
-            "cast(__p + 1 AS int) AS display_number", "linestatus = 'F' AS locked")
+            "cast(__p + 1 AS int) AS display_number", "linestatus = 'F' AS locked"))
 
     @cached_property
     def full_blocks(self) -> DataFrame:

@@ -37,12 +37,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession) -> str:
+    """Unused path under the shared folder; all paths of an application lie in one directory."""
+    return f"{shared_folder(spark)}/itemlake/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
     Later branches then scan a finished table: nothing upstream runs twice, a lost executor
     costs no recomputation beyond it, and the known size lets Spark choose joins by it.
     """
-    path = f"{shared_folder(df.sparkSession)}/itemlake-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
