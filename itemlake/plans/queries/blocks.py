@@ -125,9 +125,21 @@ def _(v):
     return L.detect_by_key(v.full_blocks)
 
 
-@query("layout_detection")
-def _(v):
-    return L.detect_layout(v.full_blocks)
+@query("layout_detection", """
+WITH f AS (SELECT doc_id, block_idx, coalesce(type = 'text' AND regexp_matches(trim(text), '^\\d{1,3}\\.\\s+'), false) AS st,
+    coalesce(type = 'text' AND regexp_matches(text, '(?i)Ans\\.?\\s*\\(\\s*[1-4A-Da-d]\\s*\\)'), false) AS ans FROM blk_sep),
+n AS (SELECT *, coalesce(max(CAST(ans AS INT)) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), 0) AS near FROM f),
+i AS (SELECT doc_id, coalesce(count(*) FILTER (st AND near = 1) / nullif(count(*) FILTER (st), 0) > 0.6, false) AS is_inline FROM n GROUP BY doc_id),
+t AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY block_idx) - 1 AS pos, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM blk_sep WHERE type = 'text'),
+h AS (SELECT *, contains(lower(text), 'answer key') AS hdr, regexp_matches(text, '\\bAns\\b\\.?\\s*[\\(\\[]') AS hint,
+  regexp_matches(text, '^\\s*[Qq]\\.?\\s*(\\d{1,3})\\s*[\\.\\)]\\s*') AS pre FROM t),
+k AS (SELECT doc_id, bool_or(hdr AND pos >= floor(n * 0.7::DOUBLE)) AND count(*) FILTER (hint AND pos < floor(n * 0.7::DOUBLE)) < 3 AS is_separate_key,
+  bool_or(pre AND pos < 50) AND bool_or(hdr AND pos >= floor(n * 0.75::DOUBLE)) AS is_full_paper FROM h GROUP BY doc_id)
+SELECT doc_id, is_inline, is_separate_key, is_full_paper, CASE WHEN is_full_paper THEN 'full_paper' WHEN is_separate_key THEN 'separate_answer_key'
+  WHEN is_inline THEN 'inline_answer' END AS layout_type FROM i LEFT JOIN k USING (doc_id)""")
+def _(v):
+    return L.detect_layout(cut_lineage(v.blk_sep))
 
 
 @query("layout_errors", """
@@ -194,7 +206,7 @@ eq AS (SELECT doc_id, start_idx, string_agg('$$' || trim(text) || '$$', chr(10)
 """
 
 
-@query("build_inline_questions", INLINE + """
+INLINE_BUILT = INLINE + """, built_inline AS (
 SELECT r.doc_id, r.start_idx, r.n AS question_number, concat_ws(chr(10) || chr(10), coalesce(stem, ''), eq) AS stem_md,
   ['A', 'B', 'C', 'D'][CAST(a.ans AS INT)] AS answer, CASE WHEN o.opt_idx IS NULL THEN 'integer' ELSE 'mcq' END AS section_type,
   r.label.a AS subject, r.label.b AS section_label, r.page_idx AS source_page,
@@ -202,7 +214,11 @@ SELECT r.doc_id, r.start_idx, r.n AS question_number, concat_ws(chr(10) || chr(1
     '|C=', trim(regexp_extract(opt_text, '\\(3\\)([^(]*)', 1)), '|D=', trim(regexp_extract(opt_text, '\\(4\\)([^(]*)', 1))) END AS options
 FROM runs r JOIN a USING (doc_id, start_idx) LEFT JOIN o USING (doc_id, start_idx) LEFT JOIN stem USING (doc_id, start_idx)
 LEFT JOIN eq USING (doc_id, start_idx)
-WHERE coalesce(stem, eq) IS NOT NULL""")
+WHERE coalesce(stem, eq) IS NOT NULL)
+"""
+
+
+@query("build_inline_questions", INLINE_BUILT + "SELECT * FROM built_inline")
 def _(v):
     return L.build_inline(v.cleaned_blocks).select(
         "doc_id", "start_idx", "question_number", "stem_md", "answer", "section_type", "subject", "section_label",
@@ -335,7 +351,11 @@ def _(v):
     return L.orphan_key_entries(key, L.build_full_paper(v.full_blocks))
 
 
-@query("document_warnings")
+@query("document_warnings", FULL + """
+SELECT doc_id, 'answer-key boundary not found in MinerU text; the answer-key page may have been emitted as an image block' AS warning
+FROM boundary WHERE boundary_idx IS NULL OR image_idx IS NOT NULL
+UNION ALL SELECT k.doc_id, concat('answer key contains Q', k.question_number, ' with no built question') FROM key k
+WHERE NOT EXISTS (SELECT 1 FROM built b WHERE b.doc_id = k.doc_id AND b.question_number = k.question_number)""")
 def _(v):
     blocks = v.full_blocks
     return L.document_warnings(blocks, cut_lineage(L.build_full_paper(blocks)))

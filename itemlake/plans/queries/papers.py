@@ -6,6 +6,7 @@ from itemlake.operators import export as E
 from itemlake.operators import papers as P
 from itemlake.operators import select as S
 from itemlake.plans.queries import query
+from itemlake.plans.queries.requests import POOL
 from itemlake.session import new_folder
 from itemlake.sources.sinks import append_questions, write_markdown
 
@@ -218,7 +219,19 @@ def _regeneration(v):
     return P.regenerate(v.papers, v.paper_rows, asked, chosen)
 
 
-@query("regenerate_papers")
+@query("regenerate_papers", """
+WITH bp AS (SELECT id AS request_id, concat('E', custkey % 2) AS exam_name, CASE WHEN id % 3 = 0 THEN ['Brand#99']
+    ELSE ['Brand#1', 'Brand#2', 'Brand#3'] END AS chapters, id * 11 + 3 AS seed FROM paps WHERE status = 'draft'),
+asked AS (SELECT request_id, 'A' AS label, 3 AS count, seed FROM bp),
+mine AS (SELECT b.request_id, 'A' AS label, q.* FROM bp b JOIN q_parts q ON q.subject = 'small' AND q.section_type = 'mcq'
+  AND q.status = 'active' AND q.exam_name = b.exam_name AND list_contains(b.chapters, q.chapter)),
+split AS (SELECT request_id, label, unnest(['easy', 'medium', 'hard']) AS tier, unnest([1, 2, 3]) AS ord,
+  unnest([0.2::DOUBLE, 0.5::DOUBLE, 0.3::DOUBLE]) AS frac FROM asked),
+""" + POOL.replace("{source}", "mine") + """
+SELECT pq.* FROM pq WHERE paper_id NOT IN (SELECT request_id FROM chosen)
+UNION ALL SELECT request_id, id, CAST(pos AS INT), 'Section A', CAST(pos AS INT), false
+FROM (SELECT c.request_id, c.id, row_number() OVER (PARTITION BY c.request_id ORDER BY list_position(b.chapters, c.chapter), c.id) AS pos
+  FROM chosen c JOIN bp b USING (request_id)) AS n""")
 def _(v):
     return _regeneration(v)[1]
 

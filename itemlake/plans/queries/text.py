@@ -8,7 +8,7 @@ from itemlake.operators import bank as B
 from itemlake.operators import layouts as L
 from itemlake.plans import ingest
 from itemlake.plans.queries import query
-from itemlake.plans.queries.blocks import flat
+from itemlake.plans.queries.blocks import INLINE_BUILT, flat
 from itemlake.session import cut_lineage
 
 MARK = "\\(\\s*([1-4A-Da-d])\\s*\\)"
@@ -221,20 +221,29 @@ def _(v):
 
 def _bank_parts(v):
     questions = cut_lineage(L.build_inline(v.cleaned_blocks))
-    responses = questions.selectExpr(
-        "doc_id", "question_number", """concat('{"chapter": "Chapter ', question_number % 5, '", "topic": "', subject,
-        '", "difficulty": "hard", "concepts": ["a", "b"], "has_formula": "yes"}') AS response""").dropDuplicates(["doc_id", "question_number"])
-    return questions, ingest.normalized_metadata(responses, questions.dropDuplicates(["doc_id", "question_number"]))
+    numbers = questions.select("doc_id", "question_number").distinct()
+    responses = numbers.selectExpr("doc_id", "question_number", """concat('{"chapter": "Chapter ', question_number % 5,
+        '", "topic": "t', question_number, '", "difficulty": "hard", "concepts": ["a", "b"], "has_formula": "yes"}') AS response""")
+    images = numbers.selectExpr("*", "cast(array() AS array<string>) AS images")
+    return questions, ingest.normalized_metadata(responses, images)
 
 
-@query("questions_with_metadata")
+@query("questions_with_metadata", INLINE_BUILT + """
+SELECT doc_id, start_idx, question_number, answer, concat('Chapter ', question_number % 5) AS chapter, concat('t', question_number) AS topic,
+  'hard' AS difficulty, true AS has_formula FROM built_inline""")
 def _(v):
     questions, metadata = _bank_parts(v)
     return B.with_metadata(questions, metadata).select(
         "doc_id", "start_idx", "question_number", "answer", "chapter", "topic", "difficulty", "has_formula")
 
 
-@query("bank_rows")
+@query("bank_rows", INLINE_BUILT + """
+SELECT doc_id AS ingestion_id, concat('upload ', doc_id, '.pdf') AS source_pdf, question_number, stem_md, answer, section_type,
+  'JEE Main' AS exam_name, 'physics' AS subject, concat('Chapter ', question_number % 5) AS chapter, 'hard' AS difficulty, 'active' AS status,
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    concat(stem_md, ' ', regexp_replace(regexp_replace(options, '^A=', ''), '\\|[BCD]=', ' ', 'g')),
+    '(?s)\\$\\$.*?\\$\\$', ' ', 'g'), '\\$[^$]+\\$', ' ', 'g'), '[{}\\\\^_]', ' ', 'g'), '\\s+', ' ', 'g')) AS raw_text
+FROM built_inline""")
 def _(v):
     questions, metadata = _bank_parts(v)
     uploads = v.events.selectExpr("user_id AS id").distinct().selectExpr(
