@@ -8,6 +8,7 @@ blocks of one question are then brought together once, because its stem is a sin
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -531,20 +532,23 @@ def layout_errors(documents: DataFrame) -> DataFrame:
     return documents.withColumn("error", reason).filter(_col("error").isNotNull())
 
 
-def build_questions(blocks: DataFrame, documents: DataFrame, files: DataFrame | None = None,
+def with_layout(blocks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Blocks of the documents ``(doc_id, layout_type)`` some builder takes, with their layout."""
+    known = documents.filter(_col("layout_type").isin(list(BUILDERS))).select("doc_id", "layout_type")
+    return blocks.join(known, "doc_id").select(*blocks.columns, "layout_type")
+
+
+def build_questions(blocks: DataFrame, files: DataFrame | None = None,
                     builders: dict[str, Builder] | None = None) -> DataFrame:
-    """Run every layout's builder on its documents and union the questions.
+    """Run every builder on the blocks of its ``layout_type`` and union the questions.
 
-    A new layout is a function ``(blocks, files) -> questions`` added to ``builders``.
+    A new layout is a function ``(blocks, files) -> questions`` added to ``builders``. Blocks
+    stored by layout are read once per builder that uses them and skipped by the others.
     """
     columns = ["doc_id", "start_idx", "question_number", "stem_md", "options", "answer",
                "section_type", "section_label", "images", "source_page", "subject", "warnings"]
-    typed = blocks.join(documents.select("doc_id", "layout_type"), "doc_id")
-    parts = []
-    for name, build in (builders or BUILDERS).items():
-        part = build(typed.filter(_col("layout_type") == name).drop("layout_type"), files)
-        parts.append(part.select(*columns, F.lit(name).alias("layout_type")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    parts = [
+        build(blocks.filter(_col("layout_type") == name).drop("layout_type"), files)
+        .select(*columns, F.lit(name).alias("layout_type"))
+        for name, build in (builders or BUILDERS).items()]
+    return reduce(DataFrame.unionByName, parts)

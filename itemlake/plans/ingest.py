@@ -26,10 +26,11 @@ def normalized_metadata(responses: DataFrame, questions: DataFrame) -> DataFrame
 def documents_to_questions(blocks: DataFrame, documents: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Clean all blocks, then run the builder of every document's layout.
 
-    The cleaned blocks feed several builders and their summaries, so they are written once to
-    the shared folder instead of being cleaned again for each.
+    The cleaned blocks feed several builders and their summaries, so they are written once, by
+    layout, to the shared folder instead of being cleaned again for each.
     """
-    return layouts.build_questions(cut_lineage(clean.clean_blocks(blocks)), documents, files)
+    cleaned = layouts.with_layout(clean.clean_blocks(blocks), documents)
+    return layouts.build_questions(cut_lineage(cleaned, "layout_type"), files)
 
 
 def documents_to_bank(blocks: DataFrame, ingestions: DataFrame, responses: DataFrame,

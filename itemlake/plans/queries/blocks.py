@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from itemlake.functions import text as X
 from itemlake.operators import clean as K
 from itemlake.operators import layouts as L
+from itemlake.plans import ingest
 from itemlake.plans.queries import query
 from itemlake.session import cut_lineage, new_folder
 from itemlake.sources.content import parse_content_lists
@@ -240,7 +241,7 @@ def _(v):
     return L.separate_key_entries(v.blk_sep)
 
 
-@query("build_separate_key_questions", SEPARATE_KEY + """,
+SEPARATE_BUILT = SEPARATE_KEY + """,
 s AS (SELECT *, CASE WHEN type = 'text' THEN TRY_CAST(nullif(regexp_extract(trim(text), '^(\\d{1,3})\\.\\s+', 1), '') AS INT) END AS n
   FROM blk_sep WHERE block_idx < 1000000000000),
 g AS (SELECT *, max(CASE WHEN n IS NOT NULL THEN block_idx END) OVER (PARTITION BY doc_id ORDER BY block_idx) AS start_idx FROM s),
@@ -248,7 +249,10 @@ q AS (SELECT doc_id, start_idx, min(n) AS question_number, bool_or(type = 'text'
     count(*) FILTER (type = 'text') AS texts FROM g WHERE start_idx IS NOT NULL GROUP BY doc_id, start_idx)
 SELECT q.doc_id, q.start_idx, q.question_number, CASE WHEN mcq THEN 'mcq' ELSE 'integer' END AS section_type,
   CASE WHEN mcq THEN ['A', 'B', 'C', 'D'][CAST(raw_answer AS INT)] ELSE raw_answer END AS answer
-FROM q LEFT JOIN key USING (doc_id, question_number)""")
+FROM q LEFT JOIN key USING (doc_id, question_number)"""
+
+
+@query("build_separate_key_questions", SEPARATE_BUILT)
 def _(v):
     return L.build_separate_key(v.blk_sep).select("doc_id", "start_idx", "question_number", "section_type", "answer")
 
@@ -420,14 +424,17 @@ def _(v):
     return L.question_report(L.build_full_paper(v.full_blocks)).select("doc_id", "number", "status")
 
 
-@query("layout_dispatch")
+@query("layout_dispatch", """
+SELECT doc_id, question_number, 'full_paper' AS layout_type, section_type, answer FROM (""" + FULL + """SELECT * FROM built) AS f WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, question_number, 'inline_answer', section_type, answer FROM (""" + INLINE_BUILT + """SELECT * FROM built_inline) AS i WHERE doc_id % 3 = 1
+UNION ALL SELECT doc_id, question_number, 'separate_answer_key', section_type, answer FROM (""" + SEPARATE_BUILT + """) AS s WHERE doc_id % 3 = 2""")
 def _(v):
     documents = v.events.selectExpr("user_id AS doc_id").distinct().selectExpr(
         "doc_id", "CASE doc_id % 3 WHEN 0 THEN 'full_paper' WHEN 1 THEN 'inline_answer' ELSE 'separate_answer_key' END AS layout_type")
     blocks = v.blk_full.filter("doc_id % 3 = 0").unionByName(v.blk_inline.filter("doc_id % 3 = 1")).unionByName(
         v.blk_sep.filter("doc_id % 3 = 2"))
-    built = L.build_questions(cut_lineage(blocks), documents)
-    return built.select("doc_id", "question_number", "layout_type", "section_type", "answer")
+    return ingest.documents_to_questions(blocks, documents).select(
+        "doc_id", "question_number", "layout_type", "section_type", "answer")
 
 
 # --- Streams --------------------------------------------------------------------------------------------------------

@@ -42,12 +42,13 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/itemlake/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
     Later branches then scan a finished table: nothing upstream runs twice, a lost executor
-    costs no recomputation beyond it, and the known size lets Spark choose joins by it.
+    costs no recomputation beyond it, and the known size lets Spark choose joins by it. With
+    ``by`` the table is split into directories, which filters on these columns prune.
     """
     path = new_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)

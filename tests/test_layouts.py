@@ -175,7 +175,7 @@ def test_missing_numbers_and_report(make_blocks):
 def test_dispatch_and_errors(spark, make_blocks):
     b = make_blocks(t("1. q", OPT, "Ans. (1)"), t("Q1. Stem.", OPT, "ANSWER KEYS", "1.(2)"), t("1. x"))
     docs = spark.createDataFrame([("d0", "inline_answer"), ("d1", "full_paper"), ("d2", "poster")], "doc_id string, layout_type string")
-    assert {(r.doc_id, r.answer) for r in L.build_questions(b, docs).collect()} == {("d0", "A"), ("d1", "B")}
+    assert {(r.doc_id, r.answer) for r in L.build_questions(L.with_layout(b, docs)).collect()} == {("d0", "A"), ("d1", "B")}
     assert L.layout_errors(docs).collect()[0].error == "Unknown layout_type: 'poster'"
 
 
