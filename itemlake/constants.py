@@ -89,12 +89,7 @@ DENSE_KEY_ENTRIES = 3
 IMAGE_KEY_TAIL = 5
 KEY_VALUE_LENGTH = 6
 
-LAYOUTS = {
-    "inline_answer": "InlineAnswerBuilder",
-    "separate_answer_key": "SeparateAnswerKeyBuilder",
-    "with_solution": "WithSolutionBuilder",
-    "full_paper": "FullPaperBuilder",
-}
+LAYOUTS = ["inline_answer", "separate_answer_key", "with_solution", "full_paper"]
 
 # --- Block type synonyms ---------------------------------------------------------------
 BLOCK_TYPES = {

@@ -75,7 +75,7 @@ def bank_statistics(questions: DataFrame) -> DataFrame:
     return long.filter(kept).groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def missing_fields(question: dict[str, Column] | None = None) -> Column:
+def missing_fields() -> Column:
     """Labels of the metadata fields that are NULL or empty."""
     labels = [F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(label))
               for label, c in C.REVIEW_FIELDS]

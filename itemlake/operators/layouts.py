@@ -527,7 +527,7 @@ def layout_errors(documents: DataFrame) -> DataFrame:
     layout = _col("layout_type")
     reason = (F.when(layout.isNull() | (layout == ""), "ingestion.layout_type is not set")
               .when(layout == "with_solution", "layout 'with_solution' is not implemented")
-              .when(~layout.isin(list(C.LAYOUTS)), F.concat(
+              .when(~layout.isin(C.LAYOUTS), F.concat(
                   F.lit("Unknown layout_type: '"), layout, F.lit("'"))))
     return documents.withColumn("error", reason).filter(_col("error").isNotNull())
 

@@ -17,6 +17,8 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "12
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Local data is small but its text expressions are not cheap: keep all cores busy.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemlake.functions import text as X
@@ -18,7 +18,7 @@ def parse_content_lists(raw: DataFrame) -> DataFrame:
             .select("doc_id", F.col("__at").cast("long").alias("block_idx"), "b.*"))
 
 
-def _document_name(path) -> F.Column:
+def _document_name(path: Column) -> Column:
     return F.regexp_replace(X.base_name(F.url_decode(path)), SUFFIX, "")
 
 
