@@ -49,7 +49,8 @@ def ordered_scan(
     ``prior``     last non-NULL value strictly before the row.
     ``following`` first non-NULL value strictly after the row.
 
-    ``keys`` and ``order`` must not be NULL and ``order`` must be unique within ``keys``.
+    ``order`` must not be NULL and must be unique within ``keys``. Rows with a NULL key are kept,
+    but nothing is carried to them from other buckets.
     ``buckets`` must not decrease along the order; by default ranges of the first order column.
     """
     running, last = dict(running or {}), dict(last or {})
@@ -102,7 +103,7 @@ def ordered_scan(
 
     summaries = tagged.groupBy(*keys, *slots).agg(*[c.alias(n) for n, c in summary.items()])
     carries = summaries.select(*keys, *slots, *[c.alias(n) for n, c in carried.items()])
-    joined = tagged.withColumns(local).join(carries, [*keys, *slots])
+    joined = tagged.withColumns(local).join(carries, [*keys, *slots], "left")
     kept = [c for c in df.columns if c not in result]
     return joined.select(*kept, *[c.alias(n) for n, c in result.items()])
 
