@@ -17,11 +17,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces kept per worker; beyond it the memory starts anew, which costs time and changes nothing.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 #: ASCII marks that the pre-tokenizer takes in one piece; not ``'`` (contractions) or ``<`` (special tokens).
 MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 #: Bytes of text handled at once (one text may be longer).
-SLICE = 16 << 20
+SLICE = 8 << 20
 
 
 def text_slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -137,11 +137,20 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode_texts(path: str, texts: pa.Array | pa.ChunkedArray, end: int | None = None) -> Iterator[np.ndarray]:
-    """Ids of every text of a column; NULL counts as empty; ``end`` is appended to each."""
+def encode_slices(path: str, texts: pa.Array | pa.ChunkedArray,
+                  end: int | None = None) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """``(first, last, ids of each text)`` for runs of texts, so that few ids are held at a time.
+
+    NULL counts as empty; ``end`` is appended to each text.
+    """
     texts = plain_strings(texts)
     tail = np.array([] if end is None else [end], np.uint32)
     for first, last in text_slices(texts):
         ids, bounds = encoder(path).encode(texts.slice(first, last - first))
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            yield np.concatenate([ids[a:b], tail])
+        yield first, last, [np.concatenate([ids[a:b], tail]) for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def encode_texts(path: str, texts: pa.Array | pa.ChunkedArray, end: int | None = None) -> Iterator[np.ndarray]:
+    """Ids of every text of a column, as in :func:`encode_slices`."""
+    for _, _, ids in encode_slices(path, texts, end):
+        yield from ids

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemlake.llm.common import cut_lineage, offsets_by_part, typed
-from itemlake.llm.encode import encode_texts
+from itemlake.llm.encode import encode_slices
 
 LENGTH = 4096
 ENCODED = "doc_id long, __part int, __at long, __n long, __ids binary"
@@ -28,14 +28,14 @@ def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = list(encode_texts(path, batch.column(1), end))
-            counts = np.array([len(x) for x in ids], np.int64)
-            starts = at + np.cumsum(counts) - counts
-            at += int(counts.sum())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(counts),
-                 pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
-                ["doc_id", "__part", "__at", "__n", "__ids"])
+            for a, b, ids in encode_slices(path, batch.column(1), end):
+                counts = np.array([len(x) for x in ids], np.int64)
+                starts = at + np.cumsum(counts) - counts
+                at += int(counts.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(starts),
+                     pa.array(counts), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
+                    ["doc_id", "__part", "__at", "__n", "__ids"])
     return run
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlake.llm import packing, token_files
+from itemlake.llm import decontaminate, line_dedup, near_dedup, packing, token_files
 from itemlake.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,43 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_token_files")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read(spark, sf_dir, "documents"), tokenizer(), end=1)
+
+
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.array_sort("contamination.items"), ",")
+    return found.select(
+        "doc_id", "contamination.n_words", "contamination.n_hit",
+        F.size("contamination.items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"))
+
+
+@query("op8_line_dedup", """
+    WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
+    totals AS (SELECT source, count(*) AS host_pages FROM pages GROUP BY source),
+    lines AS (
+        SELECT source, line, count(*) AS pages
+        FROM (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM pages)
+        WHERE trim(line) <> '' GROUP BY source, line),
+    boiler AS (
+        SELECT lines.source, list(line) AS dropped
+        FROM lines JOIN totals ON lines.source IS NOT DISTINCT FROM totals.source
+        WHERE pages >= 5 AND pages / host_pages > 0.1 GROUP BY lines.source),
+    cut AS (
+        SELECT doc_id, string_split(text, chr(10)) AS own,
+               [x FOR x IN string_split(text, chr(10)) IF NOT list_contains(coalesce(dropped, []), x)] AS kept
+        FROM documents LEFT JOIN boiler ON documents.source IS NOT DISTINCT FROM boiler.source)
+    SELECT doc_id, array_to_string(kept, chr(10)) AS text, coalesce(len(own), 0) AS n_lines,
+           coalesce(len(own) - len(kept), 0) AS n_dropped
+    FROM cut""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs, counts=True).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query("op4_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "class_rows")
