@@ -126,7 +126,7 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bucket, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             uid = batch.column(2).to_numpy()
-            width = len(batch.column(3)[0]) if len(bucket) else 0
+            width = len(batch.column(3)[0].as_py()) if len(bucket) else 0
             marks = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(bucket), width)
             more = batch.column(4).to_numpy(zero_copy_only=False)
             edges = np.concatenate([[0], np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])) + 1,
