@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlake.llm import decontaminate, fingerprints, line_dedup, near_dedup, packing, token_files, toxicity
+from itemlake.llm import (decontaminate, fingerprints, language, line_dedup, near_dedup, packing, quotes, token_files, toxicity,
+                          warc)
 from itemlake.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +93,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_warc")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+@query("op7_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.fit(docs)
+    rows = language.documents_with_addresses(docs, read(spark, sf_dir, "pages"))
+    return language.identify(rows, model).withColumnRenamed("id", "doc_id")
+
+
+@query("op2_quotes")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(read(spark, sf_dir, "conversations"))
