@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import contextlib
+import ctypes
+import re
+from collections.abc import Callable, Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemlake.session import cut_lineage, new_folder
 
-__all__ = ["cut_lineage", "new_folder", "read", "typed", "offsets_by_part", "tasks"]
+__all__ = ["cut_lineage", "freeing", "new_folder", "small_batches", "read", "typed", "offsets_by_part", "tasks"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of texts that go to a Python worker at a time; texts are handled in slices of a few MiB.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES: a batch of whole texts is held several times."""
+    now = int(re.sub(r"\D", "", str(spark.conf.get(_BATCH_SETTING, "0"))) or 0)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a task; when it ends, unused memory goes back, as Python workers outlive tasks."""
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc can trim
+            ctypes.CDLL(None).malloc_trim(0)
+    return task
+
+
 def typed(df: DataFrame, columns: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Only the named inputs as ``{internal name: (column, type)}``; other columns cannot clash."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").cast(t).alias(n) for n, (c, t) in columns.items()])
 
 

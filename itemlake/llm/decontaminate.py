@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemlake.llm.common import cut_lineage, typed
+from itemlake.llm.common import cut_lineage, freeing, typed
 from itemlake.llm.words import grams, word_slices, words_of
 
 WINDOW = 13
@@ -181,14 +181,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
     key = F.xxhash64(F.col(f"`{text}`"))
     found = (typed(docs, {"text": (text, "string")}).select(F.xxhash64("text").alias("text_key"), "text")
-             .mapInArrow(_document_prints(short, bitmap, window, k), "text_key long, at int, print long"))
+             .mapInArrow(freeing(_document_prints(short, bitmap, window, k)), "text_key long, at int, print long"))
     matches = (found.join(prints, "print")
                .groupBy("text_key", "item").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts")))
     hits = cut_lineage(matches.join(classes.select("item", "items", "words"), "item")
                        .groupBy("text_key").agg(F.collect_list(F.struct("items", "words", "shifts")).alias("__hits")))
     # Equal keys of different texts do no harm: matches are checked word by word.
     joined = docs.join(hits.withColumnRenamed("text_key", "__text_key"), key == F.col("__text_key"), "left")
-    find = F.arrow_udf(_extend(window), FOUND)
+    find = F.arrow_udf(freeing(_extend(window)), FOUND)
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns],
                          find(F.col(f"`{text}`").cast("string"), F.col("__hits")).alias(result))
 

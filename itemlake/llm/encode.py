@@ -21,7 +21,7 @@ REMEMBERED = 500_000
 #: ASCII marks that the pre-tokenizer takes in one piece; not ``'`` (contractions) or ``<`` (special tokens).
 MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 #: Bytes of text handled at once (one text may be longer).
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 def text_slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int]]:

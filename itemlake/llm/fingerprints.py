@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemlake.llm.common import tasks, typed
+from itemlake.llm.common import freeing, tasks, typed
 from itemlake.llm.encode import plain_strings, text_slices
 from itemlake.llm.words import VALUES, mix, span_hashes
 
@@ -176,4 +176,4 @@ def compare_with_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     rows = placed.select("bucket", F.lit(0).alias("guest"), "doc_id", "text").union(guests)
     ordered = (rows.repartition(tasks(spark), "bucket")
                .sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text")))
-    return ordered.mapInArrow(_compare, RESULT)
+    return ordered.mapInArrow(freeing(_compare), RESULT)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemlake.llm.common import cut_lineage, typed
+from itemlake.llm.common import cut_lineage, freeing, typed
 from itemlake.llm.encode import plain_strings, text_slices
 from itemlake.llm.words import VALUES
 
@@ -103,7 +103,7 @@ def text_evidence(model: Model, text: str | Column) -> Column:
             flat = np.concatenate(out) if out else np.zeros((0, len(weights)))
             values = pa.array(flat.reshape(-1))
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * len(weights)), values)
-    return F.arrow_udf(run, "array<double>")(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    return F.arrow_udf(freeing(run), "array<double>")(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
 def declared_language(html: str | Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemlake.llm.common import cut_lineage, tasks, typed
+from itemlake.llm.common import cut_lineage, freeing, tasks, typed
 from itemlake.llm.components import components
 from itemlake.llm.dart_minhash import signatures
 from itemlake.llm.words import Words, grams, mix, word_slices
@@ -193,7 +193,7 @@ def candidate_links(signed: DataFrame, block: int = BLOCK) -> DataFrame:
                  .repartition(tasks(spark), "bucket", "block")
                  .sortWithinPartitions("bucket", "block", F.xxhash64("uid", "bucket"))
                  .select("bucket", "block", "uid", "marks", (blocks > 1).alias("more")))
-        led = cut_lineage(dealt.mapInArrow(_lead, LED))
+        led = cut_lineage(dealt.mapInArrow(freeing(_lead), LED))
         links = led.filter(F.col("b").isNotNull()).select("a", "b", "likeness")
         found = links if found is None else found.union(links)
         left = led.filter(F.col("bucket").isNotNull()).select("bucket", F.col("a").alias("uid"), F.col("rest").alias("marks"))
@@ -239,7 +239,7 @@ def _checked(docs: DataFrame, signed: DataFrame, pairs: DataFrame, size: int, si
     ends = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
     wanted = cut_lineage(signed.join(ends, "uid").select("uid", "text_key", "words_key"))
     texts = docs.join(wanted.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key", "text"])
-    sets = texts.select("text_key", "text").mapInArrow(_sets(size), "text_key long, words_key binary, shingles binary")
+    sets = texts.select("text_key", "text").mapInArrow(freeing(_sets(size)), "text_key long, words_key binary, shingles binary")
     known = cut_lineage(wanted.join(sets.drop("text_key").dropDuplicates(["words_key"]), "words_key").select("uid", "shingles"))
     both = (pairs.join(known.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), "a")
             .join(known.select(F.col("uid").alias("b"), F.col("shingles").alias("y")), "b"))
@@ -249,7 +249,8 @@ def _checked(docs: DataFrame, signed: DataFrame, pairs: DataFrame, size: int, si
 def _classes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """``(doc_id, text_key, class)`` of every row; equal classes have equal numbers."""
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    signed = cut_lineage(keyed.select("doc_id", "text_key", "text").mapInArrow(_sign(size, BANDS, ROWS), SIGNED))
+    signed = cut_lineage(keyed.select("doc_id", "text_key", "text").mapInArrow(
+        freeing(_sign(size, BANDS, ROWS)), SIGNED))
     first = cut_lineage(signed.groupBy("words_key").agg(F.min("uid").alias("uid")))
     distinct = cut_lineage(signed.join(first.select("uid"), "uid").drop("doc_id"))
     links = cut_lineage(candidate_links(distinct))

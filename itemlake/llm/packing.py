@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemlake.llm.common import cut_lineage, offsets_by_part, typed
+from itemlake.llm.common import cut_lineage, freeing, offsets_by_part, typed
 from itemlake.llm.encode import encode_slices
 
 LENGTH = 4096
@@ -51,7 +51,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end: int = 2, length: int = LENGTH,
     often as they come; no rows give no pieces; other columns are not looked at.
     """
     inputs = typed(docs, {"doc_id": (doc_id, "long"), "text": (text, "string")})
-    encoded = cut_lineage(inputs.mapInArrow(_encode(tokenizer, end), ENCODED))
+    encoded = cut_lineage(inputs.mapInArrow(freeing(_encode(tokenizer, end)), ENCODED))
     bases = offsets_by_part(encoded, "__part", "__n", "__base")
     size = F.lit(length).cast("long")
     placed = (encoded.join(F.broadcast(bases), "__part")

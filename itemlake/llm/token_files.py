@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from itemlake.llm.common import new_folder, tasks, typed
+from itemlake.llm.common import freeing, new_folder, tasks, typed
 from itemlake.llm.encode import encode_texts, plain_strings
 
 MAGIC = b"TOKSHRD1"
@@ -230,7 +230,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end: int
     inputs = typed(docs, {"doc_id": (doc_id, "long"), "text": (text, "string")})
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = inputs.repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order)
-    rows = dealt.mapInArrow(_write(f"{folder}/shards", tokenizer, end, width, shard_docs, shard_tokens), MANIFEST)
+    rows = dealt.mapInArrow(
+        freeing(_write(f"{folder}/shards", tokenizer, end, width, shard_docs, shard_tokens)), MANIFEST)
     rows.write.parquet(f"{folder}/manifest")
 
 

@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemlake.llm.common import cut_lineage
+from itemlake.llm.common import cut_lineage, freeing, small_batches
 from itemlake.llm.words import VALUES, Words, span_hashes, word_slices, words_of
 
 #: Labelled rows used for fitting, about; the only bound in this operator.
@@ -97,7 +97,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
     totals = sample.agg(F.sum("label"), F.count(F.lit(1))).first()
     bad, every = int(totals[0] or 0), int(totals[1])
     counts = "form long, toxic long, other long"
-    seen = (sample.filter("label = 1").select("text", "label").mapInArrow(_count_forms(None), counts)
+    seen = (sample.filter("label = 1").select("text", "label").mapInArrow(freeing(_count_forms(None)), counts)
             .groupBy("form").agg(F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= SUPPORT)
             .orderBy(F.desc("toxic"), "form").limit(10 * LEXICON).collect())
     known = np.sort(np.array([r["form"] for r in seen], np.int64).view(np.uint64))
@@ -183,7 +183,7 @@ def _features(lexicon):
             rows = [of_slice(w, part[a:b]) for a, b, w in word_slices(texts)]
             flat = np.concatenate(rows) if rows else np.zeros((0, 15))
             yield pa.FixedSizeListArray.from_arrays(pa.array(flat.reshape(-1)), flat.shape[1]).cast(pa.list_(pa.float64()))
-    return F.arrow_udf(run, "array<double>")
+    return F.arrow_udf(freeing(run), "array<double>")
 
 
 def held_out(doc_id: str | Column) -> Column:
@@ -202,6 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     known = (labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label"))
              .filter(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out("id"))
              .groupBy("id").agg(F.max("label").alias("label")))
+    small_batches(docs.sparkSession)
     known = cut_lineage(known)
     share = min(1.0, sample_rows / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < round(share * 1_000_000))

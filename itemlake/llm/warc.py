@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemlake.llm.common import cut_lineage, new_folder, offsets_by_part, tasks, typed
+from itemlake.llm.common import cut_lineage, freeing, new_folder, offsets_by_part, tasks, typed
 
 LEAST_PAYLOAD = 100
 ARCHIVE_BYTES = 512 << 20
@@ -167,7 +167,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
     """Write ``captures`` as archives under ``folder/archives``; the committed index of sorted runs."""
     ordered = (rows.select("page_id", "url_key", "url", "captured", "digest", "payload", "refers_to")
                .sortWithinPartitions("url_key", "captured", "page_id"))
-    ordered.mapInArrow(_write(f"{folder}/archives", archive_bytes), INDEX).write.parquet(f"{folder}/runs")
+    ordered.mapInArrow(freeing(_write(f"{folder}/archives", archive_bytes)), INDEX).write.parquet(f"{folder}/runs")
     return rows.sparkSession.read.schema(INDEX).parquet(f"{folder}/runs")
 
 
@@ -241,7 +241,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """The records that ``index`` names, archive by archive; payloads are checked against their digests."""
     dealt = (index.select("file", "at", "size", "position").repartition(tasks(index.sparkSession), "file")
              .sortWithinPartitions("file", "at"))
-    return dealt.mapInArrow(_read(f"{folder}/archives"), READ)
+    return dealt.mapInArrow(freeing(_read(f"{folder}/archives")), READ)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
