@@ -27,7 +27,7 @@ _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def small_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to BATCH_BYTES: a batch of whole texts is held several times."""
-    now = int(re.sub(r"\D", "", str(spark.conf.get(_BATCH_SETTING, "0"))) or 0)
+    now = int(re.sub(r"\D", "", spark.conf.get(_BATCH_SETTING)) or 0)
     if not 0 < now <= BATCH_BYTES:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
