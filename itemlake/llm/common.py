@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import re
 from collections.abc import Callable, Iterator, Mapping
 
@@ -34,7 +35,8 @@ def small_batches(spark: SparkSession) -> None:
 
 def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` for a task; when it ends, unused memory goes back, as Python workers outlive tasks."""
-    def task(batches: Iterator) -> Iterator:
+    @functools.wraps(run)
+    def task(batches):
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # only glibc can trim
