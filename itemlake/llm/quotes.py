@@ -77,16 +77,39 @@ def quotation_links(messages: DataFrame) -> DataFrame:
 
 
 def _threads(replies: DataFrame) -> DataFrame:
-    """Depth and first turn of every turn's chain of replies, by doubling the step taken back."""
-    state = cut_lineage(replies.select("conv", "turn", F.coalesce("reply_to", "turn").alias("up"),
-                                       F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    while True:
-        above = state.select(F.col("conv").alias("__c"), F.col("turn").alias("__t"), F.col("up").alias("__up"), F.col("depth").alias("__d"))
-        after = cut_lineage(state.join(above, (F.col("conv") == F.col("__c")) & (F.col("up") == F.col("__t"))).select(
-            "conv", "turn", F.col("__up").alias("up"), (F.col("depth") + F.col("__d")).alias("depth"), (F.col("__up") != F.col("up")).alias("moved")))
-        if after.filter("moved").isEmpty():
-            return after.select("conv", "turn", F.col("up").alias("thread"), "depth")
+    """Depth and first turn of every turn's chain of replies.
+
+    Turns that reply to the turn before them form stretches, within which depth is a difference of
+    places. Only the stretches' heads, which begin a conversation or reply further back, are followed
+    by doubling the step taken back.
+    """
+    far = ~F.col("reply_to").eqNullSafe(F.col("before")) | F.col("before").isNull()
+    laid = cut_lineage(ordered_scan(replies.withColumn("far", far), ["conv"], ["turn"], position="place",
+                                    running={"stretch": F.col("far").cast("long")}))
+    heads = laid.filter("far").select("conv", "stretch", F.col("turn").alias("first"), F.col("place").alias("at"), "reply_to")
+    source = laid.select(F.col("conv").alias("__c"), F.col("turn").alias("__t"), F.col("stretch").alias("__s"), F.col("place").alias("__p"))
+    begins = heads.select(F.col("conv").alias("__hc"), F.col("stretch").alias("__hs"), F.col("at").alias("__hat"))
+    linked = (heads.filter(F.col("reply_to").isNotNull())
+              .join(source, (F.col("conv") == F.col("__c")) & (F.col("reply_to") == F.col("__t")))
+              .join(begins, (F.col("conv") == F.col("__hc")) & (F.col("__s") == F.col("__hs")))
+              .select("conv", "stretch", F.col("__s").alias("up"), (F.col("__p") - F.col("__hat") + 1).alias("steps")))
+    state, done = cut_lineage(linked), heads.filter(F.col("reply_to").isNull()).select(
+        "conv", "stretch", F.col("stretch").alias("up"), F.lit(0).cast("long").alias("steps"))
+    while not state.isEmpty():
+        above = state.select(F.col("conv").alias("__c"), F.col("stretch").alias("__s"), F.col("up").alias("__up"), F.col("steps").alias("__n"))
+        after = cut_lineage(state.join(above, (F.col("conv") == F.col("__c")) & (F.col("up") == F.col("__s")), "left").select(
+            "conv", "stretch", F.coalesce("__up", "up").alias("up"), (F.col("steps") + F.coalesce("__n", F.lit(0))).alias("steps"),
+            F.col("__up").isNotNull().alias("moved")))
+        moved = not after.filter("moved").isEmpty()
         state = after.drop("moved")
+        if not moved:
+            done = done.union(state)
+            break
+    roots = heads.select(F.col("conv").alias("__c"), F.col("stretch").alias("__s"), F.col("first").alias("thread"))
+    placed = heads.select("conv", "stretch", "at").join(done, ["conv", "stretch"]).join(
+        roots, (F.col("conv") == F.col("__c")) & (F.col("up") == F.col("__s"))).select("conv", "stretch", "at", "steps", "thread")
+    return (laid.join(placed, ["conv", "stretch"])
+            .select("conv", "turn", "thread", (F.col("steps") + F.col("place") - F.col("at")).alias("depth")))
 
 
 def reply_ordered(conversations: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
@@ -109,9 +132,9 @@ def reply_ordered(conversations: DataFrame, *, conv_id: str = "conv_id", turn: s
     turns = keyed.select("conv", "turn").distinct()
     before = ordered_scan(turns, ["conv"], ["turn"], prior={"before": F.col("turn")})
     replies = cut_lineage(before.join(parent, ["conv", "turn"], "left").join(linked, ["conv", "turn"], "left")
-                          .select("conv", "turn", F.coalesce("source", "before").alias("reply_to"),
+                          .select("conv", "turn", "before", F.coalesce("source", "before").alias("reply_to"),
                                   F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked")))
-    placed = replies.join(_threads(replies), ["conv", "turn"])
+    placed = replies.drop("before").join(_threads(replies), ["conv", "turn"])
     quoted = F.size(F.filter(F.split("text", "\n", -1), lambda x: quote_level(x) > 0))
     joined = keyed.join(placed, ["conv", "turn"])
 
