@@ -8,13 +8,14 @@ import functools
 import re
 from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemlake.session import cut_lineage, new_folder
 
-__all__ = ["cut_lineage", "freeing", "new_folder", "small_batches", "read", "typed", "offsets_by_part", "tasks"]
+__all__ = ["bitmap", "cut_lineage", "freeing", "in_bitmap", "may_match", "new_folder", "small_batches", "read", "typed", "offsets_by_part", "tasks"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,3 +66,32 @@ def offsets_by_part(written: DataFrame, part: str, amount: str | Column, name: s
 def tasks(spark: SparkSession) -> int:
     """Partitions for an exchange whose rows are dealt by a key."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Bits of a filter for an exact join that follows; its size does not depend on the data (1 MiB).
+FILTER_BITS = 1 << 23
+
+
+def bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """Filter of the hashes in a column, put together by Spark in words of 64 bits: at most
+    FILTER_BITS / 64 rows come back. The fuller it is the less it keeps off; it never drops a match."""
+    bit = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in (rows.groupBy(F.shiftright(bit, 6).cast("int").alias("word"))
+              .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits"))
+              .toLocalIterator()):
+        words[r["word"]] = r["bits"]
+    return words.view(np.uint8)
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes & np.uint64(FILTER_BITS - 1)
+    return (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def may_match(bits: np.ndarray, column: str) -> Column:
+    """Whether a hash column's value can be among those of the filter."""
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for hashes in batches:
+            yield pa.array(in_bitmap(bits, hashes.to_numpy(zero_copy_only=False).view(np.uint64)))
+    return F.arrow_udf(run, "boolean")(F.col(column))

@@ -17,13 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemlake.llm.common import cut_lineage, freeing, typed
+from itemlake.llm.common import bitmap, cut_lineage, freeing, in_bitmap, typed
 from itemlake.llm.words import grams, word_slices, words_of
 
 WINDOW = 13
 K = 6
-#: Bits of the filter; its size does not depend on the benchmark (1 MiB).
-FILTER_BITS = 1 << 23
 FOUND = "n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
@@ -80,16 +78,14 @@ def _item_prints(window: int, k: int):
     return run
 
 
-def _document_prints(short: list[int], bitmap: np.ndarray, window: int, k: int):
+def _document_prints(short: list[int], bits: np.ndarray, window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64(FILTER_BITS - 1)
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for first, last, w in word_slices(batch.column(1)):
                 for at, prints, _ in _prints(w.hashes, w.bounds, short, False, window, k):
-                    bit = prints & mask
-                    seen = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-                    at, prints = at[seen == 1], prints[seen == 1]
+                    seen = in_bitmap(bits, prints)
+                    at, prints = at[seen], prints[seen]
                     of = np.searchsorted(w.bounds, at, "right") - 1
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys[first:last][of]), pa.array((at - w.bounds[of]).astype(np.int32)),
@@ -97,17 +93,6 @@ def _document_prints(short: list[int], bitmap: np.ndarray, window: int, k: int):
     return run
 
 
-def _bitmap(prints: DataFrame) -> np.ndarray:
-    """The filter, put together by Spark in words of 64 bits: at most FILTER_BITS / 64 rows come back."""
-    bit = F.col("print").bitwiseAND(F.lit(FILTER_BITS - 1))
-    rows = (prints.groupBy(F.shiftright(bit, 6).cast("int").alias("word"))
-            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits")))
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in rows.toLocalIterator():
-        words[r["word"]] = r["bits"]
-    return words.view(np.uint8)
-
-
 def _extend(window: int):
     def one(doc: np.ndarray, hits) -> tuple[list[tuple[int, int]], list[str]]:
         spans, items = [], set()
@@ -177,11 +162,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     prints = cut_lineage(classes.select("item", "text").mapInArrow(
         _item_prints(window, k), "item string, item_at int, print long, kind int"))
     short = sorted(r[0] for r in prints.select("kind").distinct().collect() if r[0])  # at most window - 1
-    bitmap = _bitmap(prints)
+    bits = bitmap(prints, "print")
 
     key = F.xxhash64(F.col(f"`{text}`"))
     found = (typed(docs, {"text": (text, "string")}).select(F.xxhash64("text").alias("text_key"), "text")
-             .mapInArrow(freeing(_document_prints(short, bitmap, window, k)), "text_key long, at int, print long"))
+             .mapInArrow(freeing(_document_prints(short, bits, window, k)), "text_key long, at int, print long"))
     matches = (found.join(prints, "print")
                .groupBy("text_key", "item").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts")))
     hits = cut_lineage(matches.join(classes.select("item", "items", "words"), "item")

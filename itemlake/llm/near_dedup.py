@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemlake.llm.common import cut_lineage, freeing, tasks, typed
+from itemlake.llm.common import bitmap, cut_lineage, freeing, may_match, tasks, typed
 from itemlake.llm.components import components
 from itemlake.llm.dart_minhash import signatures
 from itemlake.llm.words import Words, grams, mix, word_slices
@@ -153,13 +153,26 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.concatenate([h[3] for h in held])
         leaders = np.empty_like(marks)
         chosen: list[int] = []
+        joined = list(range(len(uid)))  # classes by sure links within the group
+
+        def top(i: int) -> int:
+            while joined[i] != i:
+                joined[i] = i = joined[joined[i]]
+            return i
+
+        unsure = []
         for i in range(len(uid)):
             like = estimate(leaders[:len(chosen)], marks[i])
             for j in np.flatnonzero(like >= UNSURE).tolist():
-                out.append((int(uid[i]), int(uid[chosen[j]]), float(like[j]), None, None))
+                if like[j] < SURE:
+                    unsure.append((i, chosen[j], float(like[j])))
+                elif top(i) != top(chosen[j]):  # a sure link within a class says nothing new
+                    joined[top(i)] = top(chosen[j])
+                    out.append((int(uid[i]), int(uid[chosen[j]]), float(like[j]), None, None))
             if not len(like) or like.max() < ALIKE:
                 leaders[len(chosen)] = marks[i]
                 chosen.append(i)
+        out.extend((int(uid[i]), int(uid[j]), x, None, None) for i, j, x in unsure if top(i) != top(j))
         if more:
             out.extend((int(uid[i]), None, None, bucket, marks[i].tobytes()) for i in chosen)
         if len(out) > 20_000:
@@ -182,16 +195,21 @@ def candidate_links(signed: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(a, b, likeness)`` between texts of ``signed (uid, bands, marks)`` whose estimate reaches UNSURE."""
     spark = signed.sparkSession
     rows = signed.select("uid", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    met = cut_lineage(rows.join(shared, "bucket"))
+    # Most shared buckets hold two texts, which their least and greatest id name without a join.
+    shared = cut_lineage(rows.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("uid").alias("low"), F.max("uid").alias("high")).filter(F.col("n") > 1))
+    two = shared.filter("n = 2").select("bucket", F.explode(F.array("low", "high")).alias("uid"), "n")
+    met = cut_lineage(two.union(rows.join(shared.filter("n > 2").select("bucket", "n"), "bucket").select("bucket", "uid", "n")))
     level = met.join(signed.select("uid", "marks"), "uid")
     found = None
     while True:
         blocks = F.ceil(F.col("n") / F.lit(block))
-        # The same text takes another place in every bucket, so leaders differ between bands.
+        # In half of the buckets the least ids lead, so groups agree on leaders; in the others the order
+        # differs from bucket to bucket, so that links missed in one are found in the next.
+        order = F.when(F.col("bucket") % 2 == 0, F.col("uid")).otherwise(F.xxhash64("uid", "bucket"))
         dealt = (level.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(7)), blocks).cast("int"))
                  .repartition(tasks(spark), "bucket", "block")
-                 .sortWithinPartitions("bucket", "block", F.xxhash64("uid", "bucket"))
+                 .sortWithinPartitions("bucket", "block", order)
                  .select("bucket", "block", "uid", "marks", (blocks > 1).alias("more")))
         led = cut_lineage(dealt.mapInArrow(freeing(_lead), LED))
         links = led.filter(F.col("b").isNotNull()).select("a", "b", "likeness")
@@ -238,7 +256,9 @@ def _checked(docs: DataFrame, signed: DataFrame, pairs: DataFrame, size: int, si
     """The pairs whose sets of shingles are alike enough."""
     ends = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
     wanted = cut_lineage(signed.join(ends, "uid").select("uid", "text_key", "words_key"))
-    texts = docs.join(wanted.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key", "text"])
+    # The filter keeps nearly all other texts out of the join.
+    likely = docs.select("text_key", "text").filter(may_match(bitmap(wanted, "text_key"), "text_key"))
+    texts = likely.join(wanted.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key", "text"])
     sets = texts.select("text_key", "text").mapInArrow(freeing(_sets(size)), "text_key long, words_key binary, shingles binary")
     known = cut_lineage(wanted.join(sets.drop("text_key").dropDuplicates(["words_key"]), "words_key").select("uid", "shingles"))
     both = (pairs.join(known.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), "a")
@@ -251,14 +271,16 @@ def _classes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     signed = cut_lineage(keyed.select("doc_id", "text_key", "text").mapInArrow(
         freeing(_sign(size, BANDS, ROWS)), SIGNED))
-    first = cut_lineage(signed.groupBy("words_key").agg(F.min("uid").alias("uid")))
-    distinct = cut_lineage(signed.join(first.select("uid"), "uid").drop("doc_id"))
+    first = cut_lineage(signed.groupBy("words_key").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("rows")))
+    several = first.filter("rows > 1").select("words_key", F.col("uid").alias("kept"))
+    copies = signed.select("words_key", "uid").join(several, "words_key").filter(F.col("uid") != F.col("kept"))
+    distinct = cut_lineage(signed.join(copies.select("uid"), "uid", "left_anti").drop("doc_id"))
     links = cut_lineage(candidate_links(distinct))
     sure = links.filter(F.col("likeness") >= SURE).select("a", "b")
     unsure = links.filter(F.col("likeness") < SURE).select("a", "b")
     near = _checked(keyed, distinct, unsure, size, similarity)
     roots = cut_lineage(components(sure.union(near)))
-    named = (first.join(roots, first["uid"] == roots["vertex"], "left")
+    named = (first.drop("rows").join(roots, first["uid"] == roots["vertex"], "left")
              .select("words_key", F.coalesce("root", "uid").alias("class")))
     return signed.select("doc_id", "text_key", "words_key").join(named, "words_key").drop("words_key")
 
