@@ -65,6 +65,7 @@ def signatures(elements: np.ndarray, weights: np.ndarray, bounds: np.ndarray, k:
 def _throw(elements, weights, of, floor, limit, k, best) -> None:
     """Throw the darts with ranks from ``floor`` to ``limit`` at all elements and keep the earliest."""
     top_rank, top_weight = float(limit.max(initial=0)), float(weights.max(initial=0))
+    gold = int(_GOLD)
     low_weight, wide, level = 0.0, 1.0, 0
     while low_weight < top_weight:
         heavy = weights > low_weight
@@ -72,7 +73,7 @@ def _throw(elements, weights, of, floor, limit, k, best) -> None:
         while low_rank < top_rank:
             at = np.flatnonzero(heavy & (limit > low_rank) & (floor < low_rank + high))
             if len(at):
-                cell = mix(elements[at] + _U(level * 64 + row + 1) * _GOLD)
+                cell = mix(elements[at] + _U((level * 64 + row + 1) * gold % 2**64))
                 n = np.searchsorted(_poisson(wide * high), _unit(cell), "right")
                 dart = np.repeat(cell, n)
                 nth = np.arange(len(dart)) - np.repeat(np.cumsum(n) - n, n)

@@ -32,6 +32,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 #: Texts compared in one group at most.
 BLOCK = 2048
+#: Spanning forests of links that a group gives.
+FORESTS = 3
 #: Four standard deviations of an estimate around the threshold are checked exactly.
 UNSURE, SURE, ALIKE = 0.68, 0.92, 0.84
 _U = np.uint64
@@ -111,6 +113,35 @@ SIGNED = "uid long, doc_id long, text_key long, words_key binary, bands array<lo
 LED = "a long, b long, likeness double, bucket long, rest binary"
 
 
+def _forests(size: int, found: list[np.ndarray]) -> list[tuple[int, int, float]]:
+    """The FORESTS likeliest spanning forests of a group's links, no link in two of them.
+
+    They join whatever the links join, with a number of links that grows with the group and not with its
+    square; a class falls apart only if every forest's link across a gap fails the exact check.
+    """
+    if not found:
+        return []
+    left, right, like = np.concatenate(found, axis=1)
+    order = np.argsort(-like, kind="stable")
+    edges = list(zip(left[order].astype(int).tolist(), right[order].astype(int).tolist(), like[order].tolist()))
+    taken: list[tuple[int, int, float]] = []
+    for _ in range(FORESTS):
+        joined, rest = list(range(size)), []
+        for edge in edges:
+            i, j, _ = edge
+            while joined[i] != i:
+                joined[i] = i = joined[joined[i]]
+            while joined[j] != j:
+                joined[j] = j = joined[joined[j]]
+            if i == j:
+                rest.append(edge)
+            else:
+                joined[i] = j
+                taken.append(edge)
+        edges = rest
+    return taken
+
+
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leaders and links of every (bucket, block); rows come sorted by them.
 
@@ -153,26 +184,16 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.concatenate([h[3] for h in held])
         leaders = np.empty_like(marks)
         chosen: list[int] = []
-        joined = list(range(len(uid)))  # classes by sure links within the group
-
-        def top(i: int) -> int:
-            while joined[i] != i:
-                joined[i] = i = joined[joined[i]]
-            return i
-
-        unsure = []
+        edges = []
         for i in range(len(uid)):
             like = estimate(leaders[:len(chosen)], marks[i])
-            for j in np.flatnonzero(like >= UNSURE).tolist():
-                if like[j] < SURE:
-                    unsure.append((i, chosen[j], float(like[j])))
-                elif top(i) != top(chosen[j]):  # a sure link within a class says nothing new
-                    joined[top(i)] = top(chosen[j])
-                    out.append((int(uid[i]), int(uid[chosen[j]]), float(like[j]), None, None))
+            at = np.flatnonzero(like >= UNSURE)
+            if len(at):
+                edges.append(np.stack([np.full(len(at), i), np.array(chosen)[at], like[at]]))
             if not len(like) or like.max() < ALIKE:
                 leaders[len(chosen)] = marks[i]
                 chosen.append(i)
-        out.extend((int(uid[i]), int(uid[j]), x, None, None) for i, j, x in unsure if top(i) != top(j))
+        out.extend((int(uid[i]), int(uid[j]), x, None, None) for i, j, x in _forests(len(uid), edges))
         if more:
             out.extend((int(uid[i]), None, None, bucket, marks[i].tobytes()) for i in chosen)
         if len(out) > 20_000:
