@@ -23,7 +23,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 #: Bytes of texts that go to a Python worker at a time; texts are handled in slices of a few MiB.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces kept per worker; beyond it the memory starts anew, which costs time and changes nothing.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: ASCII marks that the pre-tokenizer takes in one piece; not ``'`` (contractions) or ``<`` (special tokens).
 MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 #: Bytes of text handled at once (one text may be longer).

@@ -92,7 +92,7 @@ def words_of(texts: pa.Array) -> Words:
     return Words(hashes, np.searchsorted(starts, text_bounds), starts, ends, raw, text_bounds)
 
 
-def word_slices(texts: pa.Array | pa.ChunkedArray, limit: int = 2 << 20) -> Iterator[tuple[int, int, Words]]:
+def word_slices(texts: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
     """``(first, last, words)`` for runs of texts of about ``limit`` bytes."""
     texts = plain_strings(texts)
     for first, last in text_slices(texts, limit):
