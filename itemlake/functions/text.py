@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 from operator import or_
@@ -130,12 +131,12 @@ def marked_options(text: Column) -> Column:
     """
     def pairs(t: Column) -> Column:
         markers = F.regexp_extract_all(t, F.lit(C.OPTION_MARKER), F.lit(0))
-        pieces = F.slice(F.split(t, C.OPTION_MARKER), 2, 1000000)
+        pieces = F.filter(F.split(t, C.OPTION_MARKER), lambda _, i: i > 0)
         return F.transform(
             F.arrays_zip(markers.alias("m"), pieces.alias("p")),
             lambda z: F.struct(
                 letter(F.regexp_extract(z["m"], r"\w", 0)).alias("label"),
-                py_strip(F.concat(F.substring(z["m"], 4, 1000000), z["p"])).alias("value"),
+                py_strip(F.concat(F.substring(z["m"], F.lit(4), F.length(z["m"])), z["p"])).alias("value"),
             ),
         )
 
@@ -249,14 +250,24 @@ def is_text(kind: Column) -> Column:
     return F.coalesce(kind == "text", F.lit(False))
 
 
+#: All decimal digits beyond ASCII, by their Unicode property, and the ASCII digits of equal value.
+_DIGITS = [chr(c) for c in range(0x80, 0x110000) if unicodedata.decimal(chr(c), None) is not None]
+_VALUES = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
+
+def as_int(digits: Column) -> Column:
+    """Number written in any script's digits; NULL where it does not fit."""
+    return F.translate(digits, "".join(_DIGITS), _VALUES).try_cast("int")
+
+
 def start_number(kind: Column, text: Column) -> Column:
     """Number of an inline-layout question start, else NULL."""
-    return F.when(is_text(kind), group1(py_strip(text), C.QUESTION_START)).cast("int")
+    return as_int(F.when(is_text(kind), group1(py_strip(text), C.QUESTION_START)))
 
 
 def question_number(text: Column) -> Column:
     """Number of a full-paper question start, ``Q1.`` before ``1. text``, else NULL."""
-    return F.coalesce(group1(text, C.Q_PREFIX), group1(text, C.PLAIN_NUMBER_START)).cast("int")
+    return as_int(F.coalesce(group1(text, C.Q_PREFIX), group1(text, C.PLAIN_NUMBER_START)))
 
 
 def strip_number(text: Column) -> Column:
@@ -285,7 +296,7 @@ def key_entries(text: Column, pattern: str = C.KEY_ENTRY) -> Column:
     answers = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
     return F.transform(
         F.arrays_zip(numbers.alias("n"), answers.alias("a")),
-        lambda z: F.struct(z["n"].cast("int").alias("number"), py_strip(z["a"]).alias("answer")),
+        lambda z: F.struct(as_int(z["n"]).alias("number"), py_strip(z["a"]).alias("answer")),
     )
 
 

@@ -353,7 +353,7 @@ def _full_paper_groups(runs: DataFrame) -> DataFrame:
         F.lit("Q"), number, F.lit(": conflicting option "), c["label"], F.lit(" from "), c["source"],
         F.lit("; kept first reading-order value")))
     head = X.strip_number(F.get("stems", F.lit(0)))
-    joined = F.array_join(F.concat(F.array(head), F.slice("stems", 2, 1000000)), "\n")
+    joined = F.array_join(F.concat(F.array(head), F.filter("stems", lambda _, i: i > 0)), "\n")
     return stepped.select(
         "doc_id", "start_idx", "question_number", "section_label", "source_page",
         F.when(F.size("stems") > 0, F.nullif(X.py_strip(joined), F.lit(""))).alias("stem_md"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,10 +30,13 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "12
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach: the session's checkpoint folder.
 
-    Only where the session names none, as in tests, is a local folder made and set.
+    Only where a session with a local master names none, as in tests, is a local folder made and
+    set; on a cluster such a folder would be out of other executors' reach, so that is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = folder or tempfile.mkdtemp(prefix="itemlake-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)

@@ -168,3 +168,11 @@ def test_weighted_ratio_on_published_examples():
     assert weighted_ratio("fuzzy was a bear", "wuzzy fuzzy was a bear") == 95.0
     assert weighted_ratio("", "x") == 0.0
     assert weighted_ratio("Kinematic", "Kinematics") > 85 > weighted_ratio("Optics", "Gravitation")
+
+
+def test_numbers_in_other_scripts(spark):
+    texts = ["١٢. Text", "１２. Text", "Q٣. Text", "99999999999. Text", "12. Text"]
+    df = spark.createDataFrame([(i, "text", t) for i, t in enumerate(texts)], "i int, type string, text string")
+    got = df.select("i", X.question_number(F.col("text")).alias("n"), X.start_number(F.col("type"), F.col("text")).alias("s"),
+                    X.key_entries(F.col("text")).alias("k")).orderBy("i").collect()
+    assert [r.n for r in got] == [12, 12, 3, None, 12] and got[3].s is None
