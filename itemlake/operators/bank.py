@@ -219,24 +219,31 @@ def delete_ingestions(ingestions: DataFrame, questions: DataFrame, paper_questio
 # --- Assembly ----------------------------------------------------------------------------------------
 
 def with_metadata(questions: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Join by document and number, never by position."""
-    return questions.join(metadata, ["doc_id", "question_number"], "left")
+    """Join by document and the block where a question starts; numbers may repeat in a document."""
+    return questions.join(metadata.drop("question_number"), ["doc_id", "start_idx"], "left")
 
 
-def bank_rows(questions: DataFrame, metadata: DataFrame, ingestions: DataFrame) -> DataFrame:
+def question_id() -> Column:
+    """Stable id of a built question: the same document gives the same ids whenever it is read."""
+    return F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in ("doc_id", "start_idx")]))
+
+
+def bank_rows(questions: DataFrame, metadata: DataFrame, ingestions: DataFrame,
+              created_at: Column | None = None) -> DataFrame:
     """Bank rows from built questions, normalised metadata and their ingestion record.
 
-    ``options`` of the input is an array of label and value; the bank stores a map.
+    ``options`` of the input is an array of label and value; the bank stores a map. One row per
+    question of a known ingestion; ``metadata`` has at most one row per question.
     """
     source = ingestions.select(
         F.col("id").alias("doc_id"), F.col("filename").alias("source_pdf"), "exam_name",
         F.col("subject").alias("__given"))
     meta = metadata.select(
-        "doc_id", "question_number", "chapter", "topic", "subtopic", "difficulty", "question_type",
-        "concepts", "has_formula", "has_diagram", "meta_subject", "llm_raw_response")
+        "doc_id", "start_idx", "chapter", "topic", "subtopic", "difficulty", "question_type", "concepts", "has_formula", "has_diagram", "meta_subject", "llm_raw_response")
     joined = with_metadata(questions.drop("subject"), meta).join(source, "doc_id")
     values = F.array_join(F.transform("options", lambda o: o["value"]), " ")
     return joined.select(
+        question_id().alias("id"), (F.current_timestamp() if created_at is None else created_at).alias("created_at"),
         F.col("doc_id").alias("ingestion_id"), "source_pdf", "source_page", "question_number",
         "stem_md", X.as_map(F.col("options")).alias("options"), "answer", "images", "section_type",
         "section_label", "exam_name", F.coalesce("meta_subject", "__given").alias("subject"),

@@ -7,9 +7,9 @@ How many questions each difficulty tier gives follows from counts alone, and the
 are addressed as (cell, position), so the join with the bank carries as many rows as are
 selected, whatever the size of the pools.
 
-Seeded order: the questions of a tier are laid out cell after cell, and a request walks them
-from a seeded offset in seeded prime steps (modulo the pool size), which visits every question
-once. The same seed gives the same questions on any partitioning.
+Seeded order: the questions of a tier are laid out cell after cell, and a keyed permutation of
+their places, computed place by place, says which of them a request takes. The same seed gives
+the same questions on any partitioning.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ FACETS = ["chapter", "difficulty", "question_type", "section_type", "has_formula
 CELL = ["exam_name", "subject", *FACETS]
 SPEC = ["exam_name", "subject", "resolved_chapters", "excluded_chapters", "difficulty",
         "question_type", "section_type", "has_formula", "has_diagram", "concepts", "concept_match_mode"]
-# Primes below 2**31: the walk over a pool visits every place unless a prime divides its size.
-STEPS = [2147483647, 2147483629, 2147483587, 2147483579]
+# Prime modulus of the coins of a shuffle; a product of two values below it fits into 64 bits.
+COIN = 2147483647
 
 
 # --- One request ---------------------------------------------------------------------
@@ -328,20 +328,30 @@ def tier_picks(targets: Column, tiers: Column, count: Column) -> Column:
     return X.let(F.transform(targets, sized), pick)
 
 
-def _seed_number(*parts: Column) -> Column:
-    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+def shuffle_rounds(seed: Column, label: Column, size: Column) -> Column:
+    """Rounds of a shuffle of ``size`` places, more of them for larger pools: a pivot and a coin each."""
+    def keyed(number: Column) -> Column:
+        def parts(digest: Column) -> Column:
+            pivot, a, b = (F.conv(F.substring(digest, at, digits), 16, 10).cast("long")
+                           for at, digits in ((1, 15), (16, 8), (24, 8)))
+            return F.struct((pivot % size).alias("pivot"), (a % COIN).alias("a"), (b % COIN).alias("b"))
 
+        return X.let(F.md5(F.concat_ws(":", *[c.cast("string") for c in (seed, label, number)])), parts)
 
-def walk(seed: Column, label: Column, place: Column, size: Column) -> Column:
-    """The ``place``-th stop of a seeded walk over ``0 … size-1`` without repeats."""
-    offset = _seed_number(seed, label)
-    which = _seed_number(label, seed) % len(STEPS)
-    steps = F.array(*[F.lit(p).cast("long") for p in STEPS])
-    step = F.get(steps, which.cast("int"))
-    other = F.get(steps, ((which + 1) % len(STEPS)).cast("int"))
-    stride = F.when(step % size == 0, F.when(size == 1, F.lit(0)).otherwise(other)).otherwise(step % size)
-    return (offset % size + place * (stride % size)) % size
+    return F.transform(F.sequence(F.lit(1), F.length(F.bin(size)) + 12), keyed)
+
+
+def shuffled(rounds: Column, place: Column, size: Column) -> Column:
+    """Where ``place`` goes in a seeded permutation of ``0 … size-1``.
+
+    In every round a place and its mirror image at the pivot form a pair, and a coin tossed
+    for the pair says whether the two change places; so each round permutes any number of places.
+    """
+    def turn(x: Column, r: Column) -> Column:
+        return X.let(F.pmod(r["pivot"] - x, size), lambda mirror: F.when(
+            (r["a"] * (F.greatest(x, mirror) % COIN) + r["b"]) % COIN * 2 >= COIN, mirror).otherwise(x))
+
+    return F.aggregate(rounds, place, turn)
 
 
 def select_ids(wanted: DataFrame, cells: DataFrame, index: DataFrame) -> DataFrame:
@@ -358,10 +368,10 @@ def select_ids(wanted: DataFrame, cells: DataFrame, index: DataFrame) -> DataFra
         "request_id", "label", "spec", "seed",
         F.explode(tier_picks(F.col("__targets"), F.col("tiers"), count)).alias("t"),
     ).filter(F.col("t.k") > 0)
-    places = picked.select("request_id", "label", "spec", "seed", "t.*",
-                           F.explode(F.sequence(F.lit(0).cast("long"), F.col("t.k") - 1)).alias("place"))
-    addressed = places.withColumn("at", walk(
-        F.col("seed"), F.concat_ws(" ", "label", "tier"), F.col("place"), F.col("n")))
+    keyed = picked.select("request_id", "label", "spec", "t.*", shuffle_rounds(
+        F.col("seed"), F.concat_ws(" ", "label", "t.tier"), F.col("t.n")).alias("rounds"))
+    places = keyed.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    addressed = places.withColumn("at", shuffled(F.col("rounds"), F.col("place"), F.col("n")))
     # Cells of one spec and tier, at most as many as there are facet combinations.
     tier = F.coalesce(F.nullif("difficulty", F.lit("")), F.lit("medium"))
     order = Window.partitionBy("spec", "tier").orderBy("pool")

@@ -11,15 +11,18 @@ from itemlake.session import cut_lineage
 
 
 def normalized_metadata(responses: DataFrame, questions: DataFrame) -> DataFrame:
-    """``responses (doc_id, question_number, response)`` as metadata rows for built questions.
+    """``responses (doc_id, start_idx, response)`` as one metadata row per built question that has any.
 
-    A response that is no JSON gives empty metadata.
+    A question is named by its document and the block it starts at, as numbers may repeat. Of several
+    responses the least readable one counts; a response that is no JSON gives empty metadata.
     """
-    images = questions.select("doc_id", "question_number", F.size("images").alias("__images"))
-    parsed = (responses.join(images, ["doc_id", "question_number"])
+    answer = F.struct(recover_json(F.col("response")).isNull().alias("broken"), "response")
+    single = responses.groupBy("doc_id", "start_idx").agg(F.min(answer)["response"].alias("response"))
+    images = questions.select("doc_id", "start_idx", F.size("images").alias("__images"))
+    parsed = (single.join(images, ["doc_id", "start_idx"])
               .withColumn("__json", recover_json(F.col("response"))))
     fields = metadata_columns(F.col("__json"), F.col("__images"))
-    return parsed.select("doc_id", "question_number", *[c.alias(n) for n, c in fields.items()],
+    return parsed.select("doc_id", "start_idx", *[c.alias(n) for n, c in fields.items()],
                          F.to_json("__json").alias("llm_raw_response"))
 
 

@@ -6,7 +6,7 @@ from itemlake.operators import export as E
 from itemlake.operators import papers as P
 from itemlake.operators import select as S
 from itemlake.plans.queries import query
-from itemlake.plans.queries.requests import POOL
+from itemlake.plans.queries.requests import POOL, SHUFFLED
 from itemlake.session import new_folder
 from itemlake.sources.sinks import append_questions, write_markdown
 
@@ -269,15 +269,12 @@ free AS (SELECT r.paper_id, r.question_id, a.id, count(*) OVER w AS n,
     AND a.section_type = r.section_type AND (r.difficulty IS NULL OR a.difficulty = r.difficulty)
   LEFT JOIN pq x ON x.paper_id = r.paper_id AND x.question_id = a.id
   WHERE x.question_id IS NULL WINDOW w AS (PARTITION BY r.paper_id, r.question_id)),
-stops AS (SELECT DISTINCT paper_id, question_id, n, unnest(range(CAST(least(n, 3) AS BIGINT))) AS i FROM free),
-h AS (SELECT *, CAST('0x' || substr(md5(concat_ws(':', paper_id, question_id)), 1, 8) AS BIGINT) AS off,
-    CAST('0x' || substr(md5(concat_ws(':', question_id, paper_id)), 1, 8) AS BIGINT) % 4 AS which FROM stops),
-g AS (SELECT *, ([2147483647, 2147483629, 2147483587, 2147483579])[CAST(which AS INT) + 1] AS st,
-    ([2147483647, 2147483629, 2147483587, 2147483579])[CAST((which + 1) % 4 AS INT) + 1] AS st2 FROM h)
+keyed AS (SELECT *, list_transform(range(1, length(bin(n)) + 13), lambda r: md5(concat_ws(':', paper_id, question_id, r))) AS ds
+  FROM (SELECT DISTINCT paper_id, question_id, n FROM free)),
+stops AS (SELECT *, unnest(range(CAST(least(n, 3) AS BIGINT))) AS i FROM keyed),
+g AS (SELECT paper_id, question_id, i, """ + SHUFFLED + """ AS at FROM stops)
 SELECT g.paper_id, g.question_id, CAST(g.i + 1 AS INT) AS rank, f.id AS alternative_id
-FROM g JOIN free f ON f.paper_id = g.paper_id AND f.question_id = g.question_id
-  AND f.at = (g.off % g.n + g.i * (CASE WHEN g.st % g.n = 0 THEN CASE WHEN g.n = 1 THEN 0 ELSE g.st2 % g.n END
-                                   ELSE g.st % g.n END)) % g.n""")
+FROM g JOIN free f ON f.paper_id = g.paper_id AND f.question_id = g.question_id AND f.at = g.at""")
 def _(v):
     return P.alternatives(v.paper_rows, v.questions, F.col("paper_id"))
 

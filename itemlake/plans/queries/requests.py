@@ -9,6 +9,13 @@ from itemlake.operators import syllabus as Y
 from itemlake.plans import drafting
 from itemlake.plans.queries import query
 
+#: Where place i of n goes, by the digests ds of the rounds.
+_PIVOT = "CAST('0x' || substr(ds[r], 1, 15) AS BIGINT) % n"
+_MIRROR = f"((({_PIVOT}) - x + n) % n)"
+SHUFFLED = f"""list_reduce(range(1, len(ds) + 1), lambda x, r: CASE WHEN
+    ((CAST('0x' || substr(ds[r], 16, 8) AS BIGINT) % 2147483647) * (greatest(x, {_MIRROR}) % 2147483647)
+     + CAST('0x' || substr(ds[r], 24, 8) AS BIGINT) % 2147483647) % 2147483647 * 2 >= 2147483647 THEN {_MIRROR} ELSE x END, i)"""
+
 
 @query("request_normalization", "SELECT request_id, exam_name, subject, mode AS chapter_filter_mode FROM nreq")
 def _(v):
@@ -173,15 +180,12 @@ b AS (SELECT *, coalesce(sum(s) OVER (PARTITION BY request_id, label ORDER BY or
     coalesce(sum(n - s) OVER (PARTITION BY request_id, label ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bl,
     greatest(0, count - sum(s) OVER (PARTITION BY request_id, label)) AS short FROM s),
 k AS (SELECT *, CAST(greatest(0, least(s, count - bs)) + greatest(0, least(n - s, short - bl)) AS BIGINT) AS k FROM b),
-stops AS (SELECT *, unnest(range(k)) AS i, concat(label, ' ', tier) AS lab FROM k WHERE k > 0),
-h AS (SELECT *, CAST('0x' || substr(md5(concat_ws(':', seed, lab)), 1, 8) AS BIGINT) AS off,
-    CAST('0x' || substr(md5(concat_ws(':', lab, seed)), 1, 8) AS BIGINT) % 4 AS which FROM stops),
-g AS (SELECT *, ([2147483647, 2147483629, 2147483587, 2147483579])[CAST(which AS INT) + 1] AS st,
-    ([2147483647, 2147483629, 2147483587, 2147483579])[CAST((which + 1) % 4 AS INT) + 1] AS st2 FROM h),
+keyed AS (SELECT *, list_transform(range(1, length(bin(n)) + 13),
+    lambda r: md5(concat_ws(':', seed, concat(label, ' ', tier), r))) AS ds FROM k WHERE k > 0),
+stops AS (SELECT *, unnest(range(k)) AS i FROM keyed),
+g AS (SELECT request_id, label, tier, """ + SHUFFLED + """ AS at FROM stops),
 chosen AS (SELECT g.request_id, g.label, p.id, p.chapter, p.question_number, p.section_type
-  FROM g JOIN place p ON p.request_id = g.request_id AND p.label = g.label AND p.tier = g.tier
-    AND p.at = (g.off % g.n + g.i * (CASE WHEN g.st % g.n = 0 THEN CASE WHEN g.n = 1 THEN 0 ELSE g.st2 % g.n END
-                                     ELSE g.st % g.n END)) % g.n)
+  FROM g JOIN place p ON p.request_id = g.request_id AND p.label = g.label AND p.tier = g.tier AND p.at = g.at)
 """
 REQUEST_SELECTION = """
 WITH mine AS (SELECT c.*, 'A' AS label FROM cand c),

@@ -221,11 +221,9 @@ def _(v):
 
 def _bank_parts(v):
     questions = cut_lineage(L.build_inline(v.cleaned_blocks))
-    numbers = questions.select("doc_id", "question_number").distinct()
-    responses = numbers.selectExpr("doc_id", "question_number", """concat('{"chapter": "Chapter ', question_number % 5,
+    responses = questions.selectExpr("doc_id", "start_idx", """concat('{"chapter": "Chapter ', question_number % 5,
         '", "topic": "t', question_number, '", "difficulty": "hard", "concepts": ["a", "b"], "has_formula": "yes"}') AS response""")
-    images = numbers.selectExpr("*", "cast(array() AS array<string>) AS images")
-    return questions, ingest.normalized_metadata(responses, images)
+    return questions, ingest.normalized_metadata(responses, questions)
 
 
 @query("questions_with_metadata", INLINE_BUILT + """

@@ -12,27 +12,47 @@ SUFFIX = r"(_content_list)?\.json$"
 
 
 def parse_content_lists(raw: DataFrame) -> DataFrame:
-    """``(doc_id, value)`` JSON arrays to ordered blocks; missing fields become NULL."""
+    """``(doc_id, value)`` JSON arrays to ordered blocks; missing fields become NULL.
+
+    Documents that are no array of blocks give none; ``rejected_content_lists`` tells of them.
+    """
     blocks = F.from_json("value", CONTENT_LIST)
-    return (raw.select("doc_id", F.posexplode(blocks).alias("__at", "b"))
+    return (raw.filter(F.json_array_length("value").isNotNull())
+            .select("doc_id", F.posexplode(blocks).alias("__at", "b"))
             .select("doc_id", F.col("__at").cast("long").alias("block_idx"), "b.*"))
 
 
+def rejected_content_lists(raw: DataFrame) -> DataFrame:
+    """``(doc_id, reason)`` of every document that ``parse_content_lists`` cannot read."""
+    reason = (F.when(F.json_array_length("value").isNull(), F.lit("no JSON array"))
+              .when(F.from_json("value", CONTENT_LIST).isNull(), F.lit("no blocks in the array")))
+    return raw.select("doc_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def _document_name(path: Column) -> Column:
     return F.regexp_replace(X.base_name(F.url_decode(path)), SUFFIX, "")
 
 
+def raw_content_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """``(doc_id, value)`` of all content-list files of a folder, named by file; each is one document.
+
+    The text reader passes over files without a byte, so these are taken from the listing.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    raw = reader.text(folder, wholetext=True).select(_document_name(F.col("_metadata.file_path")).alias("doc_id"), "value")
+    empty = reader.format("binaryFile").load(folder).filter("length = 0")
+    return raw.union(empty.select(_document_name(F.col("path")), F.lit("")))
+
+
 def read_content_lists(spark: SparkSession, folder: str) -> DataFrame:
-    """All content-list files of a folder, named by file; each file is one document."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(
-        folder, wholetext=True)
-    return parse_content_lists(raw.select(_document_name(F.col("_metadata.file_path")).alias("doc_id"), "value"))
+    """The blocks of all readable content-list files of a folder."""
+    return parse_content_lists(raw_content_lists(spark, folder))
 
 
 def stream_content_lists(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """The same files as a stream of ``(doc_id, value)``, parsed inside the batch."""
-    raw = (spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.json")
-           .option("maxFilesPerTrigger", files_per_batch).load(folder))
+    raw = (spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True)
+           .option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", files_per_batch).load(folder))
     return raw.select(_document_name(F.col("_metadata.file_path")).alias("doc_id"), "value")
 
 

@@ -38,11 +38,32 @@ def test_picks_equal_list_selection(spark):
         assert got[i] == take({t: n for _, t, n in tiers}, split, count), (tiers, split, count)
 
 
-def test_walk_visits_every_place_once(spark):
-    df = spark.range(1, 60).withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") - 1)))
-    for seed in (1, 2):
-        out = df.select("id", S.walk(F.lit(seed), F.lit("A easy"), F.col("place"), F.col("id")).alias("at"))
-        assert out.groupBy("id").agg(F.countDistinct("at").alias("n"), F.max("at").alias("m")).filter("n <> id OR m <> id - 1").count() == 0
+def permuted(sizes, seeds, taken):
+    keyed = sizes.crossJoin(seeds).withColumn("rounds", S.shuffle_rounds(F.col("seed"), F.lit("A easy"), F.col("n")))
+    places = keyed.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), taken - 1)))
+    return places.withColumn("at", S.shuffled(F.col("rounds"), F.col("place"), F.col("n")))
+
+
+def test_shuffle_visits_every_place_once(spark):
+    out = permuted(spark.range(1, 501).toDF("n"), spark.range(2).toDF("seed"), F.col("n"))
+    seen = out.groupBy("n", "seed").agg(F.countDistinct("at").alias("k"), F.min("at").alias("low"), F.max("at").alias("high"))
+    assert seen.count() == 1000 and seen.filter("k <> n OR low <> 0 OR high <> n - 1").count() == 0
+
+
+def test_shuffle_draws_chapters_in_proportion(spark):
+    # 198 places in ten chapters, 20 wanted: the sizes at which a walk in equal steps takes runs of one chapter.
+    for n in (198, 66, 126):
+        out = permuted(spark.range(n, n + 1).toDF("n"), spark.range(200).toDF("seed"), F.lit(20)).withColumn(
+            "chapter", F.floor(F.col("at") * 10 / F.col("n")))
+        per_seed = out.groupBy("seed").agg(F.countDistinct("chapter").alias("k"))
+        assert per_seed.agg(F.min("k")).first()[0] >= 5
+        share = [r["count"] for r in out.groupBy("chapter").count().collect()]
+        assert len(share) == 10 and all(300 < x < 500 for x in share), (n, share)
+
+
+def test_shuffle_of_a_pool_beyond_32_bits(spark):
+    out = permuted(spark.range(1).select(F.lit(3 * 2**31 + 5).cast("long").alias("n")), spark.range(1).toDF("seed"), F.lit(5000))
+    assert out.select("at").distinct().count() == 5000 and out.filter("at < 0 OR at >= n").count() == 0
 
 
 @pytest.fixture(scope="module")

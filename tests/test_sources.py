@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from itemlake.operators import layouts as L
 from itemlake.operators.clean import clean_blocks
+from itemlake.plans import drafting
 from itemlake.plans.ingest import documents_to_bank
 from itemlake.sources import content, sinks
 from itemlake.streaming.ingest import start_ingestion
@@ -48,19 +49,58 @@ def test_documents_to_bank(spark, tmp_path):
     blocks = content.read_content_lists(spark, str(docs))
     uploads = spark.createDataFrame([("d1", "d1.pdf", "inline_answer", "JEE Main", "physics"), ("d2", "d2.pdf", "inline_answer", "NEET", "biology")],
                                     "id string, filename string, layout_type string, exam_name string, subject string")
-    answers = spark.createDataFrame([("d1", 1, '{"chapter": "SHM", "subject": "chem", "difficulty": "easy", "concepts": ["k"]}'), ("d1", 2, "garbage")],
-                                    "doc_id string, question_number int, response string")
+    answers = spark.createDataFrame([("d1", 0, '{"chapter": "SHM", "subject": "chem", "difficulty": "easy", "concepts": ["k"]}'), ("d1", 0, "garbage"),
+                                     ("d1", 4, "garbage")], "doc_id string, start_idx long, response string")
     bank = documents_to_bank(blocks, uploads, answers, content.read_image_listing(spark, str(tmp_path / "images")))
     rows = {(r.ingestion_id, r.question_number): r for r in bank.collect()}
     assert len(rows) == 6
     first = rows["d1", 1]
     assert (first.chapter, first.subject, first.has_diagram, first.raw_text) == ("Oscillations", "chemistry", True, "1. question 0 a b c d")
     assert rows["d1", 2].subject == "physics" and rows["d1", 2].images == [] and rows["d2", 3].exam_name == "NEET"
+    assert len({r.id for r in rows.values()}) == 6 and first.created_at is not None
     path = str(tmp_path / "bank")
     sinks.append_questions(bank.drop("warnings"), path)
     assert spark.read.parquet(path).filter(F.col("exam_name") == "NEET").count() == 3
 
 
+def test_repeated_numbers_stay_one_row_each_up_to_drafts(spark, tmp_path):
+    docs = tmp_path / "in"
+    docs.mkdir()
+    blocks = [b for stem in ("first", "second") for b in (  # numbering starts again, as for the next subject
+        {"type": "text", "text": f"1. {stem} question"}, {"type": "text", "text": OPT}, {"type": "text", "text": "Ans. (1)"})]
+    (docs / "d_content_list.json").write_text(json.dumps(blocks))
+    read = content.read_content_lists(spark, str(docs))
+    uploads = spark.createDataFrame([("d", "d.pdf", "inline_answer", "JEE Main", "physics")],
+                                    "id string, filename string, layout_type string, exam_name string, subject string")
+    answers = spark.createDataFrame([("d", 0, '{"chapter": "A", "difficulty": "easy"}'), ("d", 3, '{"chapter": "B", "difficulty": "hard"}')],
+                                    "doc_id string, start_idx long, response string")
+    bank = documents_to_bank(read, uploads, answers)
+    assert sorted((r.question_number, r.chapter, r.stem_md.split()[1]) for r in bank.collect()) == [(1, "A", "first"), (1, "B", "second")]
+    ready = spark.createDataFrame([(7, "JEE Main", "physics", ["A", "B"], 2, 5)],
+                                  "request_id long, exam_name string, subject string, resolved_chapters array<string>, question_count int, seed long")
+    for name in ("difficulty", "question_type", "section_type"):
+        ready = ready.withColumn(name, F.lit(None).cast("string"))
+    ready = ready.withColumns({"has_formula": F.lit(None).cast("boolean"), "has_diagram": F.lit(None).cast("boolean"),
+                               "excluded_chapters": F.array().cast("array<string>"), "concepts": F.array().cast("array<string>"),
+                               "concept_match_mode": F.lit("any"),
+                               "difficulty_distribution": F.array().cast("array<struct<tier:string,n:int>>")})
+    drafts = drafting.draft_for_requests(ready, bank)
+    assert {r.question_id for r in drafts.collect()} == {r.id for r in bank.collect()}
+
+
+def test_unreadable_content_lists_are_told(spark, tmp_path):
+    docs = tmp_path / "in" / "deep"
+    docs.mkdir(parents=True)
+    write_docs(docs, ["good"])
+    for name, text in (("broken", '[{"type": "text", '), ("object", '{"type": "text", "text": "1. a"}'), ("empty", ""), ("none", "[]")):
+        (docs / f"{name}_content_list.json").write_text(text)
+    raw = content.raw_content_lists(spark, str(tmp_path / "in"))
+    assert {r.doc_id for r in content.rejected_content_lists(raw).collect()} == {"broken", "object", "empty"}
+    assert {r.doc_id for r in content.parse_content_lists(raw).collect()} == {"good"}
+    start_ingestion(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), lambda b: b).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == content.read_content_lists(spark, str(tmp_path / "in")).count() == 12
+
+
 def test_markdown_files(spark, tmp_path):
     parts = spark.createDataFrame([(1, 0, "a\nb"), (2, 0, "c")], "paper_id long, part int, markdown string")
     sinks.write_markdown_files(parts, str(tmp_path / "md"))
