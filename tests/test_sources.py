@@ -92,10 +92,10 @@ def test_unreadable_content_lists_are_told(spark, tmp_path):
     docs = tmp_path / "in" / "deep"
     docs.mkdir(parents=True)
     write_docs(docs, ["good"])
-    for name, text in (("broken", '[{"type": "text", '), ("object", '{"type": "text", "text": "1. a"}'), ("empty", ""), ("none", "[]")):
+    for name, text in (("broken", '[{"type": "text", '), ("object", '{"type": "text", "text": "1. a"}'), ("blank", " "), ("none", "[]")):
         (docs / f"{name}_content_list.json").write_text(text)
     raw = content.raw_content_lists(spark, str(tmp_path / "in"))
-    assert {r.doc_id for r in content.rejected_content_lists(raw).collect()} == {"broken", "object", "empty"}
+    assert {r.doc_id for r in content.rejected_content_lists(raw).collect()} == {"broken", "object", "blank"}
     assert {r.doc_id for r in content.parse_content_lists(raw).collect()} == {"good"}
     start_ingestion(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), lambda b: b).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == content.read_content_lists(spark, str(tmp_path / "in")).count() == 12
