@@ -198,6 +198,8 @@ QUESTION_STATUSES = ["active", "archived", "flagged"]
 STAGES = ["UPLOADED", "MINERU_COMPLETE", "QUESTIONS_BUILT", "METADATA_COMPLETE", "SAVED"]
 FAILED = "FAILED"
 ERROR_LENGTH = 2000
+#: Rows of a list page at most.
+PAGE_LIMIT = 500
 PATCH_FIELDS = [
     "exam_name", "subject", "chapter", "topic", "subtopic", "difficulty",
     "question_type", "concepts", "has_diagram", "has_formula",

@@ -50,7 +50,9 @@ def browse(questions: DataFrame, **filters: object) -> DataFrame:
 
 def newest_page(rows: DataFrame, skip: int = 0, limit: int = 20, *, stamp: str = "created_at",
                 key: str = "id") -> DataFrame:
-    """Newest first with ``key`` as tie-break; a top-k, so no full sort."""
+    """Newest first with ``key`` as tie-break; a top-k, so no full sort. A page has at most 500 rows."""
+    if limit > C.PAGE_LIMIT:
+        raise ValueError(f"limit must be at most {C.PAGE_LIMIT}, got {limit}")
     return rows.orderBy(F.desc(stamp), F.asc(key)).offset(skip).limit(limit)
 
 
@@ -115,13 +117,17 @@ def ingestion_counts(ingestions: DataFrame, questions: DataFrame) -> DataFrame:
 def patch_metadata(questions: DataFrame, patches: DataFrame) -> DataFrame:
     """Overwrite the fields named in ``set_fields``; a named NULL overwrites too.
 
-    ``patches``: one row per ``id`` with ``set_fields`` and the patchable columns it uses.
+    ``patches``: ``id``, ``set_fields`` and the patchable columns it uses. Where several patches of a
+    question name a field, the last by ``edit_seq`` counts, or the greatest value without that column.
     """
     fields = [f for f in C.PATCH_FIELDS if f in patches.columns and f in questions.columns]
-    renamed = patches.select("id", "set_fields", *[F.col(f).alias(f"__p_{f}") for f in fields])
-    joined = questions.join(renamed, "id", "left")
-    patched = {f: F.when(F.coalesce(F.array_contains("set_fields", f), F.lit(False)),
-                         F.col(f"__p_{f}")).otherwise(F.col(f)) for f in fields}
+    if not fields:
+        return questions
+    seq = ["edit_seq"] if "edit_seq" in patches.columns else []
+    last = {f: F.max(F.when(F.array_contains("set_fields", f), F.struct(*seq, F.col(f).alias("v")))) for f in fields}
+    settled = patches.groupBy("id").agg(*[c.alias(f"__p_{f}") for f, c in last.items()])
+    joined = questions.join(settled, "id", "left")
+    patched = {f: F.when(F.col(f"__p_{f}").isNotNull(), F.col(f"__p_{f}.v")).otherwise(F.col(f)) for f in fields}
     return joined.withColumns(patched).select(questions.columns)
 
 
@@ -133,9 +139,12 @@ def split_status_changes(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def change_status(questions: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply the valid status changes, one row per ``id``."""
+    """Apply the valid status changes; of several for one ``id`` the last by ``edit_seq``, or the greatest
+    status without that column."""
     valid, _ = split_status_changes(changes)
-    joined = questions.join(valid.select("id", "new_status"), "id", "left")
+    seq = ["edit_seq"] if "edit_seq" in changes.columns else []
+    last = F.max(F.struct(*seq, "new_status"))["new_status"]
+    joined = questions.join(valid.groupBy("id").agg(last.alias("new_status")), "id", "left")
     return joined.withColumn("status", F.coalesce("new_status", "status")).select(questions.columns)
 
 

@@ -462,9 +462,15 @@ def document_warnings(blocks: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def attach_document_warnings(questions: DataFrame, warnings: DataFrame) -> DataFrame:
-    """Repeat document-level warnings on the first question of the document, in reading order."""
+    """Repeat document-level warnings on the first question of the document, in reading order.
+
+    A missing key comes first, then the key's numbers without question in their order.
+    """
     first = questions.groupBy("doc_id").agg(F.min("start_idx").alias("start_idx"))
-    extra = warnings.groupBy("doc_id").agg(F.array_sort(F.collect_list("warning")).alias("__extra"))
+    number = F.regexp_extract("warning", r"contains Q(\d+) with", 1).try_cast("long")
+    entry = F.struct(number.alias("n"), "warning")
+    extra = warnings.groupBy("doc_id").agg(F.transform(
+        F.sort_array(F.collect_list(entry)), lambda w: w["warning"]).alias("__extra"))
     marked = first.join(extra, "doc_id")
     return (questions.join(marked, ["doc_id", "start_idx"], "left")
             .withColumn("warnings", F.concat("warnings", F.coalesce("__extra", F.array().cast("array<string>"))))

@@ -174,17 +174,29 @@ def membership_rejects(edits: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def swap(papers: DataFrame, rows: DataFrame, edits: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``edits (paper_id, question_id, new_question_id)``: the row keeps position, section and lock."""
+    """``edits (paper_id, question_id, new_question_id)``: the row keeps position, section and lock.
+
+    Valid swaps of a batch that meet in one row, or in one new question, are settled by ``edit_seq`` (or by
+    the least id without that column): the first is made, the others are refused. A repeated swap is one.
+    """
     marked = _mark(_mark(edits, rows, "question_id", "__old"), rows, "new_question_id", "__dup")
     known = questions.select(F.col("id").alias("new_question_id"), F.lit(True).alias("__known"))
     judged = _judge(marked.join(known, "new_question_id", "left"), papers, (
         F.when(F.col("__old").isNull(), "PaperQuestion not found.")
         .when(F.col("__known").isNull(), "Question not found.")
         .when(F.col("__dup"), "This question is already in the paper.")))
-    good = judged.filter(F.col("reason").isNull()).select("paper_id", "question_id", "new_question_id")
+    judged = cut_lineage(judged.select(*edits.columns, "reason"))
+    valid = judged.filter(F.col("reason").isNull())
+    seq = F.col("edit_seq") if "edit_seq" in edits.columns else F.lit(0)
+    per_row = (valid.groupBy("paper_id", "question_id").agg(F.min(F.struct(seq.alias("s"), "new_question_id")).alias("c"))
+               .select("paper_id", "question_id", F.col("c.s").alias("s"), F.col("c.new_question_id").alias("new_question_id")))
+    good = (per_row.groupBy("paper_id", "new_question_id").agg(F.min(F.struct("s", "question_id"))["question_id"].alias("question_id"))
+            .select("paper_id", "question_id", "new_question_id"))
     new_rows = rows.join(good, ["paper_id", "question_id"], "left").withColumn(
         "question_id", F.coalesce("new_question_id", "question_id")).select(ROW)
-    return new_rows, judged.filter(F.col("reason").isNotNull()).select(*edits.columns, "reason")
+    late = valid.join(good, ["paper_id", "question_id", "new_question_id"], "left_anti").withColumn(
+        "reason", F.lit("Another swap of this batch takes the row or the question."))
+    return new_rows, judged.filter(F.col("reason").isNotNull()).unionByName(late).select(*edits.columns, "reason")
 
 
 def remove(papers: DataFrame, rows: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -208,8 +220,8 @@ def add(papers: DataFrame, rows: DataFrame, edits: DataFrame, questions: DataFra
     """``edits (paper_id, question_id, position, paper_section, edit_seq)``: insert and shift.
 
     A position past the end, 0 or NULL appends. Adds to one paper depend on each other, so a batch applies
-    the first valid one per paper (by ``edit_seq``) and returns the others as deferred for the
-    next batch. Returns rows, rejects, deferred.
+    the first valid one per paper (by ``edit_seq``, then by its values) and returns the others as deferred
+    for the next batch; a repeated edit is one. Returns rows, rejects, deferred.
     """
     known = questions.select(F.col("id").alias("question_id"), F.col("section_type").alias("__type"))
     marked = _mark(edits, rows, "question_id", "__dup").join(known, "question_id", "left")
@@ -217,9 +229,10 @@ def add(papers: DataFrame, rows: DataFrame, edits: DataFrame, questions: DataFra
         F.when(F.col("__type").isNull(), "Question not found.")
         .when(F.col("__dup"), "This question is already in the paper.")))
     valid = judged.filter(F.col("reason").isNull())
-    first = valid.groupBy("paper_id").agg(F.min("edit_seq").alias("edit_seq"))
-    now = valid.join(first, ["paper_id", "edit_seq"], "left_semi")
-    deferred = valid.join(first, ["paper_id", "edit_seq"], "left_anti").select(edits.columns)
+    edit = F.struct("edit_seq", "question_id", "position", "paper_section", "__type")
+    first = valid.groupBy("paper_id").agg(F.min(edit).alias("__first"))
+    now = first.select("paper_id", "__first.*")
+    deferred = valid.join(first, "paper_id").filter(~edit.eqNullSafe(F.col("__first"))).select(edits.columns)
     ends = rows.groupBy("paper_id").agg(F.max("position").alias("__end"))
     end = F.coalesce("__end", F.lit(0)) + 1
     placed = now.join(ends, "paper_id", "left").withColumn(
@@ -251,18 +264,21 @@ def toggle_locks(papers: DataFrame, rows: DataFrame, edits: DataFrame) -> tuple[
 
 
 def approve(papers: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``edits (paper_id, notes)``; only drafts can be approved, empty notes keep the old ones."""
+    """``edits (paper_id, notes)``; only drafts can be approved, empty notes keep the old ones.
+
+    Several approvals of a paper in a batch are one, with the least of their notes that are not empty.
+    """
     state = papers.select(F.col("id").alias("paper_id"), F.col("status").alias("__status"))
     judged = edits.join(state, "paper_id", "left").withColumn("reason", (
         F.when(F.col("__status").isNull(), "Paper not found.")
         .when(F.col("__status") == "approved", "Paper is already approved.")
         .when(F.col("__status") != "draft", F.concat(
             F.lit("Cannot approve a paper with status: "), F.col("__status")))))
-    good = judged.filter(F.col("reason").isNull()).select(
-        F.col("paper_id").alias("id"), F.col("notes").alias("__notes"), F.lit(True).alias("__ok"))
+    good = judged.filter(F.col("reason").isNull()).groupBy(F.col("paper_id").alias("id")).agg(
+        F.min(F.nullif("notes", F.lit(""))).alias("__notes"), F.lit(True).alias("__ok"))
     joined = papers.join(good, "id", "left").withColumns({
         "status": F.when(F.col("__ok"), "approved").otherwise(F.col("status")),
-        "notes": F.coalesce(F.nullif("__notes", F.lit("")), "notes")})
+        "notes": F.coalesce("__notes", "notes")})
     return joined.select(papers.columns), judged.filter(F.col("reason").isNotNull()).select("paper_id", "reason")
 
 

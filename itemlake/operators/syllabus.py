@@ -37,10 +37,16 @@ def list_chapters(syllabus: DataFrame, exam_name: str, subject: str) -> DataFram
 
 
 def upsert(syllabus: DataFrame, changes: DataFrame) -> DataFrame:
-    """Replace name and aliases at ``(exam, subject, order)``, insert what is new."""
+    """Replace name and aliases at ``(exam, subject, order)``, insert what is new.
+
+    Of several changes of one key the last by ``edit_seq`` counts, or the greatest name without that column.
+    """
     keys = [*PARTITION, "chapter_order"]
-    new = changes.select(*keys, F.col("chapter_name").alias("__name"),
-                         F.col("chapter_aliases").alias("__aliases"), F.lit(True).alias("__new"))
+    seq = ["edit_seq"] if "edit_seq" in changes.columns else []
+    last = F.max(F.struct(*seq, "chapter_name", "chapter_aliases"))
+    new = changes.groupBy(*keys).agg(last.alias("__c")).select(
+        *keys, F.col("__c.chapter_name").alias("__name"), F.col("__c.chapter_aliases").alias("__aliases"),
+        F.lit(True).alias("__new"))
     joined = syllabus.join(new, keys, "full_outer")
     replaced = F.col("__new").isNotNull()
     return joined.select(
@@ -85,11 +91,15 @@ def exact_or_alias(chapters: Column, name: Column) -> Column:
 
 
 def _corpus(chapters: Column) -> tuple[Column, Column]:
-    """Names and aliases in search order, and the position of their chapter."""
+    """Names and aliases in search order, and the position of their chapter; what is a chapter's name
+    stands for that chapter, even where an alias of an earlier one is equal."""
+    names = F.transform(chapters, lambda c: c["name"])
     entries = F.flatten(F.transform(chapters, lambda c, i: F.transform(
         F.concat(F.array(c["name"]), c["aliases"]),
         lambda n: F.struct(n.alias("n"), i.alias("i")))))
-    return F.transform(entries, lambda e: e["n"]), F.transform(entries, lambda e: e["i"])
+    named = F.transform(entries, lambda e: F.coalesce(
+        F.nullif(F.array_position(names, e["n"]), F.lit(0)) - 1, e["i"]).cast("int"))
+    return F.transform(entries, lambda e: e["n"]), named
 
 
 def resolve_names(names: DataFrame, syllabus: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -184,22 +194,30 @@ def resolve_requests(requests: DataFrame, syllabus: DataFrame, fuzzy: bool = Tru
     resolved = F.filter("__range", lambda n: ~F.array_contains(
         F.array_compact("excluded_chapters"), n))
 
-    unknown = F.get(F.transform(
-        F.filter(F.concat(F.filter("hits", lambda h: h["role"] == "first"),
-                          F.filter("hits", lambda h: h["role"] == "second"),
-                          F.filter("hits", lambda h: h["role"] == "exclude")),
-                 lambda h: h["hit"].isNull()), lambda h: h["name"]), F.lit(0))
+    def missing(*found: Column) -> Column:
+        return F.get(F.transform(F.filter(F.concat(*found), lambda h: h["hit"].isNull()),
+                                 lambda h: h["name"]), F.lit(0))
+
+    boundary = missing(F.filter("hits", lambda h: h["role"] == "first"), F.filter("hits", lambda h: h["role"] == "second"))
+    exclusion = missing(excluded)
     suggestions = F.array_join(F.transform(
         F.slice("chapters", 1, C.SUGGESTIONS),
         lambda c: F.concat(F.lit("'"), c["name"], F.lit("'"))), ", ")
+
+    def not_found(name: Column) -> Column:
+        return F.concat(
+            F.lit("ChapterNotFound: Chapter '"), name, F.lit("' not found in "), F.col("exam_name"),
+            F.lit(" "), F.col("subject"), F.lit(" syllabus. Did you mean one of: "), suggestions, F.lit("?"))
+
+    # The range comes first, exclusions are looked up once it is known.
     error = (
         F.when(F.col("chapters").isNull(), F.concat(
             F.lit("SyllabusNotFound: No syllabus for "), F.col("exam_name"), F.lit(" / "), F.col("subject")))
-        .when(unknown.isNotNull(), F.concat(
-            F.lit("ChapterNotFound: Chapter '"), unknown, F.lit("' not found in "), F.col("exam_name"),
-            F.lit(" "), F.col("subject"), F.lit(" syllabus. Did you mean one of: "), suggestions, F.lit("?")))
+        .when(boundary.isNotNull(), not_found(boundary))
         .when((mode == "after") & (F.size("__range") == 0), F.concat(
-            F.lit("EmptyRange: 'after' mode on the last chapter '"), a["name"], F.lit("' produces no chapters.")))
+            F.lit("EmptyRange: 'after' mode on the last chapter '"), a["name"], F.lit("' (#"),
+            a["ord"].cast("string"), F.lit(") produces no chapters.")))
+        .when(exclusion.isNotNull(), not_found(exclusion))
         .when((mode != "all") & (F.size("resolved_chapters") == 0), F.concat(
             F.lit("EmptyRange: Chapter filter mode '"), mode, F.lit("' produced no chapters after applying "),
             F.size("excluded_chapters").cast("string"), F.lit(" exclusion(s)."))))

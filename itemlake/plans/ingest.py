@@ -30,10 +30,14 @@ def documents_to_questions(blocks: DataFrame, documents: DataFrame, files: DataF
     """Clean all blocks, then run the builder of every document's layout.
 
     The cleaned blocks feed several builders and their summaries, so they are written once, by
-    layout, to the shared folder instead of being cleaned again for each.
+    layout, to the shared folder instead of being cleaned again for each. Warnings about a full paper
+    as a whole stand with its first question.
     """
-    cleaned = layouts.with_layout(clean.clean_blocks(blocks), documents)
-    return layouts.build_questions(cut_lineage(cleaned, "layout_type"), files)
+    cleaned = cut_lineage(layouts.with_layout(clean.clean_blocks(blocks), documents), "layout_type")
+    questions = cut_lineage(layouts.build_questions(cleaned, files))
+    papers = F.col("layout_type") == "full_paper"
+    warnings = layouts.document_warnings(cleaned.filter(papers).drop("layout_type"), questions.filter(papers))
+    return layouts.attach_document_warnings(questions, warnings)
 
 
 def documents_to_bank(blocks: DataFrame, ingestions: DataFrame, responses: DataFrame,

@@ -333,9 +333,10 @@ FROM {ranged} r LEFT JOIN {syl} s ON s.exam_name = r.exam_name AND s.subject = r
     "judged": """
 SELECT r.*, coalesce(l.kept, []) AS chapters, l.excluded, l.n1, l.n2,
   CASE WHEN r.total = 0 THEN 'SyllabusNotFound'
-    WHEN r.mode <> 'all' AND r.o1 IS NULL OR r.mode = 'between' AND r.o2 IS NULL
-      OR r.exclude1 IS NOT NULL AND r.ox IS NULL THEN 'ChapterNotFound'
-    WHEN r.mode = 'after' AND l.in_range = 0 OR r.mode <> 'all' AND len(coalesce(l.kept, [])) = 0 THEN 'EmptyRange' END AS problem
+    WHEN r.mode <> 'all' AND r.o1 IS NULL OR r.mode = 'between' AND r.o2 IS NULL THEN 'ChapterNotFound'
+    WHEN r.mode = 'after' AND l.in_range = 0 THEN 'EmptyRange'
+    WHEN r.exclude1 IS NOT NULL AND r.ox IS NULL THEN 'ChapterNotFound'
+    WHEN r.mode <> 'all' AND len(coalesce(l.kept, [])) = 0 THEN 'EmptyRange' END AS problem
 FROM {ranged} r JOIN {listed} l USING (request_id)""",
     "rreq": "SELECT * FROM {judged} WHERE problem IS NULL",
     "cand": """

@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from itemlake.operators import bank as B
 from itemlake.operators import export as E
 from itemlake.operators import papers as P
+from itemlake.operators import syllabus as Y
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +87,37 @@ def test_export(world):
     assert text.count("## Section") == 2
     key = {r.number: r.answer for r in E.answer_key(rows.filter("paper_id = 1"), bank).collect()}
     assert key[1] == "A" and key[10] == "A"
+
+
+def test_conflicting_edits_of_a_batch_keep_papers_whole(spark, world):
+    papers, rows, bank = world
+    # Row 104 to two questions, rows 105 and 106 to one question, one swap stated twice.
+    swaps = [(1, 104, 401, 2), (1, 104, 402, 1), (1, 105, 403, 1), (1, 106, 403, 2), (2, 201, 404, 1), (2, 201, 404, 1)]
+    out, bad = P.swap(papers, rows, spark.createDataFrame(swaps, "paper_id long, question_id long, new_question_id long, edit_seq int"), bank)
+    assert out.count() == rows.count() and dense(out) and out.select("paper_id", "question_id").distinct().count() == out.count()
+    assert {q: p for q, p in positions(out, 1).items() if q > 400} == {402: 4, 403: 5} and positions(out, 2)[404] == 1
+    assert {(r.question_id, r.new_question_id) for r in bad.collect()} == {(104, 401), (106, 403)}
+    adds = [(1, 401, 3, None, 1), (1, 402, 3, None, 1), (1, 401, 3, None, 1), (2, 403, 1, None, None)]
+    adds = spark.createDataFrame(adds, "paper_id long, question_id long, position int, paper_section string, edit_seq int")
+    grown, _, later = P.add(papers, rows, adds, bank)
+    assert grown.count() == rows.count() + 2 and dense(grown) and [r.question_id for r in later.collect()] == [402]
+    done, _ = P.approve(papers, spark.createDataFrame([(1, "b"), (1, "a"), (1, ""), (1, None)], "paper_id long, notes string"))
+    assert done.count() == 3 and done.filter("id = 1").first().notes == "a"
+
+
+def test_repeated_bank_and_syllabus_edits_give_one_row_each(spark):
+    questions = spark.createDataFrame([(1, "c", "easy", "active"), (2, "d", "easy", "active")], "id long, chapter string, difficulty string, status string")
+    patches = [(1, ["chapter"], "x", None, 1), (1, ["chapter", "difficulty"], None, "hard", 2), (2, ["difficulty"], "y", "medium", 1)]
+    patched = B.patch_metadata(questions, spark.createDataFrame(patches, "id long, set_fields array<string>, chapter string, difficulty string, edit_seq int"))
+    assert {tuple(r) for r in patched.collect()} == {(1, None, "hard", "active"), (2, "d", "medium", "active")}
+    changes = spark.createDataFrame([(1, "flagged", 2), (1, "archived", 3), (1, "gone", 4)], "id long, new_status string, edit_seq int")
+    assert {(r.id, r.status) for r in B.change_status(questions, changes).collect()} == {(1, "archived"), (2, "active")}
+    kind = "exam_name string, subject string, chapter_order int, chapter_name string, chapter_aliases array<string>"
+    syllabus = spark.createDataFrame([("e", "s", 1, "A", ["a"])], kind)
+    merged = Y.upsert(syllabus, spark.createDataFrame([("e", "s", 1, "B", None), ("e", "s", 1, "C", ["c"]), ("e", "s", 2, "D", None)], kind))
+    assert {(r.chapter_order, r.chapter_name, r.action) for r in merged.collect()} == {(1, "C", "updated"), (2, "D", "created")}
+
+
+def test_pages_are_bounded(spark):
+    with pytest.raises(ValueError, match="at most 500"):
+        B.newest_page(spark.createDataFrame([(1, 1)], "id long, created_at long"), 0, 501)

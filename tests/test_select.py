@@ -189,7 +189,9 @@ def test_chapter_ranges(spark, syllabus, row, want):
 
 @pytest.mark.parametrize("row, kind", [
     (dict(exam_name="CUET"), "SyllabusNotFound"), (dict(chapter_filter_mode="exact", chapter="Zebra crossing"), "ChapterNotFound"),
-    (dict(chapter_filter_mode="after", chapter_after="Heat"), "EmptyRange"),
+    (dict(chapter_filter_mode="after", chapter_after="Heat"), "EmptyRange: 'after' mode on the last chapter 'Thermodynamics' (#4)"),
+    (dict(chapter_filter_mode="after", chapter_after="Heat", exclude_chapters=["Zebra crossing"]), "EmptyRange"),
+    (dict(exclude_chapters=["Zebra crossing"]), "ChapterNotFound"),
     (dict(chapter_filter_mode="exact", chapter="Heat", exclude_chapters=["Heat"]), "EmptyRange")])
 def test_resolution_errors(spark, syllabus, row, kind):
     r = Y.resolve_requests(R.normalize_requests(raw(spark, row)), syllabus).first()

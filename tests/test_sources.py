@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from itemlake.operators import layouts as L
 from itemlake.operators.clean import clean_blocks
 from itemlake.plans import drafting
-from itemlake.plans.ingest import documents_to_bank
+from itemlake.plans.ingest import documents_to_bank, documents_to_questions
 from itemlake.sources import content, sinks
 from itemlake.streaming.ingest import start_ingestion
 
@@ -106,3 +106,14 @@ def test_markdown_files(spark, tmp_path):
     sinks.write_markdown_files(parts, str(tmp_path / "md"))
     back = spark.read.text(str(tmp_path / "md"), wholetext=True)
     assert {(r.paper_id, r.value.strip()) for r in back.collect()} == {(1, "a\nb"), (2, "c")}
+
+
+def test_document_warnings_stand_with_the_first_question(spark, tmp_path):
+    docs = tmp_path / "in"
+    docs.mkdir()
+    blocks = [{"type": "text", "text": x} for x in ("Q1. Stem.", OPT, "Q2. Next.", OPT, "ANSWER KEYS", "1.(1) 2.(3) 12.(2) 3.(4)")]
+    (docs / "d_content_list.json").write_text(json.dumps(blocks))
+    read = content.read_content_lists(spark, str(docs))
+    uploads = spark.createDataFrame([("d", "full_paper")], "doc_id string, layout_type string")
+    rows = {r.question_number: r.warnings for r in documents_to_questions(read, uploads).collect()}
+    assert rows[1] == [f"answer key contains Q{n} with no built question" for n in (3, 12)] and rows[2] == []
