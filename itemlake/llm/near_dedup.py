@@ -1,7 +1,8 @@
 """MinHash near-dedup with DartMinHash signatures.
 
-Texts with equal words are one text from the start. A text's elements are its shingles of five words,
-weighted 1 + ln(occurrences); its DartMinHash signature is cut into bands, and texts that agree in
+Texts with equal words are one text from the start. A text's elements are its distinct shingles of five
+words, all of weight 1, so signatures estimate the Jaccard similarity of sets that the exact check computes,
+however often a shingle is repeated. The DartMinHash signature is cut into bands, and texts that agree in
 a band meet in a bucket. In a bucket, texts are compared by whole signatures with *leaders*: a text
 unlike all leaders so far becomes one, so a group of near copies costs a comparison per copy and not one
 per pair. Buckets larger than a block are cut into blocks by hash and only the blocks' leaders go
@@ -87,8 +88,8 @@ def _sign(size: int, bands: int, rows: int):
         for batch in batches:
             for first, last, w in word_slices(batch.column(2), 1 << 20):
                 n = last - first
-                values, counts, bounds = shingles(w, size)
-                signs = signatures(values, 1 + np.log(counts), bounds, k)
+                values, _, bounds = shingles(w, size)
+                signs = signatures(values, np.ones(len(values)), bounds, k)
                 parts = signs.reshape(n, bands, rows).astype(np.uint64)
                 with np.errstate(over="ignore"):
                     band = np.broadcast_to(salt, (n, bands)).copy()

@@ -115,6 +115,26 @@ def test_near_duplicates(spark, block, monkeypatch):
     assert [got[d] for d, _ in rows] == brute_classes(rows)
 
 
+def repeated_rows():
+    """Texts against themselves written twice, a phrase repeated unequally often, and blocks whose short tails differ."""
+    random.seed(12)
+    rows = []
+    for i in range(8):
+        w = " ".join(f"d{i}x{j}" for j in range(400))
+        phrase, block = " ".join(f"p{i}x{j}" for j in range(10)), " ".join(f"b{i}x{j}" for j in range(100))
+        rows += [(10 * i, w), (10 * i + 1, f"{w} {w}"), (10 * i + 2, " ".join([phrase] * 10)), (10 * i + 3, " ".join([phrase] * 100))]
+        rows += [(10 * i + 4 + k, " ".join([block] * 50 + [f"t{i}y{k}z{j}" for j in range(16)])) for k in (0, 1)]
+    return rows
+
+
+def test_near_duplicates_with_repeated_words(spark):
+    rows = repeated_rows()
+    want = brute_classes(rows)
+    assert [want[i] - 10 * (i // 6) for i in range(6)] == [0, 0, 2, 2, 4, 5]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert [got[d] for d, _ in rows] == want
+
+
 def test_drop_near_duplicates_keeps_one_row(spark):
     rows = [(5, "a b c d e f g"), (5, "a b c d e f g"), (None, "A b c d e f g"), (8, "x"), (9, None), (9, None)]
     kept = near_dedup.drop_near_duplicates(frame(spark, rows))
