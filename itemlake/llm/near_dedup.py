@@ -11,6 +11,12 @@ Which text leads differs from band to band, so links missed in one bucket are fo
 
 Estimates clearly above the threshold are links; those near it are checked on the exact shingle sets.
 Classes are the connected components of the links.
+
+That first pass leaves links out: followers do not meet each other, and a group gives few forests of
+its links. So buckets that still hold several classes are gone through again, all their texts of different
+classes pair by pair, in as many blocks as that takes. Each round gives the likeliest forests between
+the classes, four times as many as the round before, without the links that have failed; the exact check joins
+classes; and the rounds go on until no unchecked link between different classes is left.
 """
 
 from __future__ import annotations
@@ -114,11 +120,13 @@ SIGNED = "uid long, doc_id long, text_key long, words_key binary, bands array<lo
 LED = "a long, b long, likeness double, bucket long, rest binary"
 
 
-def _forests(size: int, found: list[np.ndarray]) -> list[tuple[int, int, float]]:
-    """The FORESTS likeliest spanning forests of a group's links, no link in two of them.
+def _forests(size: int, found: list[np.ndarray], forests: int = FORESTS,
+             classes: list[int] | None = None) -> list[tuple[int, int, float]]:
+    """The likeliest spanning forests of a group's links, no link in two of them; with ``classes`` (the first
+    member of each member's class) forests between the classes.
 
     They join whatever the links join, with a number of links that grows with the group and not with its
-    square; a class falls apart only if every forest's link across a gap fails the exact check.
+    square; where every forest's link across a gap fails the exact check, a later round tries the others.
     """
     if not found:
         return []
@@ -126,8 +134,10 @@ def _forests(size: int, found: list[np.ndarray]) -> list[tuple[int, int, float]]
     order = np.argsort(-like, kind="stable")
     edges = list(zip(left[order].astype(int).tolist(), right[order].astype(int).tolist(), like[order].tolist()))
     taken: list[tuple[int, int, float]] = []
-    for _ in range(FORESTS):
-        joined, rest = list(range(size)), []
+    for _ in range(forests):
+        if not edges:
+            break
+        joined, rest = list(classes or range(size)), []
         for edge in edges:
             i, j, _ = edge
             while joined[i] != i:
@@ -143,16 +153,17 @@ def _forests(size: int, found: list[np.ndarray]) -> list[tuple[int, int, float]]
     return taken
 
 
+def _estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    same = np.count_nonzero(x == y, axis=-1) / y.shape[-1]
+    return (same - 1 / 256) / (1 - 1 / 256)
+
+
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leaders and links of every (bucket, block); rows come sorted by them.
 
     A link is (text, leader, estimate); where a bucket has more blocks its leaders are also given back,
     with their marks, for the next level.
     """
-    def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        same = (x == y).mean(axis=-1)
-        return (same - 1 / 256) / (1 - 1 / 256)
-
     def groups():
         held: list[tuple] = []
         for batch in batches:
@@ -187,7 +198,7 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen: list[int] = []
         edges = []
         for i in range(len(uid)):
-            like = estimate(leaders[:len(chosen)], marks[i])
+            like = _estimate(leaders[:len(chosen)], marks[i])
             at = np.flatnonzero(like >= UNSURE)
             if len(at):
                 edges.append(np.stack([np.full(len(at), i), np.array(chosen)[at], like[at]]))
@@ -213,15 +224,117 @@ def _split(rows: DataFrame, parts: int = 8, taken: int = 3) -> DataFrame:
     return rows.select(F.explode(F.array(*subs)).alias("bucket"), "uid", "marks")
 
 
-def candidate_links(signed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(a, b, likeness)`` between texts of ``signed (uid, bands, marks)`` whose estimate reaches UNSURE."""
-    spark = signed.sparkSession
+PAIRED = "a long, b long, likeness double, bucket long"
+
+
+def _pair(forests: int):
+    """The likeliest forests of unchecked links between different classes, of every (bucket, block); rows come
+    sorted by them. A row without link names a bucket that has more links than these.
+
+    Where a block has two halves, texts of one are compared with those of the other only.
+    """
+    def flush(out):
+        names, kinds = ["a", "b", "likeness", "bucket"], [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(4)], names)
+
+    def links(bucket: int, members: list[tuple]):
+        uid = np.array([m[0] for m in members])
+        marks = np.frombuffer(b"".join(m[1] for m in members), np.uint8).reshape(len(uid), -1)
+        _, first, place = np.unique(np.array([m[2] for m in members]), return_index=True, return_inverse=True)
+        own, half = first[place], np.array([m[4] for m in members])
+        both, found = half.min() != half.max(), []
+        for i in range(len(uid) - 1):
+            at = np.flatnonzero((own[i + 1:] != own[i]) & (half[i + 1:] != half[i]) if both else own[i + 1:] != own[i]) + i + 1
+            if len(at):
+                like = _estimate(marks[at], marks[i])
+                at, like = at[like >= UNSURE], like[like >= UNSURE]
+                if len(at) and members[i][3]:  # texts it failed against
+                    new = ~np.isin(uid[at], members[i][3])
+                    at, like = at[new], like[new]
+                if len(at):
+                    found.append(np.stack([np.full(len(at), i), at, like]))
+        taken = _forests(len(uid), found, forests, own.tolist())
+        yield from ((int(uid[i]), int(uid[j]), x, None) for i, j, x in taken)
+        if len(taken) < sum(f.shape[1] for f in found):
+            yield None, None, None, bucket
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members, out = None, [], []
+        for batch in batches:
+            for bucket, block, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if (bucket, block) != key:
+                    if len(members) > 1:
+                        out.extend(links(key[0], members))
+                    key, members = (bucket, block), []
+                members.append(row)
+            if len(out) > 20_000:
+                yield flush(out)
+                out = []
+        if len(members) > 1:
+            out.extend(links(key[0], members))
+        yield flush(out)
+    return run
+
+
+def _cells(met: DataFrame, block: int) -> DataFrame:
+    """``(bucket, block, uid, class, half)``: blocks in which all texts of different classes of a bucket of
+    ``met (bucket, uid, class)`` meet, each with at most about ``block`` texts of either half.
+
+    Texts of a bucket's largest class meet only the others: with few others a large class is not repeated.
+    """
+    kinds = met.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("k"))
+    sized = (kinds.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "class")).alias("top"), F.count(F.lit(1)).alias("classes"))
+             .filter("classes > 1 AND n > 2")  # two texts have met
+             .select("bucket", "n", F.col("top.class").alias("main"), F.ceil(F.col("top.k") / block).cast("int").alias("mains"),
+                     F.ceil((F.col("n") - F.col("top.k")) / block).cast("int").alias("others")))
+    rows = met.join(sized, "bucket")
+    main, small = F.col("class") == F.col("main"), F.col("n") <= block
+    text = lambda *parts: F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    mine = F.pmod(F.xxhash64("uid", F.lit(7)), F.when(main, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    cell = lambda name, half: F.struct(name.alias("block"), half.cast("int").alias("half"))
+    with_other = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda x: cell(text("m", mine, x), F.lit(0)))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda x: cell(text("m", x, mine), F.lit(1)))
+    among = F.transform(F.sequence(F.lit(0), F.col("others") - 1),
+                        lambda x: cell(text("o", F.least(x, mine), F.greatest(x, mine)), mine > x))
+    places = (F.when(small, F.array(cell(F.lit("all"), F.lit(0)))).when(main, with_other).otherwise(F.concat(with_main, among)))
+    return rows.select("bucket", "uid", "class", F.explode(places).alias("p")).select("bucket", "p.block", "uid", "class", "p.half")
+
+
+def shared_buckets(signed: DataFrame) -> DataFrame:
+    """``(bucket, uid, n)`` of the buckets in which ``n > 1`` texts of ``signed (uid, bands)`` meet."""
     rows = signed.select("uid", F.explode("bands").alias("bucket"))
     # Most shared buckets hold two texts, which their least and greatest id name without a join.
     shared = cut_lineage(rows.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.min("uid").alias("low"), F.max("uid").alias("high")).filter(F.col("n") > 1))
     two = shared.filter("n = 2").select("bucket", F.explode(F.array("low", "high")).alias("uid"), "n")
-    met = cut_lineage(two.union(rows.join(shared.filter("n > 2").select("bucket", "n"), "bucket").select("bucket", "uid", "n")))
+    return cut_lineage(two.union(rows.join(shared.filter("n > 2").select("bucket", "n"), "bucket").select("bucket", "uid", "n")))
+
+
+def candidate_links(signed: DataFrame, met: DataFrame, roots: DataFrame | None, failed: DataFrame | None, forests: int,
+                    block: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
+    """``(a, b, likeness)`` between texts of ``signed (uid, marks)`` that meet in ``met`` and whose estimate
+    reaches UNSURE; in later rounds also the buckets that have more of them.
+
+    In later rounds ``roots (vertex, root)`` has the classes so far and ``failed (a, b)`` the links that were
+    checked in vain; then links are between different classes and none of those.
+    """
+    if roots is None:
+        return _first_links(signed, met, block), None
+    classed = met.join(roots, F.col("uid") == F.col("vertex"), "left").select("bucket", "uid", F.coalesce("root", "uid").alias("class"))
+    cells = _cells(cut_lineage(classed), block)
+    ends = failed.select("a", "b").union(failed.select("b", "a")).groupBy(F.col("a").alias("uid")).agg(F.collect_list("b").alias("not"))
+    spark = signed.sparkSession
+    dealt = (cells.join(signed.select("uid", "marks"), "uid").join(ends, "uid", "left")
+             .repartition(tasks(spark), "bucket", "block").sortWithinPartitions("bucket", "block", "uid")
+             .select("bucket", "block", "uid", "marks", "class", "not", "half"))
+    led = cut_lineage(dealt.mapInArrow(freeing(_pair(forests)), PAIRED))
+    links = led.filter("a IS NOT NULL").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("likeness").alias("likeness"))
+    return links, led.filter("bucket IS NOT NULL").select("bucket").distinct()
+
+
+def _first_links(signed: DataFrame, met: DataFrame, block: int) -> DataFrame:
+    """The links of texts with leaders, and of the leaders of large buckets among themselves."""
+    spark = signed.sparkSession
     level = met.join(signed.select("uid", "marks"), "uid")
     found = None
     while True:
@@ -297,11 +410,24 @@ def _classes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     several = first.filter("rows > 1").select("words_key", F.col("uid").alias("kept"))
     copies = signed.select("words_key", "uid").join(several, "words_key").filter(F.col("uid") != F.col("kept"))
     distinct = cut_lineage(signed.join(copies.select("uid"), "uid", "left_anti").drop("doc_id"))
-    links = cut_lineage(candidate_links(distinct))
-    sure = links.filter(F.col("likeness") >= SURE).select("a", "b")
-    unsure = links.filter(F.col("likeness") < SURE).select("a", "b")
-    near = _checked(keyed, distinct, unsure, size, similarity)
-    roots = cut_lineage(components(sure.union(near)))
+    met, failed, roots, forests = shared_buckets(distinct), None, None, FORESTS
+    while True:
+        found, open_buckets = candidate_links(distinct, met, roots, failed, forests)
+        links = cut_lineage(found)
+        if roots is not None and links.isEmpty():
+            break
+        sure = links.filter(F.col("likeness") >= SURE).select("a", "b")
+        unsure = links.filter(F.col("likeness") < SURE).select("a", "b")
+        near = cut_lineage(_checked(keyed, distinct, unsure, size, similarity))
+        vain = unsure.join(near, ["a", "b"], "left_anti")
+        failed = cut_lineage(vain if failed is None else failed.union(vain))
+        known = sure.union(near)
+        roots = cut_lineage(components(known if roots is None else known.union(roots.select("vertex", "root"))))
+        if open_buckets is not None:
+            met = cut_lineage(met.join(open_buckets, "bucket", "left_semi"))
+            if met.isEmpty():
+                break
+        forests *= 4
     named = (first.drop("rows").join(roots, first["uid"] == roots["vertex"], "left")
              .select("words_key", F.coalesce("root", "uid").alias("class")))
     return signed.select("doc_id", "text_key", "words_key").join(named, "words_key").drop("words_key")

@@ -135,6 +135,26 @@ def test_near_duplicates_with_repeated_words(spark):
     assert [got[d] for d, _ in rows] == want
 
 
+def loose_rows(n):
+    """One group whose texts are mostly just under 0.8 alike."""
+    random.seed(21)
+    base, rows = [f"g{i}" for i in range(400)], []
+    for i in range(n):
+        w = list(base)
+        for j in range(6):
+            w[random.randrange(400)] = f"r{i}x{j}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [2048, 100])
+def test_near_duplicates_of_a_loose_group(spark, block, monkeypatch):
+    monkeypatch.setattr(near_dedup.candidate_links, "__defaults__", (block,))
+    rows = loose_rows(240)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert [got[d] for d, _ in rows] == brute_classes(rows)
+
+
 def test_drop_near_duplicates_keeps_one_row(spark):
     rows = [(5, "a b c d e f g"), (5, "a b c d e f g"), (None, "A b c d e f g"), (8, "x"), (9, None), (9, None)]
     kept = near_dedup.drop_near_duplicates(frame(spark, rows))
