@@ -14,6 +14,11 @@ from itemlake.llm.common import cut_lineage, read
 from itemlake.llm.queries import tokenizer
 
 
+#: On sf0.1 one line is on 8.7 to 13.2 % of every source's pages, all others on at most 4.6 %: the bar lies between.
+#: Lines of 40 characters or more count from five pages and 1 % on.
+LINE_RATIO, LONG_LINE_RATIO = 0.06, 0.01
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated score stays below one half."""
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
@@ -21,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their site's boilerplate lines; ``n_chars`` counts what is left."""
-    return line_dedup.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return line_dedup.drop_boilerplate(docs, ratio=LINE_RATIO, long_ratio=LONG_LINE_RATIO).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -203,6 +203,15 @@ def test_line_dedup(spark):
     assert line_dedup.drop_boilerplate(docs.limit(0)).count() == 0
 
 
+def test_pipeline_drops_lines_below_a_tenth_of_a_site(spark):
+    import corpus_pipeline
+    passage = "A passage of more than forty characters that many pages of a site repeat."
+    rows = [(i, "site", "\n".join([f"own {i}", *["Menu"] * (i < 16), *[passage] * (20 <= i < 26), *["Yes."] * (30 <= i < 36)])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
+    assert got == {i: f"own {i}" + "\nYes." * (30 <= i < 36) for i in range(200)}
+
+
 def test_fingerprints(spark):
     docs = [(d, t) for d, t in ODD if d is not None and d != 3] + [(3, "")]
     want = sorted((d, t or "") for d, t in docs)
