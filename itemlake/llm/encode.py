@@ -24,6 +24,16 @@ MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 SLICE = 4 << 20
 
 
+#: First code point after the letters that go straight to the merges.
+LATIN_END = "\u0250"
+
+
+def _ends_word(core: str) -> bool:
+    """Whether the pre-tokenizer cuts between ``core`` and marks behind it."""
+    low = core[-1:].lower()
+    return "<" not in core and low < LATIN_END and (low.isalpha() or low.isascii() and low.isdigit())
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """``(first, end)`` of consecutive runs of texts with about ``limit`` bytes each."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -53,7 +63,7 @@ class Encoder:
         # The characters that stand for the bytes of letters from U+0080 to U+024F.
         shown = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
         shown |= {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in shown)}
-        self.spell = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0x80, 0x250)}
+        self.spell = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0x80, ord(LATIN_END))}
         self._forget()
 
     def _forget(self) -> None:
@@ -64,15 +74,17 @@ class Encoder:
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         """Ids of pieces. Latin letters, alone or before marks, go straight to the merges, as
         normaliser and pre-tokenizer do no more to them than lower their case, spell their bytes
-        and cut before the marks; all other pieces take the whole way."""
+        and cut before the marks. Marks are only cut from a remembered piece that ends in a Latin letter
+        or ASCII digit: after anything else they belong to one run with it, and ``<`` may begin a special
+        token. All other pieces take the whole way."""
         merge, spell = self.tokenizer.model.tokenize, self.spell
         found: list[list[int]] = [[]] * len(pieces)
         rest = []
         for i, piece in enumerate(pieces):
             core = piece.rstrip(MARKS)
-            if len(core) < len(piece) and (at := self.known.get(core)) is not None:
+            if len(core) < len(piece) and _ends_word(core) and (at := self.known.get(core)) is not None:
                 found[i] = self.flat[self.bounds[at]:self.bounds[at + 1]].tolist() + self._marks(piece[len(core):])
-            elif core.isalpha() and max(core) < "\u0250" and (low := core.lower()).isalpha():
+            elif core.isalpha() and (low := core.lower()).isalpha() and max(low) < LATIN_END:
                 found[i] = [t.id for t in merge(low if low.isascii() else low.translate(spell))]
                 if len(core) < len(piece):
                     found[i] += self._marks(piece[len(core):])

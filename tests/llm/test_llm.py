@@ -43,8 +43,36 @@ def test_encoder_is_exact():
             assert ids[bounds[i]:bounds[i + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("remembered", [250_000, 500])
+def test_encoder_equals_library_on_every_letter_and_mark(remembered):
+    """All of U+0080-U+2FFF and all ASCII marks behind every kind of last character, on a memory that knows the shorter pieces."""
+    encoder = Encoder(tokenizer(), remembered=remembered)
+    random.seed(remembered)
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    shown = [chr(c) for c in range(0x80, 0x3000)]
+    cores = ["said", "dogs'", "it's", "x9", "€", "…", "—", "“no”", "dogs’", "²", "١", "é", "e\u0301", "ª", "ß", "'", "<|endoftext", "<", "a<b",
+             "中", "I'LL", "İ", "ǅ", "ﬀ", "a\u00a0b", "\u0345", "'", ""]
+    pieces = [c for c in cores] + [c + m for c in cores for m in marks] + [c + m + n for c in cores for m in marks for n in random.sample(marks, 4)]
+    pieces += [f"{a}{c}{b}" for c in shown for a, b in (("", ""), ("a", "n"), ("", "n"), ("a", ""), ("a", ".'"), ("'", "'s"))]
+    random.shuffle(pieces)
+    texts = cores + pieces + [" ".join(random.sample(pieces, 40)) for _ in range(300)] + random.sample(pieces, 20_000)
+    wanted = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for a in range(0, len(texts), 5000):
+        ids, bounds = encoder.encode(pa.array(texts[a:a + 5000]))
+        wrong = [(t, w) for i, (t, w) in enumerate(zip(texts[a:a + 5000], wanted[a:a + 5000])) if ids[bounds[i]:bounds[i + 1]].tolist() != w]
+        assert not wrong, (len(wrong), wrong[:20])
+
+
+def library_ids(texts, end):
+    """Ids as the library gives them for whole texts, without this package's encoder."""
+    from tokenizers import Tokenizer
+
+    encoded = Tokenizer.from_file(tokenizer()).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    return [np.array([*e.ids, end], "<u4") for e in encoded]
+
+
 def test_packing_and_token_files(spark):
-    ids = [np.append(x, 2).astype("<u4") for x in encode_texts(tokenizer(), pa.array([t for _, t in ODD], pa.string()))]
+    ids = library_ids([t for _, t in ODD], 2)
     pieces = packing.pack(frame(spark, ODD), tokenizer(), length=1024)
     rows = pieces.collect()
     assert sum(r.length for r in rows) == sum(map(len, ids))
