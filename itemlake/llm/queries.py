@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlake.llm import (decontaminate, fingerprints, language, line_dedup, near_dedup, packing, quotes, token_files, toxicity,
-                          warc)
+from itemlake.llm import (decontaminate, fingerprints, language, line_dedup, near_dedup, packing, quotes, simhash, source_audit,
+                          spelling, token_files, toxicity, warc)
 from itemlake.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,51 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_quotes")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_ordered(read(spark, sf_dir, "conversations"))
+
+
+@query("op11_simhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(read(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.observed_words(read(spark, sf_dir, "documents")))
+
+
+@query("op13_source_audit", """
+    WITH d AS (
+        SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    occurring AS (SELECT lang, source, rid, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+    counts AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs FROM occurring GROUP BY ALL),
+    kept AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY ALL HAVING sum(docs) >= 3),
+    langs AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY ALL),
+    present AS (SELECT DISTINCT lang, source FROM d),
+    totals AS (
+        SELECT present.lang, present.source, coalesce(sum(counts.n) FILTER (kept.term IS NOT NULL), 0)::HUGEINT AS total
+        FROM present LEFT JOIN counts ON counts.lang = present.lang AND counts.source = present.source
+        LEFT JOIN kept ON kept.lang = counts.lang AND kept.term = counts.term GROUP BY ALL),
+    shares AS (
+        SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+               1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (t.total + l.v) AS p,
+               1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.v) AS q
+        FROM totals AS t JOIN langs AS l ON l.lang = t.lang JOIN kept AS k ON k.lang = t.lang
+        LEFT JOIN counts AS c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+    far AS (
+        SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value
+        FROM shares AS a JOIN shares AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.value, 0) AS value
+        FROM present AS a JOIN present AS b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+    own AS (
+        SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value
+        FROM shares WHERE n > 0 AND p > q),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+        FROM (SELECT * FROM pairs UNION ALL SELECT * FROM own))
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(read(spark, sf_dir, "documents"))
