@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from itemlake import constants as C
 from itemlake.operators.bank import active
 from itemlake.operators.ordered import by_range, ordered_scan, ranked_by_digest
-from itemlake.operators.select import shuffle_rounds, shuffled
+from itemlake.operators.select import shuffle_keys, shuffled
 from itemlake.session import cut_lineage
 
 ROW = ["paper_id", "question_id", "position", "paper_section", "display_number", "locked"]
@@ -326,11 +326,11 @@ def alternatives(rows: DataFrame, questions: DataFrame, seed: Column, count: int
     free = F.col("size") - F.coalesce("taken_all", F.lit(0))
     sized = (asked.join(sizes, "pool").join(taken, groups, "left").withColumn("free", free)
              .filter(F.col("free") > 0))
-    keyed = sized.withColumn("rounds", shuffle_rounds(seed, F.col("question_id"), F.col("free")))
+    keyed = sized.withColumn("keys", shuffle_keys(seed, F.col("question_id")))
     stops = keyed.withColumn("rank", F.explode(F.sequence(
         F.lit(1).cast("long"), F.least(F.col("free"), F.lit(count).cast("long")))))
     stops = cut_lineage(stops.withColumn(
-        "at", shuffled(F.col("rounds"), F.col("rank") - 1, F.col("free"))).drop("rounds"))
+        "at", shuffled(F.col("keys"), F.col("rank") - 1, F.col("free"))).drop("keys"))
     lookups = stops.select(*groups, "at").distinct().withColumns({"taken": F.lit(0).cast("long"), "kind": F.lit(1)})
     merged = lookups.unionByName(gaps.withColumn("kind", F.lit(0)))
     counted = ordered_scan(merged, groups, ["at", "kind"], running={"__shift": F.col("taken")})

@@ -5,7 +5,8 @@ exam, subject, chapter, difficulty, question type, section and flags) and get a
 position inside their cell. Requests with equal filters share one *spec*; specs meet cells.
 How many questions each difficulty tier gives follows from counts alone, and the chosen ones
 are addressed as (cell, position), so the join with the bank carries as many rows as are
-selected, whatever the size of the pools.
+selected, whatever the size of the pools. Concepts are counted too: a question's concepts are
+reduced to those that some request asks for, and cells with equal sets are one class.
 
 Seeded order: the questions of a tier are laid out cell after cell, and a keyed permutation of
 their places, computed place by place, says which of them a request takes. The same seed gives
@@ -32,8 +33,13 @@ FACETS = ["chapter", "difficulty", "question_type", "section_type", "has_formula
 CELL = ["exam_name", "subject", *FACETS]
 SPEC = ["exam_name", "subject", "resolved_chapters", "excluded_chapters", "difficulty",
         "question_type", "section_type", "has_formula", "has_diagram", "concepts", "concept_match_mode"]
-# Prime modulus of the coins of a shuffle; a product of two values below it fits into 64 bits.
+# Prime modulus and multipliers of a shuffle's draws; a product with a value of 32 bits fits into 64 bits.
 COIN = 2147483647
+MIX = (1540483477, 1103515245)
+# Questions of a pool that are ranked together when a place is looked up among several classes.
+LEAF = 64
+# Steps along a cycle at most; that one has more steps outside the places has a probability of 2 ** -255.
+LONGEST_WALK = 256
 
 
 # --- One request ---------------------------------------------------------------------
@@ -143,30 +149,71 @@ def _has_concepts(name: str) -> Column:
     return F.coalesce(F.size(name), F.lit(0)) > 0
 
 
-def concept_candidates(specs: DataFrame, questions: DataFrame) -> DataFrame:
-    """``(spec, id, …)`` for specs that name concepts, through an equi-join on the concept.
+def concept_signatures(specs: DataFrame, questions: DataFrame) -> DataFrame:
+    """Active questions that hold a concept which some spec of their subject asks for, each once, with all of these
+    concepts as ``asked``; ``cell`` is the key of the filter columns and ``klass`` that of cell and set."""
+    wanted = specs.filter(_has_concepts("concepts")).select("subject", F.explode("concepts").alias("__concept")).distinct()
+    held = (active(questions).filter(F.col("exam_name").isNotNull() & F.col("subject").isNotNull())
+            .select("id", "question_number", *CELL, F.explode(F.array_distinct("concepts")).alias("__concept")))
+    signed = held.join(wanted, ["subject", "__concept"]).groupBy("id", "question_number", *CELL).agg(
+        F.array_sort(F.collect_set("__concept")).alias("asked"))
+    return signed.withColumn("cell", _json_key(CELL)).withColumn("klass", F.md5(_json_key(["cell", "asked"])))
+
+
+def concept_classes(specs: DataFrame, signed: DataFrame) -> DataFrame:
+    """``(spec, klass, cell, pool, n, cell columns)`` for specs that name concepts: the classes of questions with equal
+    filter columns and equal sets of asked concepts that answer the spec.
 
-    Only questions sharing a concept with the spec are brought together.
+    Specs meet classes through an equi-join on the concept; questions are only counted.
     """
-    asked = specs.filter(_has_concepts("concepts"))
-    wanted = asked.select("spec", *SPEC, F.explode(F.array_distinct("concepts")).alias("__concept"))
-    rows = (active(questions).filter(F.col("exam_name").isNotNull() & F.col("subject").isNotNull())
-            .select("id", "question_number", *CELL, F.explode(F.array_distinct("concepts")).alias("__concept")))
+    classes = signed.groupBy(*CELL, "cell", "klass", "asked").agg(F.count(F.lit(1)).alias("n"))
+    wanted = specs.filter(_has_concepts("concepts")).select("spec", *SPEC, F.explode(F.array_distinct("concepts")).alias("__concept"))
     s = wanted.select(
         "spec", F.col("exam_name").alias("__exam"), F.col("subject").alias("__subject"), "__concept",
         *[F.col(c).alias(f"s_{c}") for c in SPEC if c not in ("exam_name", "subject")])
-    met = s.join(rows.withColumns({"__subject": F.col("subject")}), ["__subject", "__concept"]).filter(
+    rows = classes.withColumns({"__subject": F.col("subject"), "__concept": F.explode("asked")}).drop("asked")
+    met = s.join(rows, ["__subject", "__concept"]).filter(
         ((F.coalesce("__exam", F.lit("")) == "") | (F.col("__exam") == F.col("exam_name")))
         & ((F.coalesce(F.size("s_resolved_chapters"), F.lit(0)) == 0)
            | F.array_contains("s_resolved_chapters", F.col("chapter")))
         & _matches())
-    hits = met.groupBy("spec", "id", "question_number", *CELL).agg(
+    hits = met.groupBy("spec", "klass", "cell", "n", *CELL).agg(
         F.count(F.lit(1)).alias("__hits"),
         F.first(F.size(F.array_distinct("s_concepts"))).alias("__asked"),
         F.first("s_concept_match_mode").alias("__mode"))
     enough = F.when(F.col("__mode") == "all", F.col("__hits") == F.col("__asked")).otherwise(True)
-    return (hits.filter(enough).select("spec", "id", "question_number", *CELL)
-            .withColumn("pool", F.concat_ws(" ", "spec", _json_key(CELL))))
+    return (hits.filter(enough).withColumn("pool", F.concat_ws(" ", "spec", "cell"))
+            .select("spec", "klass", "cell", "pool", "n", *CELL))
+
+
+def nth_of_classes(places: DataFrame, classes: DataFrame, signed: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """``(pool, pool_pos, id, chapter, question_number, section_type)`` for the distinct ``places (pool, pool_pos)``.
+
+    A pool is the union of some of ``classes (pool, klass, n)``, ordered by the digest of the id. Its ``pool_pos``-th
+    question is found without bringing a pool together: questions are counted by class and leading digits of
+    the digest, 256 parts to a level, each place goes down to the part it falls into, and only the ``leaf`` or so questions
+    of the last part are ranked. So rows grow with the places, times the levels, and not with specs times questions.
+    """
+    parts = classes.select("pool", "klass")
+    rows = signed.select("klass", F.md5(F.col("id").cast("string")).alias("digest"), "id", "chapter", "question_number", "section_type")
+    largest = classes.groupBy("pool").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    state, digits = places.select("pool", "pool_pos", F.lit("").alias("node"), F.col("pool_pos").alias("rest")), 0
+    while largest > leaf * 16 ** digits:
+        inner, digits = digits, digits + 2
+        counts = rows.groupBy("klass", F.substring("digest", 1, digits).alias("kid")).agg(F.count(F.lit(1)).alias("n"))
+        spans = (state.select("pool", "node").distinct().join(parts, "pool")
+                 .join(counts.withColumn("node", F.substring("kid", 1, inner)), ["klass", "node"])
+                 .groupBy("pool", "node", "kid").agg(F.sum("n").alias("n")))
+        upto = Window.partitionBy("pool", "node").orderBy("kid").rowsBetween(Window.unboundedPreceding, -1)
+        kids = (spans.withColumn("lo", F.coalesce(F.sum("n").over(upto), F.lit(0)).cast("long")).groupBy("pool", "node")
+                .agg(F.array_sort(F.collect_list(F.struct("lo", "kid"))).alias("kids")))  # at most 256
+        at = F.get("kids", strip_of(F.transform("kids", lambda k: k["lo"]), F.col("rest")) - 1)
+        state = cut_lineage(state.join(kids, ["pool", "node"]).withColumn("__at", at).select(
+            "pool", "pool_pos", F.col("__at.kid").alias("node"), (F.col("rest") - F.col("__at.lo")).alias("rest")))
+    leaves = (state.select("pool", "node").distinct().join(parts, "pool")
+              .join(rows.withColumn("node", F.substring("digest", 1, digits)), ["klass", "node"])
+              .withColumn("rest", F.row_number().over(Window.partitionBy("pool", "node").orderBy("digest", "id")) - 1))
+    return state.join(leaves.drop("klass", "digest"), ["pool", "node", "rest"]).drop("node", "rest")
 
 
 def distinct_specs(requests: DataFrame) -> DataFrame:
@@ -177,35 +224,29 @@ def distinct_specs(requests: DataFrame) -> DataFrame:
 class Pools(NamedTuple):
     """What a batch of requests can draw from.
 
-    ``requests`` with ``spec``; ``cells (spec, cell columns, pool, n)``; ``by_concept``, the
-    candidates of the specs that name concepts.
+    ``requests`` with ``spec``; ``cells (spec, cell columns, pool, n)``; for the specs that name concepts ``classes``
+    and ``signed``, the questions of the classes.
     """
 
     requests: DataFrame
     cells: DataFrame
-    by_concept: DataFrame
+    classes: DataFrame
+    signed: DataFrame
 
 
 def prepare(requests: DataFrame, questions: DataFrame) -> Pools:
     """Match the specs of ``requests`` (which carry ``spec``) with the bank, once.
 
-    Cells and concept candidates feed counts, facets, samples and picks and are therefore
-    written to the shared folder; both are counts or matches, not the bank.
+    Cells and classes feed counts, facets, samples and picks and are therefore written to the shared
+    folder, as are the questions that hold an asked concept, once each.
     """
-    specs = distinct_specs(requests)
-    by_concept = cut_lineage(concept_candidates(specs, questions))
+    specs = cut_lineage(distinct_specs(requests))
+    signed = cut_lineage(concept_signatures(specs, questions))
+    classes = cut_lineage(concept_classes(specs, signed))
     plain = _meet(specs.filter(~_has_concepts("concepts")), bank_cells(questions)).select(
         "spec", *CELL, "pool", "n")
-    counted = by_concept.groupBy("spec", *CELL, "pool").agg(F.count(F.lit(1)).alias("n"))
-    return Pools(requests, cut_lineage(plain.unionByName(counted)), by_concept)
-
-
-def selection_index(pools: Pools, questions: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """``(pool, pool_pos, id, chapter, question_number, section_type)`` for all pools in use."""
-    columns = ["pool", "pool_pos", "id", "chapter", "question_number", "section_type"]
-    base = bank_index(questions) if index is None else index
-    matched = ranked_by_digest(pools.by_concept, ["pool"], F.md5(F.col("id").cast("string")), "id", "pool_pos")
-    return base.select(columns).unionByName(matched.select(columns))
+    counted = classes.groupBy("spec", *CELL, "pool").agg(F.sum("n").alias("n"))
+    return Pools(requests, cut_lineage(plain.unionByName(counted)), classes, signed)
 
 
 # --- Preview -------------------------------------------------------------------------------
@@ -243,16 +284,18 @@ def spec_samples(pools: Pools, questions: DataFrame) -> DataFrame:
     Every cell hands on its own first five, so whole pools are never sorted together.
     """
     order = [F.asc_nulls_last("question_number"), F.asc("id")]
-    k = C.PREVIEW_SAMPLE
-    columns = ["pool", "id", "question_number"]
+
+    def first(rows: DataFrame, *by: str) -> DataFrame:
+        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        return ranked.filter(F.col("rank") <= C.PREVIEW_SAMPLE)
+
     base = (active(questions).filter(F.col("exam_name").isNotNull() & F.col("subject").isNotNull())
-            .withColumn("pool", _json_key(CELL)).select(columns))
-    rows = base.unionByName(pools.by_concept.select(columns))
-    per_pool = (rows.withColumn("__r", F.row_number().over(Window.partitionBy("pool").orderBy(*order)))
-                .filter(F.col("__r") <= k).drop("__r"))
-    ranked = pools.cells.select("spec", "pool").join(per_pool, "pool").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("spec").orderBy(*order)))
-    return ranked.filter(F.col("rank") <= k).select("spec", "rank", "id")
+            .withColumn("pool", _json_key(CELL)).select("pool", "id", "question_number"))
+    of_cells = pools.cells.select("spec", "pool").join(first(base, "pool").drop("rank"), "pool")
+    signed = pools.signed.select("klass", "id", "question_number")
+    of_classes = pools.classes.select("spec", "klass").join(first(signed, "klass").drop("rank"), "klass")
+    both = of_cells.drop("pool").unionByName(of_classes.drop("klass"))
+    return first(both, "spec").select("spec", "rank", "id")
 
 
 def preview_samples(pools: Pools, questions: DataFrame) -> DataFrame:
@@ -328,38 +371,50 @@ def tier_picks(targets: Column, tiers: Column, count: Column) -> Column:
     return X.let(F.transform(targets, sized), pick)
 
 
-def shuffle_rounds(seed: Column, label: Column, size: Column) -> Column:
-    """Rounds of a shuffle of ``size`` places, more of them for larger pools: a pivot and a coin each."""
-    def keyed(number: Column) -> Column:
-        def parts(digest: Column) -> Column:
-            pivot, a, b = (F.conv(F.substring(digest, at, digits), 16, 10).cast("long")
-                           for at, digits in ((1, 15), (16, 8), (24, 8)))
-            return F.struct((pivot % size).alias("pivot"), (a % COIN).alias("a"), (b % COIN).alias("b"))
-
-        return X.let(F.md5(F.concat_ws(":", *[c.cast("string") for c in (seed, label, number)])), parts)
+def shuffle_keys(seed: Column, label: Column) -> Column:
+    """Keys of the four rounds of a shuffle, all cut from one digest."""
+    return X.let(F.md5(F.concat_ws(":", seed.cast("string"), label.cast("string"))), lambda digest: F.array(*[
+        F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9, 17, 25)]))
 
-    return F.transform(F.sequence(F.lit(1), F.length(F.bin(size)) + 12), keyed)
 
-
-def shuffled(rounds: Column, place: Column, size: Column) -> Column:
+def shuffled(keys: Column, place: Column, size: Column) -> Column:
     """Where ``place`` goes in a seeded permutation of ``0 … size-1``.
 
-    In every round a place and its mirror image at the pivot form a pair, and a coin tossed
-    for the pair says whether the two change places; so each round permutes any number of places.
+    The places' binary digits are cut into two halves, and in four rounds either half is changed by a number drawn from
+    the other and the round's key; so the next power of two is permuted. A place that leaves ``0 … size-1`` goes on
+    along its cycle until it comes back, as each cycle must; at least half of all places come back at once.
     """
-    def turn(x: Column, r: Column) -> Column:
-        return X.let(F.pmod(r["pivot"] - x, size), lambda mirror: F.when(
-            (r["a"] * (F.greatest(x, mirror) % COIN) + r["b"]) % COIN * 2 >= COIN, mirror).otherwise(x))
+    def drawn(value: Column, key: Column) -> Column:
+        once = value.bitwiseXOR(key) * MIX[0] % COIN
+        return X.let(once, lambda x: x.bitwiseXOR(F.shiftright(x, 15)) * MIX[1] % COIN)
+
+    def turn(half: Column, key: Column) -> Column:
+        return F.struct(half["b"].alias("a"), half["a"].bitwiseXOR(drawn(half["b"], key) % half["a_size"]).alias("b"),
+                        half["b_size"].alias("a_size"), half["a_size"].alias("b_size"))
+
+    def step(x: Column, high: Column, low: Column) -> Column:
+        start = F.struct(F.floor(x / low).cast("long").alias("a"), (x % low).alias("b"), high.alias("a_size"), low.alias("b_size"))
+        return F.aggregate(keys, start, turn, lambda half: half["a"] * low + half["b"])
 
-    return F.aggregate(rounds, place, turn)
+    def walk(high: Column, low: Column) -> Column:
+        longest = F.least(F.lit(LONGEST_WALK).cast("long"), high * low - size + 1)
+        return X.let(step(place, high, low), lambda first: F.when(first < size, first).otherwise(F.aggregate(
+            F.sequence(F.lit(2).cast("long"), F.greatest(longest, F.lit(2).cast("long"))), first,
+            lambda x, _: F.when(x < size, x).otherwise(step(x, high, low)))))
 
+    digits = F.length(F.bin(size - 1))
+    power = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+    return X.let(F.struct(power(F.floor(digits / 2)).alias("high"), power(digits - F.floor(digits / 2)).alias("low")),
+                 lambda half: walk(half["high"], half["low"]))
 
-def select_ids(wanted: DataFrame, cells: DataFrame, index: DataFrame) -> DataFrame:
+
+def select_ids(wanted: DataFrame, pools: Pools, index: DataFrame) -> DataFrame:
     """Choose questions for ``wanted (request_id, label, spec, seed, count, split)``.
 
     ``split`` holds tier fractions, or NULL to follow the pool. Returns
     ``(request_id, label, id, chapter, question_number, section_type)``.
     """
+    cells = pools.cells
     joined = wanted.join(tier_counts(cells), "spec")
     count = F.col("count").cast("long")
     split = F.coalesce("split", proportional_split(F.col("tiers")))
@@ -368,10 +423,10 @@ def select_ids(wanted: DataFrame, cells: DataFrame, index: DataFrame) -> DataFra
         "request_id", "label", "spec", "seed",
         F.explode(tier_picks(F.col("__targets"), F.col("tiers"), count)).alias("t"),
     ).filter(F.col("t.k") > 0)
-    keyed = picked.select("request_id", "label", "spec", "t.*", shuffle_rounds(
-        F.col("seed"), F.concat_ws(" ", "label", "t.tier"), F.col("t.n")).alias("rounds"))
+    keyed = picked.select("request_id", "label", "spec", "t.*", shuffle_keys(
+        F.col("seed"), F.concat_ws(" ", "label", "t.tier")).alias("keys"))
     places = keyed.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    addressed = places.withColumn("at", shuffled(F.col("rounds"), F.col("place"), F.col("n")))
+    addressed = places.withColumn("at", shuffled(F.col("keys"), F.col("place"), F.col("n")))
     # Cells of one spec and tier, at most as many as there are facet combinations.
     tier = F.coalesce(F.nullif("difficulty", F.lit("")), F.lit("medium"))
     order = Window.partitionBy("spec", "tier").orderBy("pool")
@@ -383,7 +438,13 @@ def select_ids(wanted: DataFrame, cells: DataFrame, index: DataFrame) -> DataFra
         "request_id", "label", "spec", "tier", "at", strip_of(F.col("starts"), F.col("at")).alias("strip"))
     wanted_rows = located.join(layout, ["spec", "tier", "strip"]).select(
         "request_id", "label", "pool", (F.col("at") - F.col("lo")).alias("pool_pos"))
-    return wanted_rows.join(index, ["pool", "pool_pos"]).drop("pool", "pool_pos")
+    columns = ["pool", "pool_pos", "id", "chapter", "question_number", "section_type"]
+    if not pools.classes.isEmpty():
+        wanted_rows = cut_lineage(wanted_rows)
+        by_concept = wanted_rows.select("pool", "pool_pos").distinct().join(pools.classes, "pool", "left_semi")
+        found = nth_of_classes(cut_lineage(by_concept), pools.classes, pools.signed)
+        index = index.select(columns).unionByName(found.select(columns))
+    return wanted_rows.join(index.select(columns), ["pool", "pool_pos"]).drop("pool", "pool_pos")
 
 
 def strip_of(starts: Column, at: Column) -> Column:
@@ -427,7 +488,7 @@ def select_for_requests(requests: DataFrame, questions: DataFrame, index: DataFr
     wanted = enough.select(
         "request_id", F.lit("A").alias("label"), "spec", "seed", F.col("question_count").alias("count"),
         explicit_split(F.col("difficulty_distribution"), F.col("question_count")).alias("split"))
-    chosen = select_ids(wanted, pools.cells, selection_index(pools, questions, index))
+    chosen = select_ids(wanted, pools, bank_index(questions) if index is None else index)
     return in_syllabus_order(chosen, requests).drop("label")
 
 
@@ -452,6 +513,6 @@ def select_for_blueprints(blueprints: DataFrame, questions: DataFrame, index: Da
                               "s.label", "s.count", "split", "seed"))
     pools = prepare(asked, questions)
     wanted = asked.select("request_id", "label", "spec", "seed", "count", "split")
-    chosen = select_ids(wanted, pools.cells, selection_index(pools, questions, index))
+    chosen = select_ids(wanted, pools, bank_index(questions) if index is None else index)
     order = blueprints.select("request_id", F.col("chapters").alias("resolved_chapters"))
     return in_syllabus_order(chosen, order, by_number=False)

@@ -6,7 +6,7 @@ from itemlake.operators import export as E
 from itemlake.operators import papers as P
 from itemlake.operators import select as S
 from itemlake.plans.queries import query
-from itemlake.plans.queries.requests import POOL, SHUFFLED
+from itemlake.plans.queries.requests import POOL, SHUFFLE_KEYS, shuffled_places
 from itemlake.session import new_folder
 from itemlake.sources.sinks import append_questions, write_markdown
 
@@ -220,7 +220,7 @@ def _regeneration(v):
 
 
 @query("regenerate_papers", """
-WITH bp AS (SELECT id AS request_id, concat('E', custkey % 2) AS exam_name, CASE WHEN id % 3 = 0 THEN ['Brand#99']
+WITH RECURSIVE bp AS (SELECT id AS request_id, concat('E', custkey % 2) AS exam_name, CASE WHEN id % 3 = 0 THEN ['Brand#99']
     ELSE ['Brand#1', 'Brand#2', 'Brand#3'] END AS chapters, id * 11 + 3 AS seed FROM paps WHERE status = 'draft'),
 asked AS (SELECT request_id, 'A' AS label, 3 AS count, seed FROM bp),
 mine AS (SELECT b.request_id, 'A' AS label, q.* FROM bp b JOIN q_parts q ON q.subject = 'small' AND q.section_type = 'mcq'
@@ -261,7 +261,7 @@ def _(v):
 
 
 @query("question_alternatives", """
-WITH r AS (SELECT pq.paper_id, pq.question_id, q.subject, q.chapter, q.section_type, q.difficulty
+WITH RECURSIVE r AS (SELECT pq.paper_id, pq.question_id, q.subject, q.chapter, q.section_type, q.difficulty
   FROM pq JOIN q_parts q ON q.id = pq.question_id),
 free AS (SELECT r.paper_id, r.question_id, a.id, count(*) OVER w AS n,
     row_number() OVER (PARTITION BY r.paper_id, r.question_id ORDER BY md5(CAST(a.id AS VARCHAR)), a.id) - 1 AS at
@@ -269,10 +269,10 @@ free AS (SELECT r.paper_id, r.question_id, a.id, count(*) OVER w AS n,
     AND a.section_type = r.section_type AND (r.difficulty IS NULL OR a.difficulty = r.difficulty)
   LEFT JOIN pq x ON x.paper_id = r.paper_id AND x.question_id = a.id
   WHERE x.question_id IS NULL WINDOW w AS (PARTITION BY r.paper_id, r.question_id)),
-keyed AS (SELECT *, list_transform(range(1, length(bin(n)) + 13), lambda r: md5(concat_ws(':', paper_id, question_id, r))) AS ds
-  FROM (SELECT DISTINCT paper_id, question_id, n FROM free)),
+keyed AS (SELECT *, """ + SHUFFLE_KEYS + """ FROM (
+    SELECT DISTINCT paper_id, question_id, n, md5(concat_ws(':', paper_id, question_id)) AS d FROM free)),
 stops AS (SELECT *, unnest(range(CAST(least(n, 3) AS BIGINT))) AS i FROM keyed),
-g AS (SELECT paper_id, question_id, i, """ + SHUFFLED + """ AS at FROM stops)
+""" + shuffled_places("paper_id, question_id, i") + """
 SELECT g.paper_id, g.question_id, CAST(g.i + 1 AS INT) AS rank, f.id AS alternative_id
 FROM g JOIN free f ON f.paper_id = g.paper_id AND f.question_id = g.question_id AND f.at = g.at""")
 def _(v):

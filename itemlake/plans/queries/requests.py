@@ -9,12 +9,29 @@ from itemlake.operators import syllabus as Y
 from itemlake.plans import drafting
 from itemlake.plans.queries import query
 
-#: Where place i of n goes, by the digests ds of the rounds.
-_PIVOT = "CAST('0x' || substr(ds[r], 1, 15) AS BIGINT) % n"
-_MIRROR = f"((({_PIVOT}) - x + n) % n)"
-SHUFFLED = f"""list_reduce(range(1, len(ds) + 1), lambda x, r: CASE WHEN
-    ((CAST('0x' || substr(ds[r], 16, 8) AS BIGINT) % 2147483647) * (greatest(x, {_MIRROR}) % 2147483647)
-     + CAST('0x' || substr(ds[r], 24, 8) AS BIGINT) % 2147483647) % 2147483647 * 2 >= 2147483647 THEN {_MIRROR} ELSE x END, i)"""
+#: Keys of a shuffle by its digest d, and the sizes of the two halves of a place's binary digits.
+SHUFFLE_KEYS = """[CAST('0x' || substr(d, 1, 8) AS BIGINT), CAST('0x' || substr(d, 9, 8) AS BIGINT),
+    CAST('0x' || substr(d, 17, 8) AS BIGINT), CAST('0x' || substr(d, 25, 8) AS BIGINT)] AS ks,
+  CAST(1 AS BIGINT) << (length(bin(n - 1)) // 2) AS hs, CAST(1 AS BIGINT) << (length(bin(n - 1)) - length(bin(n - 1)) // 2) AS ls"""
+
+
+def _drawn(half: str, key: int) -> str:
+    x = f"((xor({half}, ks[{key}]) * 1540483477) % 2147483647)"
+    return f"((xor({x}, {x} >> 15) * 1103515245) % 2147483647)"
+
+
+def shuffled_places(kept: str) -> str:
+    """Tables ``walk`` and ``g (kept, at)`` from ``stops (kept, n, ks, hs, ls, i)``: place i of n and where it goes.
+
+    Four rounds written out, each half changed by the other, and again from where they lead as long as that is outside.
+    """
+    def turn(place: str) -> str:
+        return f"""xor({place} // ls, {_drawn(f"({place} % ls)", 1)} % hs) AS a1, xor({place} % ls, {_drawn("a1", 2)} % ls) AS b1,
+    xor(a1, {_drawn("b1", 3)} % hs) AS a2, xor(b1, {_drawn("a2", 4)} % ls) AS b2"""
+
+    return f"""walk AS (SELECT {kept}, n, ks, hs, ls, a2 * ls + b2 AS spot FROM (SELECT *, {turn("i")} FROM stops)
+  UNION ALL SELECT {kept}, n, ks, hs, ls, a2 * ls + b2 FROM (SELECT *, {turn("spot")} FROM walk WHERE spot >= n)),
+g AS (SELECT {kept}, spot AS at FROM walk WHERE spot < n)"""
 
 
 @query("request_normalization", "SELECT request_id, exam_name, subject, mode AS chapter_filter_mode FROM nreq")
@@ -180,15 +197,14 @@ b AS (SELECT *, coalesce(sum(s) OVER (PARTITION BY request_id, label ORDER BY or
     coalesce(sum(n - s) OVER (PARTITION BY request_id, label ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bl,
     greatest(0, count - sum(s) OVER (PARTITION BY request_id, label)) AS short FROM s),
 k AS (SELECT *, CAST(greatest(0, least(s, count - bs)) + greatest(0, least(n - s, short - bl)) AS BIGINT) AS k FROM b),
-keyed AS (SELECT *, list_transform(range(1, length(bin(n)) + 13),
-    lambda r: md5(concat_ws(':', seed, concat(label, ' ', tier), r))) AS ds FROM k WHERE k > 0),
+keyed AS (SELECT *, """ + SHUFFLE_KEYS + """ FROM (SELECT *, md5(concat_ws(':', seed, concat(label, ' ', tier))) AS d FROM k WHERE k > 0)),
 stops AS (SELECT *, unnest(range(k)) AS i FROM keyed),
-g AS (SELECT request_id, label, tier, """ + SHUFFLED + """ AS at FROM stops),
+""" + shuffled_places("request_id, label, tier") + """,
 chosen AS (SELECT g.request_id, g.label, p.id, p.chapter, p.question_number, p.section_type
   FROM g JOIN place p ON p.request_id = g.request_id AND p.label = g.label AND p.tier = g.tier AND p.at = g.at)
 """
 REQUEST_SELECTION = """
-WITH mine AS (SELECT c.*, 'A' AS label FROM cand c),
+WITH RECURSIVE mine AS (SELECT c.*, 'A' AS label FROM cand c),
 ok AS (SELECT r.request_id, count(c.id) AS total FROM rreq r JOIN cand c USING (request_id) GROUP BY r.request_id, r.question_count
   HAVING count(c.id) >= r.question_count),
 asked AS (SELECT r.request_id, 'A' AS label, r.question_count AS count, r.seed, r.dist_easy, ok.total FROM rreq r JOIN ok USING (request_id)),
@@ -230,7 +246,7 @@ def _(v):
 
 
 BLUEPRINT_SELECTION = """
-WITH bp AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('E', c_custkey % 2) END AS exam_name,
+WITH RECURSIVE bp AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('E', c_custkey % 2) END AS exam_name,
     CASE c_custkey % 3 WHEN 0 THEN 'economy' WHEN 1 THEN 'small' ELSE 'promo' END AS subject,
     CASE WHEN c_custkey % 4 = 0 THEN CAST([] AS VARCHAR[])
       ELSE [concat('Brand#', 1 + c_custkey % 25), 'Brand#7', 'Brand#3', 'Brand#12'] END AS chapters,

@@ -374,6 +374,7 @@ def oracle(sql: str) -> str:
     names = {n: n for n in [*TABLES, *texts]}
     ctes = [f"{n} AS ({texts[n].format(**names).strip()})" for n in needed]
     body = sql.strip()
-    if ctes and body[:5].upper() == "WITH ":
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if ctes and body.startswith(opening):
+            return opening + ",\n".join(ctes) + ",\n" + body.removeprefix(opening)
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body

@@ -1,5 +1,6 @@
 """Selection against a list-based statement of the rules."""
 
+import hashlib
 import random
 
 import pytest
@@ -39,9 +40,9 @@ def test_picks_equal_list_selection(spark):
 
 
 def permuted(sizes, seeds, taken):
-    keyed = sizes.crossJoin(seeds).withColumn("rounds", S.shuffle_rounds(F.col("seed"), F.lit("A easy"), F.col("n")))
+    keyed = sizes.crossJoin(seeds).withColumn("keys", S.shuffle_keys(F.col("seed"), F.lit("A easy")))
     places = keyed.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), taken - 1)))
-    return places.withColumn("at", S.shuffled(F.col("rounds"), F.col("place"), F.col("n")))
+    return places.withColumn("at", S.shuffled(F.col("keys"), F.col("place"), F.col("n")))
 
 
 def test_shuffle_visits_every_place_once(spark):
@@ -133,6 +134,36 @@ def test_batch_equals_single_filter(spark, bank):
         assert totals[i] == bank.filter(S.blueprint_predicate(**args)).count(), c
 
 
+@pytest.mark.parametrize("leaf", [64, 1])
+def test_places_among_classes_of_concepts(spark, bank, leaf):
+    """A place in the union of classes is the place by digest; no table has a row per (spec, question)."""
+    cases = [dict(concepts=["x"]), dict(concepts=["x"], difficulty="hard"), dict(concepts=["k1", "k2"]), dict(concepts=["x", "k3"], concept_match_mode="all"),
+             dict(concepts=["x", "k1", "k4", "none"])]
+    frame = spark.createDataFrame([request(request_id=i, resolved_chapters=[], excluded_chapters=[], **c) for i, c in enumerate(cases)], REQUEST)
+    pools = S.prepare(S.with_spec(frame), bank)
+    assert pools.signed.count() == bank.filter("status = 'active'").count()
+    sizes = {r.pool: r.n for r in pools.cells.select("pool", "n").collect()}
+    assert pools.classes.count() < sum(sizes.values()) / 2
+    places = pools.cells.select("pool", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pool_pos"))
+    got = {}
+    for r in S.nth_of_classes(places, pools.classes, pools.signed, leaf).collect():
+        got.setdefault(r.pool, {})[r.pool_pos] = r.id
+    spec = {r.spec: cases[r.request_id] for r in pools.requests.collect()}
+    want = {}
+    for r in bank.filter("status = 'active'").select("id", "concepts", *S.CELL, S._json_key(S.CELL).alias("cell")).collect():
+        for key, c in spec.items():
+            test = all if c.get("concept_match_mode") == "all" else any
+            if test(x in r.concepts for x in c["concepts"]) and c.get("difficulty") in (None, r.difficulty):
+                want.setdefault(f"{key} {r.cell}", []).append((hashlib.md5(str(r.id).encode()).hexdigest(), r.id))
+    assert got == {p: dict(enumerate(i for _, i in sorted(v))) for p, v in want.items()} and {p: len(v) for p, v in want.items()} == sizes
+
+
+def test_concept_selection_does_not_depend_on_the_batch(spark, bank):
+    one = request(concepts=["x", "k2"], resolved_chapters=[], question_count=9)
+    alone = ids(spark, bank, one)[1]
+    assert len(alone) == 9 and ids(spark, bank, one, request(request_id=2, concepts=["k1", "k2", "k3"], question_count=3))[1] == alone
+
+
 def test_exclusion_drops_questions_without_chapter(spark, bank):
     loose = bank.withColumn("chapter", F.when(F.col("id") % 2 == 0, F.col("chapter")))
     args = dict(exam_name="E", subject="physics", excluded_chapters=["c1"])
