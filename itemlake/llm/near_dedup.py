@@ -9,14 +9,15 @@ per pair. Buckets larger than a block are cut into blocks by hash and only the b
 on to the next level; a bucket whose leaders do not get fewer is split by further coordinates.
 Which text leads differs from band to band, so links missed in one bucket are found in others.
 
-Estimates clearly above the threshold are links; those near it are checked on the exact shingle sets.
-Classes are the connected components of the links.
-
-That first pass leaves links out: followers do not meet each other, and a group gives few forests of
-its links. So buckets that still hold several classes are gone through again, all their texts of different
-classes pair by pair, in as many blocks as that takes. Each round gives the likeliest forests between
-the classes, four times as many as the round before, without the links that have failed; the exact check joins
-classes; and the rounds go on until no unchecked link between different classes is left.
+A block gives a spanning forest of its links, and the links of all buckets join texts to *candidate groups*, loosely, so
+that texts alike enough are in one group. Each group is then checked once, not bucket by bucket: the texts' shingle sets
+come together in blocks of the group, pairs are compared there from the likeliest down, and only links that hold on the
+exact sets and join two classes leave the task. So rows grow with the texts, never with their pairs, and a
+failed pair is forgotten where it was met.
+
+A group of one block is done then. Blocks of a larger group also hold some texts in common, which join what belongs
+together across blocks. Only where classes are still apart do all blocks of the group meet once more; there texts of
+the group's largest class meet just the others. Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemlake.llm.common import bitmap, cut_lineage, freeing, may_match, tasks, typed
@@ -39,10 +40,13 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 #: Texts compared in one group at most.
 BLOCK = 2048
-#: Spanning forests of links that a group gives.
-FORESTS = 3
-#: Four standard deviations of an estimate around the threshold are checked exactly.
-UNSURE, SURE, ALIKE = 0.68, 0.92, 0.84
+#: Bytes of shingle sets in one block at most (one set may be larger), and texts that all blocks of a group hold.
+BLOCK_BYTES, COMMON = 24 << 20, 64
+#: Estimates from which texts are of one candidate group, from which a pair is checked (four standard deviations below
+#: the threshold), and from which a text does not become a leader.
+LOOSE, UNSURE, ALIKE = 0.60, 0.68, 0.84
+#: Failed checks per text after which the sets of a block are compared all at once, and columns of that at a time.
+FAILS, COLUMNS = 8, 2048
 _U = np.uint64
 
 
@@ -117,39 +121,23 @@ def _sign(size: int, bands: int, rows: int):
 
 
 SIGNED = "uid long, doc_id long, text_key long, words_key binary, bands array<long>, marks binary"
-LED = "a long, b long, likeness double, bucket long, rest binary"
-
-
-def _forests(size: int, found: list[np.ndarray], forests: int = FORESTS,
-             classes: list[int] | None = None) -> list[tuple[int, int, float]]:
-    """The likeliest spanning forests of a group's links, no link in two of them; with ``classes`` (the first
-    member of each member's class) forests between the classes.
-
-    They join whatever the links join, with a number of links that grows with the group and not with its
-    square; where every forest's link across a gap fails the exact check, a later round tries the others.
-    """
-    if not found:
-        return []
-    left, right, like = np.concatenate(found, axis=1)
-    order = np.argsort(-like, kind="stable")
-    edges = list(zip(left[order].astype(int).tolist(), right[order].astype(int).tolist(), like[order].tolist()))
-    taken: list[tuple[int, int, float]] = []
-    for _ in range(forests):
-        if not edges:
-            break
-        joined, rest = list(classes or range(size)), []
-        for edge in edges:
-            i, j, _ = edge
-            while joined[i] != i:
-                joined[i] = i = joined[joined[i]]
-            while joined[j] != j:
-                joined[j] = j = joined[joined[j]]
-            if i == j:
-                rest.append(edge)
-            else:
-                joined[i] = j
-                taken.append(edge)
-        edges = rest
+LED = "a long, b long, bucket long, rest binary"
+
+
+def _forest(size: int, found: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of a block's links: joins whatever they join, with fewer rows than texts."""
+    taken: list[tuple[int, int]] = []
+    joined = list(range(size))
+    for links in found:
+        for i, j in zip(*links.tolist()):
+            a, b = i, j
+            while joined[a] != a:
+                joined[a] = a = joined[joined[a]]
+            while joined[b] != b:
+                joined[b] = b = joined[joined[b]]
+            if a != b:
+                joined[a] = b
+                taken.append((i, j))
     return taken
 
 
@@ -161,7 +149,7 @@ def _estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leaders and links of every (bucket, block); rows come sorted by them.
 
-    A link is (text, leader, estimate); where a bucket has more blocks its leaders are also given back,
+    A link is (text, leader); where a bucket has more blocks its leaders are also given back,
     with their marks, for the next level.
     """
     def groups():
@@ -185,9 +173,8 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield held
 
     def flush():
-        names = ["a", "b", "likeness", "bucket", "rest"]
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(5)], names)
+        names, kinds = ["a", "b", "bucket", "rest"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(4)], names)
 
     out: list[tuple] = []
     for held in groups():
@@ -199,15 +186,15 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = []
         for i in range(len(uid)):
             like = _estimate(leaders[:len(chosen)], marks[i])
-            at = np.flatnonzero(like >= UNSURE)
+            at = np.flatnonzero(like >= LOOSE)
             if len(at):
-                edges.append(np.stack([np.full(len(at), i), np.array(chosen)[at], like[at]]))
+                edges.append(np.stack([np.full(len(at), i), np.array(chosen)[at]]))
             if not len(like) or like.max() < ALIKE:
                 leaders[len(chosen)] = marks[i]
                 chosen.append(i)
-        out.extend((int(uid[i]), int(uid[j]), x, None, None) for i, j, x in _forests(len(uid), edges))
+        out.extend((int(uid[i]), int(uid[j]), None, None) for i, j in _forest(len(uid), edges))
         if more:
-            out.extend((int(uid[i]), None, None, bucket, marks[i].tobytes()) for i in chosen)
+            out.extend((int(uid[i]), None, bucket, marks[i].tobytes()) for i in chosen)
         if len(out) > 20_000:
             yield flush()
             out = []
@@ -224,80 +211,130 @@ def _split(rows: DataFrame, parts: int = 8, taken: int = 3) -> DataFrame:
     return rows.select(F.explode(F.array(*subs)).alias("bucket"), "uid", "marks")
 
 
-PAIRED = "a long, b long, likeness double, bucket long"
-
-
-def _pair(forests: int):
-    """The likeliest forests of unchecked links between different classes, of every (bucket, block); rows come
-    sorted by them. A row without link names a bucket that has more links than these.
-
-    Where a block has two halves, texts of one are compared with those of the other only.
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of every two sets, by products of the elements that several sets hold."""
+    sizes = [len(x) for x in sets]
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    shared = count[place] > 1
+    column, row = number[place[shared]], np.repeat(np.arange(len(sets)), sizes)[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[row[a:b], column[a:b] - low] = 1
+        both += held @ held.T
+    return both
+
+
+def alike_links(uid: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], own: np.ndarray, half: np.ndarray | None,
+                similarity: float) -> list[tuple[int, int]]:
+    """Links that join all texts of a block whose exact sets are alike, directly or over others; fewer than texts.
+
+    ``own`` numbers the classes known so far, which need no link; with ``half`` only texts of different halves are compared.
     """
-    def flush(out):
-        names, kinds = ["a", "b", "likeness", "bucket"], [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(4)], names)
+    found = []
+    for i in range(len(uid) - 1):
+        wanted = own[i + 1:] != own[i]
+        if half is not None:
+            wanted &= half[i + 1:] != half[i]
+        at = np.flatnonzero(wanted) + i + 1
+        if len(at):
+            like = _estimate(marks[at], marks[i])
+            near = like >= UNSURE
+            if near.any():
+                found.append(np.stack([np.full(near.sum(), i), at[near], like[near]]))
+    if not found:
+        return []
+    left, right, like = np.concatenate(found, axis=1)
+    order = np.argsort(-like, kind="stable")
+    _, first, place = np.unique(own, return_index=True, return_inverse=True)
+    joined, taken, failed, overlaps = first[place].tolist(), [], 0, None
+    for i, j in zip(left[order].astype(int).tolist(), right[order].astype(int).tolist()):
+        a, b = i, j
+        while joined[a] != a:
+            joined[a] = a = joined[joined[a]]
+        while joined[b] != b:
+            joined[b] = b = joined[joined[b]]
+        if a == b:
+            continue
+        if overlaps is None and failed > FAILS * len(uid):
+            overlaps = _overlaps(sets)
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True)) if overlaps is None else int(overlaps[i, j])
+        if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+            joined[a] = b
+            taken.append((int(uid[i]), int(uid[j])))
+        else:
+            failed += 1
+    return taken
+
 
-    def links(bucket: int, members: list[tuple]):
-        uid = np.array([m[0] for m in members])
+def _check(similarity: float):
+    """The links of every (comp, block); rows ``(comp, block, uid, marks, shingles, class, half)`` come sorted by them."""
+    def links(members: list[tuple]) -> list[tuple[int, int]]:
+        uid, own = np.array([m[0] for m in members]), np.array([m[3] for m in members])
         marks = np.frombuffer(b"".join(m[1] for m in members), np.uint8).reshape(len(uid), -1)
-        _, first, place = np.unique(np.array([m[2] for m in members]), return_index=True, return_inverse=True)
-        own, half = first[place], np.array([m[4] for m in members])
-        both, found = half.min() != half.max(), []
-        for i in range(len(uid) - 1):
-            at = np.flatnonzero((own[i + 1:] != own[i]) & (half[i + 1:] != half[i]) if both else own[i + 1:] != own[i]) + i + 1
-            if len(at):
-                like = _estimate(marks[at], marks[i])
-                at, like = at[like >= UNSURE], like[like >= UNSURE]
-                if len(at) and members[i][3]:  # texts it failed against
-                    new = ~np.isin(uid[at], members[i][3])
-                    at, like = at[new], like[new]
-                if len(at):
-                    found.append(np.stack([np.full(len(at), i), at, like]))
-        taken = _forests(len(uid), found, forests, own.tolist())
-        yield from ((int(uid[i]), int(uid[j]), x, None) for i, j, x in taken)
-        if len(taken) < sum(f.shape[1] for f in found):
-            yield None, None, None, bucket
+        half = np.array([m[4] for m in members])
+        return alike_links(uid, marks, [np.frombuffer(m[2], _U) for m in members], own, half if half.min() >= 0 else None, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, out = None, [], []
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            for bucket, block, *row in zip(*[c.to_pylist() for c in batch.columns]):
-                if (bucket, block) != key:
-                    if len(members) > 1:
-                        out.extend(links(key[0], members))
-                    key, members = (bucket, block), []
+            for comp, block, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if (comp, block) != key:
+                    out.extend(links(members) if len(members) > 1 else [])
+                    key, members = (comp, block), []
                 members.append(row)
             if len(out) > 20_000:
-                yield flush(out)
+                yield flush()
                 out = []
-        if len(members) > 1:
-            out.extend(links(key[0], members))
-        yield flush(out)
+        out.extend(links(members) if len(members) > 1 else [])
+        yield flush()
     return run
 
 
-def _cells(met: DataFrame, block: int) -> DataFrame:
-    """``(bucket, block, uid, class, half)``: blocks in which all texts of different classes of a bucket of
-    ``met (bucket, uid, class)`` meet, each with at most about ``block`` texts of either half.
+def _blocks(total: Column) -> Column:
+    return F.greatest(F.ceil(total), F.lit(1)).cast("int")
+
+
+def _own_blocks(texts: DataFrame) -> DataFrame:
+    """Texts of candidate groups in blocks by hash; a few of a large group are in all of its blocks."""
+    sized = texts.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), _blocks(F.sum("weight")).alias("blocks")).filter("n > 1")
+    placed = texts.join(sized, "comp")
+    mine = F.array(F.pmod(F.xxhash64("uid", F.lit(7)), "blocks").cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    common = F.pmod(F.xxhash64("uid", F.lit(11)), "n") < COMMON
+    return placed.select("comp", F.explode(F.when(common, every).otherwise(mine).cast("array<string>")).alias("block"), "uid",
+                         F.col("uid").alias("class"), F.lit(-1).alias("half"))
 
-    Texts of a bucket's largest class meet only the others: with few others a large class is not repeated.
+
+def _cells(classed: DataFrame) -> DataFrame:
+    """``(comp, block, uid, class, half)`` for ``classed (comp, uid, class, weight)``, of groups of several blocks:
+    places where all texts of different classes of a group meet.
+
+    Texts of a group's largest class meet only the others: with few others a large class is not repeated.
     """
-    kinds = met.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("k"))
-    sized = (kinds.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "class")).alias("top"), F.count(F.lit(1)).alias("classes"))
-             .filter("classes > 1 AND n > 2")  # two texts have met
-             .select("bucket", "n", F.col("top.class").alias("main"), F.ceil(F.col("top.k") / block).cast("int").alias("mains"),
-                     F.ceil((F.col("n") - F.col("top.k")) / block).cast("int").alias("others")))
-    rows = met.join(sized, "bucket")
-    main, small = F.col("class") == F.col("main"), F.col("n") <= block
+    kinds = classed.groupBy("comp", "class").agg(F.sum("weight").alias("k"))
+    sized = (kinds.groupBy("comp").agg(F.sum("k").alias("all"), F.max(F.struct("k", "class")).alias("top"), F.count(F.lit(1)).alias("classes"))
+             .filter("classes > 1 AND all > 1")  # all pairs of one block have met
+             .select("comp", F.col("top.class").alias("main"), _blocks(F.col("top.k")).alias("mains"), _blocks(F.col("all") - F.col("top.k")).alias("others")))
+    rows = classed.join(sized, "comp")
+    main = F.col("class") == F.col("main")
     text = lambda *parts: F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p for p in parts])
     mine = F.pmod(F.xxhash64("uid", F.lit(7)), F.when(main, F.col("mains")).otherwise(F.col("others"))).cast("int")
     cell = lambda name, half: F.struct(name.alias("block"), half.cast("int").alias("half"))
     with_other = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda x: cell(text("m", mine, x), F.lit(0)))
     with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda x: cell(text("m", x, mine), F.lit(1)))
-    among = F.transform(F.sequence(F.lit(0), F.col("others") - 1),
-                        lambda x: cell(text("o", F.least(x, mine), F.greatest(x, mine)), mine > x))
-    places = (F.when(small, F.array(cell(F.lit("all"), F.lit(0)))).when(main, with_other).otherwise(F.concat(with_main, among)))
-    return rows.select("bucket", "uid", "class", F.explode(places).alias("p")).select("bucket", "p.block", "uid", "class", "p.half")
+    among = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda x: cell(
+        text("o", F.least(x, mine), F.greatest(x, mine)), F.when(mine == x, -1).otherwise((mine > x).cast("int"))))
+    places = F.when(main, with_other).otherwise(F.concat(with_main, among))
+    return rows.select("comp", "uid", "class", F.explode(places).alias("p")).select("comp", "p.block", "uid", "class", "p.half")
 
 
 def shared_buckets(signed: DataFrame) -> DataFrame:
@@ -310,30 +347,9 @@ def shared_buckets(signed: DataFrame) -> DataFrame:
     return cut_lineage(two.union(rows.join(shared.filter("n > 2").select("bucket", "n"), "bucket").select("bucket", "uid", "n")))
 
 
-def candidate_links(signed: DataFrame, met: DataFrame, roots: DataFrame | None, failed: DataFrame | None, forests: int,
-                    block: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
-    """``(a, b, likeness)`` between texts of ``signed (uid, marks)`` that meet in ``met`` and whose estimate
-    reaches UNSURE; in later rounds also the buckets that have more of them.
-
-    In later rounds ``roots (vertex, root)`` has the classes so far and ``failed (a, b)`` the links that were
-    checked in vain; then links are between different classes and none of those.
-    """
-    if roots is None:
-        return _first_links(signed, met, block), None
-    classed = met.join(roots, F.col("uid") == F.col("vertex"), "left").select("bucket", "uid", F.coalesce("root", "uid").alias("class"))
-    cells = _cells(cut_lineage(classed), block)
-    ends = failed.select("a", "b").union(failed.select("b", "a")).groupBy(F.col("a").alias("uid")).agg(F.collect_list("b").alias("not"))
-    spark = signed.sparkSession
-    dealt = (cells.join(signed.select("uid", "marks"), "uid").join(ends, "uid", "left")
-             .repartition(tasks(spark), "bucket", "block").sortWithinPartitions("bucket", "block", "uid")
-             .select("bucket", "block", "uid", "marks", "class", "not", "half"))
-    led = cut_lineage(dealt.mapInArrow(freeing(_pair(forests)), PAIRED))
-    links = led.filter("a IS NOT NULL").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("likeness").alias("likeness"))
-    return links, led.filter("bucket IS NOT NULL").select("bucket").distinct()
-
-
-def _first_links(signed: DataFrame, met: DataFrame, block: int) -> DataFrame:
-    """The links of texts with leaders, and of the leaders of large buckets among themselves."""
+def candidate_links(signed: DataFrame, met: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(a, b)`` between texts of ``signed (uid, marks)`` that meet in ``met``: links of texts with leaders, and
+    of the leaders of large buckets among themselves, that join all candidate groups."""
     spark = signed.sparkSession
     level = met.join(signed.select("uid", "marks"), "uid")
     found = None
@@ -347,7 +363,7 @@ def _first_links(signed: DataFrame, met: DataFrame, block: int) -> DataFrame:
                  .sortWithinPartitions("bucket", "block", order)
                  .select("bucket", "block", "uid", "marks", (blocks > 1).alias("more")))
         led = cut_lineage(dealt.mapInArrow(freeing(_lead), LED))
-        links = led.filter(F.col("b").isNotNull()).select("a", "b", "likeness")
+        links = led.filter(F.col("b").isNotNull()).select("a", "b")
         found = links if found is None else found.union(links)
         left = led.filter(F.col("bucket").isNotNull()).select("bucket", F.col("a").alias("uid"), F.col("rest").alias("marks"))
         sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("now"))
@@ -361,8 +377,7 @@ def _first_links(signed: DataFrame, met: DataFrame, block: int) -> DataFrame:
         level = cut_lineage(fewer.union(split.join(counted, "bucket").select("bucket", "uid", "marks", "n")))
         if level.isEmpty():
             break
-    pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    return found.select(*pair, "likeness").groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _sets(size: int):
@@ -377,31 +392,40 @@ def _sets(size: int):
     return run
 
 
-def _jaccard(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for left, right in batches:
-        out = []
-        for x, y in zip(left, right):
-            a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(both / max(1, len(a) + len(b) - both))
-        yield pa.array(out, pa.float64())
-
-
-def _checked(docs: DataFrame, signed: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles are alike enough."""
-    ends = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
-    wanted = cut_lineage(signed.join(ends, "uid").select("uid", "text_key", "words_key"))
+def _texts_of_groups(docs: DataFrame, signed: DataFrame, groups: DataFrame, size: int, block: int) -> DataFrame:
+    """``(comp, uid, marks, shingles, weight)`` of the texts in candidate groups ``(uid, comp)``; blocks hold a weight of one."""
+    wanted = cut_lineage(signed.join(groups, "uid").select("comp", "uid", "text_key", "words_key", "marks"))
     # The filter keeps nearly all other texts out of the join.
     likely = docs.select("text_key", "text").filter(may_match(bitmap(wanted, "text_key"), "text_key"))
     texts = likely.join(wanted.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key", "text"])
     sets = texts.select("text_key", "text").mapInArrow(freeing(_sets(size)), "text_key long, words_key binary, shingles binary")
-    known = cut_lineage(wanted.join(sets.drop("text_key").dropDuplicates(["words_key"]), "words_key").select("uid", "shingles"))
-    both = (pairs.join(known.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(known.select(F.col("uid").alias("b"), F.col("shingles").alias("y")), "b"))
-    return both.filter(F.arrow_udf(_jaccard, "double")("x", "y") >= similarity).select("a", "b")
+    weight = F.greatest(F.lit(1 / block), F.length("shingles") / BLOCK_BYTES)
+    return cut_lineage(wanted.drop("text_key").join(sets.drop("text_key").dropDuplicates(["words_key"]), "words_key")
+                       .select("comp", "uid", "marks", "shingles", weight.alias("weight")))
+
 
+def checked_links(texts: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: links that hold on the exact sets and join the classes of the candidate groups of ``texts``."""
+    spark = texts.sparkSession
 
-def _classes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    def within(cells: DataFrame) -> DataFrame:
+        dealt = (cells.join(texts.select("uid", "marks", "shingles"), "uid")
+                 .repartition(tasks(spark), "comp", "block").sortWithinPartitions("comp", "block", "uid")
+                 .select("comp", "block", "uid", "marks", "shingles", "class", "half"))
+        return cut_lineage(dealt.mapInArrow(freeing(_check(similarity)), "a long, b long"))
+
+    known = within(_own_blocks(texts))
+    large = texts.groupBy("comp").agg(F.sum("weight").alias("w")).filter("w > 1").select("comp")
+    several = cut_lineage(texts.join(large, "comp", "left_semi").select("comp", "uid", "weight"))
+    if several.isEmpty():
+        return known
+    roots = components(known)
+    classed = several.join(roots, F.col("uid") == F.col("vertex"), "left").select(
+        "comp", "uid", F.coalesce("root", "uid").alias("class"), "weight")
+    return known.union(within(_cells(cut_lineage(classed))))
+
+
+def _classes(docs: DataFrame, size: int, similarity: float, block: int = BLOCK) -> DataFrame:
     """``(doc_id, text_key, class)`` of every row; equal classes have equal numbers."""
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     signed = cut_lineage(keyed.select("doc_id", "text_key", "text").mapInArrow(
@@ -410,24 +434,11 @@ def _classes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     several = first.filter("rows > 1").select("words_key", F.col("uid").alias("kept"))
     copies = signed.select("words_key", "uid").join(several, "words_key").filter(F.col("uid") != F.col("kept"))
     distinct = cut_lineage(signed.join(copies.select("uid"), "uid", "left_anti").drop("doc_id"))
-    met, failed, roots, forests = shared_buckets(distinct), None, None, FORESTS
-    while True:
-        found, open_buckets = candidate_links(distinct, met, roots, failed, forests)
-        links = cut_lineage(found)
-        if roots is not None and links.isEmpty():
-            break
-        sure = links.filter(F.col("likeness") >= SURE).select("a", "b")
-        unsure = links.filter(F.col("likeness") < SURE).select("a", "b")
-        near = cut_lineage(_checked(keyed, distinct, unsure, size, similarity))
-        vain = unsure.join(near, ["a", "b"], "left_anti")
-        failed = cut_lineage(vain if failed is None else failed.union(vain))
-        known = sure.union(near)
-        roots = cut_lineage(components(known if roots is None else known.union(roots.select("vertex", "root"))))
-        if open_buckets is not None:
-            met = cut_lineage(met.join(open_buckets, "bucket", "left_semi"))
-            if met.isEmpty():
-                break
-        forests *= 4
+    loose = components(candidate_links(distinct, shared_buckets(distinct), block))
+    groups = cut_lineage(loose.select(F.col("vertex").alias("uid"), F.col("root").alias("comp")).union(
+        loose.select("root", "root").distinct()))
+    texts = _texts_of_groups(keyed, distinct, groups, size, block)
+    roots = components(checked_links(texts, similarity))
     named = (first.drop("rows").join(roots, first["uid"] == roots["vertex"], "left")
              .select("words_key", F.coalesce("root", "uid").alias("class")))
     return signed.select("doc_id", "text_key", "words_key").join(named, "words_key").drop("words_key")

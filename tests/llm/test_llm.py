@@ -17,6 +17,7 @@ from itemlake.llm.components import components
 from itemlake.llm.dart_minhash import signatures
 from itemlake.llm.encode import Encoder, encode_texts
 from itemlake.llm.queries import tokenizer
+from itemlake.llm.words import words_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ODD = [(1, "Hello, world. It's <|endoftext|> é."), (2, None), (3, ""), (None, "no id"), (3, "same id"), (3, "same id"),
@@ -137,7 +138,7 @@ def near_rows():
 
 @pytest.mark.parametrize("block", [2048, 16])
 def test_near_duplicates(spark, block, monkeypatch):
-    monkeypatch.setattr(near_dedup.candidate_links, "__defaults__", (block,))
+    monkeypatch.setattr(near_dedup._classes, "__defaults__", (block,))
     rows = near_rows()
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
     assert [got[d] for d, _ in rows] == brute_classes(rows)
@@ -177,12 +178,54 @@ def loose_rows(n):
 
 @pytest.mark.parametrize("block", [2048, 100])
 def test_near_duplicates_of_a_loose_group(spark, block, monkeypatch):
-    monkeypatch.setattr(near_dedup.candidate_links, "__defaults__", (block,))
+    monkeypatch.setattr(near_dedup._classes, "__defaults__", (block,))
     rows = loose_rows(240)
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
     assert [got[d] for d, _ in rows] == brute_classes(rows)
 
 
+def test_near_duplicates_of_a_large_group(spark, monkeypatch):
+    """Many blocks with texts on both sides of 0.8, and stragglers that only blocks of different halves bring together."""
+    monkeypatch.setattr(near_dedup._classes, "__defaults__", (60,))
+    monkeypatch.setattr(near_dedup, "COMMON", 3)
+    random.seed(5)
+    base, rows = [f"g{i}" for i in range(200)], []
+    for i in range(600):
+        w = list(base)
+        for j in range(random.choice([0, 1, 2, 3, 3, 4, 5])):
+            w[random.randrange(200)] = f"r{i % 150}x{j}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert [got[d] for d, _ in rows] == brute_classes(rows)
+
+
+@pytest.mark.parametrize("fails", [0, 10**6])
+def test_links_of_a_block_are_exact_and_few(fails, monkeypatch):
+    """All pairs of a block, checked one by one and all at once, with halves and known classes."""
+    monkeypatch.setattr(near_dedup, "FAILS", fails)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 64)
+    texts = pa.array([t for _, t in loose_rows(120)])
+    w = words_of(texts)
+    values, _, bounds = near_dedup.shingles(w)
+    sets = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    marks = (signatures(values, np.ones(len(values)), bounds, 160) & np.uint32(255)).astype(np.uint8)
+    uid = np.arange(120)
+    for own, half in ((uid, None), (uid // 3, None), (uid, uid % 2)):
+        links = near_dedup.alike_links(uid, marks, sets, own, half, 0.8)
+        label, want = own.copy(), own.copy()
+        for a, b in links:
+            both = len(np.intersect1d(sets[a], sets[b]))
+            assert both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) and (half is None or half[a] != half[b])
+            label[label == label[b]] = label[a]
+        for a in range(120):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) and (half is None or half[a] != half[b]):
+                    want[want == want[b]] = want[a]
+        assert len(set(zip(label.tolist(), want.tolist()))) == len(set(label.tolist())) == len(set(want.tolist()))
+        assert len(links) < 120
+
+
 def test_drop_near_duplicates_keeps_one_row(spark):
     rows = [(5, "a b c d e f g"), (5, "a b c d e f g"), (None, "A b c d e f g"), (8, "x"), (9, None), (9, None)]
     kept = near_dedup.drop_near_duplicates(frame(spark, rows))
