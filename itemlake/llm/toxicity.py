@@ -2,9 +2,9 @@
 
 The lexicon is learnt: words and word beginnings that are much more frequent in toxic than in other
 labelled documents, as (hash, toxic documents, other documents). Features are densities of lexicon
-words, their nearness to the second person, capitals, marks and obfuscation. A document used for
-fitting never counts itself into the lexicon that scores it. Trees are fitted by Spark ML on three
-quarters of a bounded sample of labelled rows, the calibration on the rest; all documents are scored.
+words, their nearness to the second person, capitals, marks and obfuscation. While trees and calibration are
+fitted, a document does not count itself into the lexicon; scores take the counts of the whole sample. Trees are fitted
+by Spark ML on three quarters of a bounded sample of labelled rows, the calibration on the rest; all documents are scored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from itemlake.llm.common import cut_lineage, freeing, small_batches
 from itemlake.llm.words import VALUES, Words, span_hashes, word_slices, words_of
 
-#: Labelled rows used for fitting, about; the only bound in this operator.
+#: Labelled rows used for fitting, about; with the size of the ranked lexicon the only bound in this operator.
 SAMPLE_ROWS = 20_000
 #: Entries of the lexicon, and documents that an entry must occur in.
 LEXICON, SUPPORT = 2_000, 3
@@ -62,53 +62,42 @@ def _forms(w: Words, values: np.ndarray | None = None) -> Iterator[np.ndarray]:
         yield span_hashes(raw, w.starts, np.minimum(w.starts + n, w.ends)) ^ _U(n)
 
 
-def _count_forms(only: np.ndarray | None):
-    """Documents per form and label; ``only`` restricts to known forms."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for first, last, w in word_slices(batch.column(0)):
-                of = np.repeat(np.arange(last - first), np.diff(w.bounds))
-                forms, docs = [], []
-                for h in _forms(w):
-                    at = np.arange(len(h)) if only is None else np.flatnonzero(np.isin(h, only))
-                    forms.append(h[at])
-                    docs.append(of[at])
-                form, doc = np.concatenate(forms), np.concatenate(docs)
-                order = np.lexsort((doc, form))
-                form, doc = form[order], doc[order]
-                new = np.ones(len(form), bool)
-                new[1:] = (form[1:] != form[:-1]) | (doc[1:] != doc[:-1])
-                form, label = form[new], toxic[first:last][doc[new]]
-                distinct, at = np.unique(form, return_inverse=True)
-                bad = np.bincount(at, weights=label, minlength=len(distinct)).astype(np.int64)
-                every = np.bincount(at, minlength=len(distinct)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(bad), pa.array(every - bad)],
-                                                 ["form", "toxic", "other"])
-    return run
+def _count_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents per form and label."""
+    for batch in batches:
+        toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for first, last, w in word_slices(batch.column(0)):
+            of = np.repeat(np.arange(last - first), np.diff(w.bounds))
+            forms = list(_forms(w))
+            form, doc = np.concatenate(forms), np.tile(of, len(forms))
+            order = np.lexsort((doc, form))
+            form, doc = form[order], doc[order]
+            new = np.ones(len(form), bool)
+            new[1:] = (form[1:] != form[:-1]) | (doc[1:] != doc[:-1])
+            form, label = form[new], toxic[first:last][doc[new]]
+            distinct, at = np.unique(form, return_inverse=True)
+            bad = np.bincount(at, weights=label, minlength=len(distinct)).astype(np.int64)
+            every = np.bincount(at, minlength=len(distinct)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(bad), pa.array(every - bad)],
+                                             ["form", "toxic", "other"])
 
 
 def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
     """``(forms, toxic documents, other documents, all toxic, all other)`` from ``sample (text, label)``.
 
-    Two passes: forms of toxic texts that occur often enough (at most 10 * LEXICON of them come back, the
-    most frequent), then their counts over all texts; the LEXICON best by weight times support stay.
+    All forms of the sample are counted and weighed by Spark; of those in at least SUPPORT toxic documents and with odds
+    of at least LEAST_ODDS (logarithms) the LEXICON best by odds times toxic documents come back.
     """
     totals = sample.agg(F.sum("label"), F.count(F.lit(1))).first()
     bad, every = int(totals[0] or 0), int(totals[1])
-    counts = "form long, toxic long, other long"
-    seen = (sample.filter("label = 1").select("text", "label").mapInArrow(freeing(_count_forms(None)), counts)
-            .groupBy("form").agg(F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= SUPPORT)
-            .orderBy(F.desc("toxic"), "form").limit(10 * LEXICON).collect())
-    known = np.sort(np.array([r["form"] for r in seen], np.int64).view(np.uint64))
-    rows = (sample.select("text", "label").mapInArrow(_count_forms(known), counts)
-            .groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).collect()) if len(known) else []
+    counted = (sample.select("text", "label").mapInArrow(freeing(_count_forms), "form long, toxic long, other long")
+               .groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).filter(F.col("toxic") >= SUPPORT))
+    odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("other") + 0.5) / (every - bad + 1))
+    rows = (counted.withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
+            .orderBy(F.desc(F.col("odds") * F.col("toxic")), "form").limit(LEXICON).collect())
     forms = np.array([r["form"] for r in rows], np.int64).view(np.uint64)
     toxic, other = (np.array([r[c] for r in rows], np.int64) for c in ("toxic", "other"))
-    odds = _odds(toxic, other, bad, every - bad)
-    best = np.argsort(-(odds * toxic), kind="stable")[:LEXICON]
-    best = best[odds[best] >= LEAST_ODDS]
-    best = best[np.argsort(forms[best])]
+    best = np.argsort(forms)
     return forms[best], toxic[best], other[best], bad, every - bad
 
 

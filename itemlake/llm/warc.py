@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from itemlake.llm.common import cut_lineage, freeing, new_folder, offsets_by_part, tasks, typed
 
 LEAST_PAYLOAD = 100
+#: Seconds around 2024 within which ids are times; they keep years at four digits.
+EARLIEST, LATEST = -30_000_000_000, 250_000_000_000
 ARCHIVE_BYTES = 512 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "run string, nth long, url_key string, captured timestamp, page_id long, file string, at long, size long"
@@ -81,12 +83,14 @@ def captures(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", ht
 
     Of equal payloads of at least ``least`` bytes that with the smallest id is the response (all rows with
     that id, if it is repeated). Rows without id are responses only if no equal payload has an id. NULL
-    html is an empty payload. Without a time column the time is the id in seconds from 2024 on.
+    html is an empty payload. Without a time column the time is the id in seconds from 2024 on, ids beyond
+    EARLIEST and LATEST as these; rows without id have 2024 itself.
     """
     rows = typed(pages, {"page_id": (page_id, "long"), "url": (url, "string"), "html": (html, "string")} | (
         {"captured": (captured, "timestamp")} if captured else {}))
     if not captured:
-        rows = rows.withColumn("captured", F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0))))
+        rows = rows.withColumn("captured", F.timestamp_seconds(F.lit(1_704_067_200) + F.greatest(
+            F.lit(EARLIEST), F.least(F.lit(LATEST), F.coalesce("page_id", F.lit(0).cast("long"))))))
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = rows.withColumn("payload", payload).withColumn("digest", F.sha2("payload", 256)).drop("html")
     # Digests alone are grouped: payloads are not moved for it.

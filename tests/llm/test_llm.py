@@ -320,6 +320,23 @@ def test_toxicity(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).filter("score = 0").count() == len(rows) + 2
 
 
+@pytest.mark.parametrize("ids", [[10**12, 5, -10**12], [2**63 - 1, -2**63, 2**62, 0, -1]])
+def test_warc_of_extreme_ids(spark, ids):
+    pages = spark.createDataFrame([(i, f"http://a.de/{n % 2}", "y" * 120) for n, i in enumerate(ids)], "page_id long, url string, html string")
+    got = {r.page_id: r.record_type for r in warc.round_trip(pages).collect()}
+    assert got == {i: "response" if i == min(ids) else "revisit" for i in ids}
+
+
+def test_lexicon_keeps_rare_strong_words(spark, monkeypatch):
+    """Forms are ranked by odds over all forms, however many common words are in toxic texts too."""
+    monkeypatch.setattr(toxicity, "LEXICON", 30)
+    common = " ".join(f"common{i}" for i in range(400))
+    rows = [(f"{common} {'rarebad' if i < 4 and bad else ''}", bad) for i in range(40) for bad in (0, 1)]
+    forms, toxic, other, bad, rest = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    assert words_of(pa.array(["rarebad"])).hashes[0] in forms.tolist() and (bad, rest) == (40, 40)
+    assert len(forms) == 4 and set(toxic.tolist()) == {4} and not other.any() and (np.diff(forms.astype(object)) > 0).all()
+
+
 def test_warc(spark):
     rows = [(i, f"https://www.Site{i % 3}.org/a?{i}", "x" * (50 if i % 2 else 150)) for i in range(20)]
     rows += [(None, None, None), (30, "no url\r\nX: y", "é" * 99_999), (31, "", "é" * 99_999), (4, "http://b.de", "x" * 150)]
