@@ -251,6 +251,87 @@ def add(papers: DataFrame, rows: DataFrame, edits: DataFrame, questions: DataFra
             deferred)
 
 
+#: Additions of one paper that are placed among each other in one expression.
+ADDED_AT_ONCE = 64
+
+
+def _pushed(values: DataFrame, slots: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, at, moved)`` for ``values (keys, at)``: the at-th place that ``slots (keys, slot)`` leave free.
+
+    The slots before it are counted by a running sum over the gaps between slots, so neither side meets the other.
+    """
+    ranked = ordered_scan(slots, keys, ["slot"], position="__t")
+    gaps = ranked.groupBy(*keys, (F.col("slot") - F.col("__t")).alias("at")).agg(F.count(F.lit(1)).alias("__n"))
+    asked = values.select(*keys, "at").distinct().withColumns({"__n": F.lit(0).cast("long"), "__kind": F.lit(1)})
+    counted = ordered_scan(asked.unionByName(gaps.withColumn("__kind", F.lit(0))), keys, ["at", "__kind"], running={"__shift": F.col("__n")})
+    return counted.filter("__kind = 1").select(*keys, "at", (F.col("at") + F.col("__shift")).alias("moved"))
+
+
+def _slots(placed: DataFrame) -> DataFrame:
+    """``(paper_id, rank, slot)``: where the additions ``(paper_id, rank, at)`` of each paper end, made in the order of rank.
+
+    Seen from the end, an addition takes the at-th place that all later ones leave free. Runs of additions are resolved
+    that way at once; then neighbouring runs are put together, the earlier pushed by the later, twice as long ones each
+    time. So a paper with very many additions is spread over tasks.
+    """
+    block = F.floor(F.col("rank") / ADDED_AT_ONCE).cast("long")
+    runs = placed.groupBy("paper_id", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("rank", "at"))).alias("run"))
+
+    def take(taken: Column, edit: Column) -> Column:
+        before = F.size(F.filter(taken, lambda t, i: t["slot"] - i <= edit["at"]))
+        return F.array_sort(F.concat(taken, F.array(F.struct((edit["at"] + before).alias("slot"), edit["rank"].alias("rank")))))
+
+    empty = F.array().cast("array<struct<slot:bigint,rank:bigint>>")
+    state = cut_lineage(runs.select("paper_id", "block", F.explode(F.aggregate(F.reverse("run"), empty, take)).alias("s"))
+                        .select("paper_id", "block", "s.rank", "s.slot"))
+    last, width = state.agg(F.max("block")).first()[0] or 0, 1
+    while width <= last:
+        pair = state.withColumns({"pair": F.floor(F.col("block") / (2 * width)).cast("long"), "later": F.floor(F.col("block") / width) % 2 == 1})
+        early, late = pair.filter(~F.col("later")), pair.filter("later")
+        keys = ["paper_id", "pair"]
+        moved = _pushed(early.withColumnRenamed("slot", "at"), late.select(*keys, "slot"), keys)
+        pushed = early.join(moved.withColumnRenamed("at", "slot"), [*keys, "slot"]).withColumn("slot", F.col("moved"))
+        state = cut_lineage(pushed.select("paper_id", "block", "rank", "slot").unionByName(late.select("paper_id", "block", "rank", "slot")))
+        width *= 2
+    return state.select("paper_id", "rank", "slot")
+
+
+def add_batch(papers: DataFrame, rows: DataFrame, edits: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All additions ``edits (paper_id, question_id, position, paper_section, edit_seq)`` of a batch, as if made one by one
+    in the order of ``edit_seq`` (NULL last, then by question). Returns rows and rejects.
+
+    A position past the end at that time, 0 or NULL appends. Of several additions of one question to a paper the first
+    counts and the others are refused; a repeated edit is one.
+    """
+    known = questions.select(F.col("id").alias("question_id"), F.col("section_type").alias("__type"))
+    marked = _mark(edits.distinct(), rows, "question_id", "__dup").join(known, "question_id", "left")
+    judged = cut_lineage(_judge(marked, papers, (
+        F.when(F.col("__type").isNull(), "Question not found.")
+        .when(F.col("__dup"), "This question is already in the paper."))))
+    valid = judged.filter(F.col("reason").isNull()).withColumn("__seq", F.coalesce(F.col("edit_seq").cast("long"), F.lit(2**40)))
+    edit = F.struct("__seq", "position", "paper_section")
+    first = valid.groupBy("paper_id", "question_id").agg(F.min(edit).alias("__first"), F.first("__type").alias("__type"))
+    again = (valid.join(first.select("paper_id", "question_id", "__first"), ["paper_id", "question_id"]).filter(~edit.eqNullSafe(F.col("__first")))
+             .withColumn("reason", F.lit("This question is already in the paper.")))
+    ranked = cut_lineage(ordered_scan(first.select("paper_id", "question_id", "__first.*", "__type"), ["paper_id"], ["__seq", "question_id"], position="rank"))
+    ends = rows.groupBy("paper_id").agg(F.max("position").alias("__end"))
+    end = F.coalesce("__end", F.lit(0)) + 1 + F.col("rank")
+    wanted = F.when(F.col("position") > 0, F.least(F.col("position"), end)).otherwise(end)
+    slots = cut_lineage(_slots(ranked.join(ends, "paper_id", "left").select("paper_id", "rank", wanted.cast("long").alias("at"))))
+    new = ranked.join(slots, ["paper_id", "rank"]).select(
+        "paper_id", "question_id", F.col("slot").cast("int").alias("position"),
+        F.coalesce(F.nullif("paper_section", F.lit("")), section_name(F.col("__type"))).alias("paper_section"),
+        F.col("slot").cast("int").alias("display_number"), F.lit(False).alias("locked"))
+    grown = slots.select("paper_id").distinct()
+    places = rows.join(grown, "paper_id", "left_semi").select("paper_id", F.col("position").cast("long").alias("at"))
+    moved = _pushed(places, slots.select("paper_id", "slot"), ["paper_id"]).select("paper_id", F.col("at").alias("position"), F.col("moved").cast("int").alias("moved"))
+    kept = rows.select(ROW).join(moved, ["paper_id", "position"], "left").withColumns({
+        "display_number": F.when(F.col("moved") > F.col("position"), F.col("moved")).otherwise(F.col("display_number")),
+        "position": F.coalesce("moved", "position")})
+    return (kept.select(ROW).unionByName(new.select(ROW)),
+            judged.filter(F.col("reason").isNotNull()).select(*edits.columns, "reason").unionByName(again.select(*edits.columns, "reason")))
+
+
 def toggle_locks(papers: DataFrame, rows: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``edits (paper_id, question_id)``; each edit toggles once."""
     counted = edits.groupBy("paper_id", "question_id").agg(F.count(F.lit(1)).alias("__times"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from itemlake.functions.metadata import metadata_columns, recover_json
 from itemlake.operators import bank, clean, layouts
 from itemlake.session import cut_lineage
+from itemlake.sources import content, sinks
 
 
 def normalized_metadata(responses: DataFrame, questions: DataFrame) -> DataFrame:
@@ -46,3 +47,25 @@ def documents_to_bank(blocks: DataFrame, ingestions: DataFrame, responses: DataF
     documents = ingestions.select(F.col("id").alias("doc_id"), "layout_type")
     questions = cut_lineage(documents_to_questions(blocks, documents, files))
     return bank.bank_rows(questions, normalized_metadata(responses, questions), ingestions)
+
+
+def document_states(raw: DataFrame, ingestions: DataFrame) -> DataFrame:
+    """``(doc_id, status, reason)`` of the documents ``raw (doc_id, value)``: failed where the content list cannot be
+    read or no ingestion names the document."""
+    known = ingestions.select(F.col("id").alias("doc_id"), F.lit(True).alias("__known"))
+    told = (raw.select("doc_id").distinct().join(content.rejected_content_lists(raw).distinct(), "doc_id", "left")
+            .join(known.distinct(), "doc_id", "left"))
+    reason = F.coalesce("reason", F.when(F.col("__known").isNull(), F.lit("no ingestion of this name")))
+    return told.select("doc_id", F.when(reason.isNull(), F.lit("completed")).otherwise(F.lit("failed")).alias("status"), reason.alias("reason"))
+
+
+def save_documents(raw: DataFrame, ingestions: DataFrame, responses: DataFrame, path: str, batch: int,
+                   files: DataFrame | None = None) -> None:
+    """Content lists ``raw (doc_id, value)`` into the bank at ``path`` as its batch ``batch``.
+
+    The same step serves a run over a folder and each batch of a stream; it may be repeated.
+    """
+    raw = cut_lineage(raw.select("doc_id", "value"))
+    own = raw.select(F.col("doc_id").alias("id")).distinct()
+    rows = documents_to_bank(content.parse_content_lists(raw), ingestions.join(own, "id", "left_semi"), responses, files)
+    sinks.save_bank_batch(rows, document_states(raw, ingestions), path, batch)

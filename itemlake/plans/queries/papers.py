@@ -166,6 +166,53 @@ def _(v):
     return _adds(v)[2]
 
 
+#: One by one: the list of a paper's questions, and an edit put into it at each step.
+ADDED = """
+WITH RECURSIVE ed AS (SELECT o_orderkey AS paper_id, (o_orderkey * 7 + k.k * k.k) % 1500 AS question_id,
+    CAST(CASE (o_orderkey + k.k) % 5 WHEN 0 THEN NULL WHEN 1 THEN 2 WHEN 2 THEN 50 WHEN 3 THEN 1 ELSE 3 END AS INT) AS position, 40 - k.k AS edit_seq
+  FROM orders CROSS JOIN (SELECT unnest(range(6)) AS k) AS k WHERE o_orderkey % 3 = 0),
+weighed AS (SELECT ed.*, q.section_type, CASE WHEN p.status = 'approved' THEN 'Cannot edit an approved paper.'
+    WHEN q.id IS NULL THEN 'Question not found.'
+    WHEN x.question_id IS NOT NULL THEN 'This question is already in the paper.' END AS reason
+  FROM ed JOIN paps p ON p.id = ed.paper_id LEFT JOIN q_parts q ON q.id = ed.question_id
+  LEFT JOIN pq x ON x.paper_id = ed.paper_id AND x.question_id = ed.question_id),
+nth AS (SELECT *, row_number() OVER (PARTITION BY paper_id, question_id ORDER BY edit_seq) AS nth FROM weighed WHERE reason IS NULL),
+steps AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY edit_seq, question_id) AS step FROM nth WHERE nth = 1),
+lists AS (SELECT paper_id, list(question_id ORDER BY position) AS ids FROM pq GROUP BY paper_id),
+grown AS (SELECT p.id AS paper_id, CAST(0 AS BIGINT) AS step, coalesce(l.ids, []) AS ids FROM paps p LEFT JOIN lists l ON l.paper_id = p.id
+    WHERE p.id IN (SELECT paper_id FROM steps)
+  UNION ALL SELECT g.paper_id, s.step, CASE WHEN s.position > 0 AND s.position <= len(g.ids)
+      THEN g.ids[1:s.position - 1] || [s.question_id] || g.ids[s.position:] ELSE g.ids || [s.question_id] END
+    FROM grown g JOIN steps s ON s.paper_id = g.paper_id AND s.step = g.step + 1),
+ended AS (SELECT paper_id, arg_max(ids, step) AS ids FROM grown GROUP BY paper_id),
+spots AS (SELECT paper_id, unnest(ids) AS question_id, unnest(range(1, len(ids) + 1)) AS spot FROM ended)
+"""
+
+
+def _added(v):
+    edits = v.orders.filter("o_orderkey % 3 = 0").selectExpr("o_orderkey", "explode(sequence(0, 5)) AS k").selectExpr(
+        "o_orderkey AS paper_id", "(o_orderkey * 7 + k * k) % 1500 AS question_id",
+        "CASE (o_orderkey + k) % 5 WHEN 1 THEN 2 WHEN 2 THEN 50 WHEN 3 THEN 1 WHEN 4 THEN 3 END AS position",
+        "cast(NULL AS string) AS paper_section", "40 - k AS edit_seq")
+    return P.add_batch(v.papers, v.paper_rows, edits, v.questions)
+
+
+@query("add_batches", ADDED + """
+SELECT pq.paper_id, pq.question_id, CAST(coalesce(s.spot, pq.position) AS INT) AS position, pq.paper_section, pq.locked
+FROM pq LEFT JOIN spots s ON s.paper_id = pq.paper_id AND s.question_id = pq.question_id
+UNION ALL SELECT s.paper_id, s.question_id, CAST(s.spot AS INT), CASE WHEN t.section_type = 'mcq' THEN 'Section A' ELSE 'Section B' END, false
+FROM spots s JOIN steps t ON t.paper_id = s.paper_id AND t.question_id = s.question_id""")
+def _(v):
+    return _added(v)[0].drop("display_number")
+
+
+@query("add_batch_rejects", ADDED + """
+SELECT paper_id, question_id, position, edit_seq, reason FROM weighed WHERE reason IS NOT NULL
+UNION ALL SELECT paper_id, question_id, position, edit_seq, 'This question is already in the paper.' FROM nth WHERE nth > 1""")
+def _(v):
+    return _added(v)[1].drop("paper_section")
+
+
 @query("membership_guard", """
 SELECT pq.paper_id, pq.question_id, 'This question is already in the paper.' AS reason
 FROM pq JOIN orders o ON o.o_orderkey = pq.paper_id AND o.o_custkey = pq.question_id""")

@@ -1,5 +1,7 @@
 """Properties of paper edits."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +107,35 @@ def test_conflicting_edits_of_a_batch_keep_papers_whole(spark, world):
     assert done.count() == 3 and done.filter("id = 1").first().notes == "a"
 
 
+@pytest.mark.parametrize("at_once", [64, 3])
+def test_batches_of_additions_equal_one_by_one(spark, at_once, monkeypatch):
+    """Many additions to one paper, gaps in positions, an empty paper, repeated questions and edits."""
+    monkeypatch.setattr(P, "ADDED_AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    papers = spark.createDataFrame([(i, "draft") for i in (1, 2, 3)] + [(4, "approved")], "id long, status string")
+    own = {1: {p: 100 + p for p in range(1, 8)}, 2: {2: 201, 5: 202, 6: 203}, 3: {}, 4: {1: 301}}
+    rows = [(p, q, at, "Section A", at, False) for p, x in own.items() for at, q in x.items()]
+    rows = spark.createDataFrame(rows, "paper_id long, question_id long, position int, paper_section string, display_number int, locked boolean")
+    bank = spark.createDataFrame([(q, "mcq") for q in range(100, 600)], "id long, section_type string")
+    edits = [(rng.choice([1, 1, 1, 2, 3, 4]), rng.randint(400, 460), rng.choice([None, 0, 1, 2, 3, 5, 99]), None, rng.choice([None, n])) for n in range(90)]
+    edits += edits[:5] + [(1, 103, 1, None, 7), (1, 999, 1, None, 8)]
+    want, refused = {p: dict(x) for p, x in own.items()}, 0
+    for p, q, at, _, _ in sorted(set(edits), key=lambda e: (e[4] is None, e[4] or 0, e[1], e[2] is not None, e[2] or 0)):
+        mine = want[p]
+        if p == 4 or q == 999 or q in mine.values():
+            refused += 1
+            continue
+        end = max(mine, default=0) + 1
+        at = min(at or end, end)
+        want[p] = {**{x + (x >= at): y for x, y in mine.items()}, at: q}
+    got, bad = P.add_batch(papers, rows, spark.createDataFrame(edits, "paper_id long, question_id long, position int, paper_section string, edit_seq int"), bank)
+    found = {p: {} for p in own}
+    for r in got.collect():
+        assert r.position not in found[r.paper_id] and r.display_number == r.position
+        found[r.paper_id][r.position] = r.question_id
+    assert found == want and bad.count() == refused and len(want[1]) > 25
+
+
 def test_repeated_bank_and_syllabus_edits_give_one_row_each(spark):
     questions = spark.createDataFrame([(1, "c", "easy", "active"), (2, "d", "easy", "active")], "id long, chapter string, difficulty string, status string")
     patches = [(1, ["chapter"], "x", None, 1), (1, ["chapter", "difficulty"], None, "hard", 2), (2, ["difficulty"], "y", "medium", 1)]

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from itemlake.operators import layouts as L
 from itemlake.operators.clean import clean_blocks
 from itemlake.plans import drafting
-from itemlake.plans.ingest import documents_to_bank, documents_to_questions
+from itemlake.plans.ingest import documents_to_bank, documents_to_questions, save_documents
 from itemlake.sources import content, sinks
-from itemlake.streaming.ingest import start_ingestion
+from itemlake.streaming.ingest import start_bank_ingestion, start_ingestion
 
 OPT = "(1) a (2) b (3) c (4) d"
 
@@ -95,8 +95,8 @@ def test_unreadable_content_lists_are_told(spark, tmp_path):
     for name, text in (("broken", '[{"type": "text", '), ("object", '{"type": "text", "text": "1. a"}'), ("blank", " "), ("none", "[]")):
         (docs / f"{name}_content_list.json").write_text(text)
     raw = content.raw_content_lists(spark, str(tmp_path / "in"))
-    assert {r.doc_id for r in content.rejected_content_lists(raw).collect()} == {"broken", "object", "blank"}
-    assert {r.doc_id for r in content.parse_content_lists(raw).collect()} == {"good"}
+    assert {r.doc_id for r in content.rejected_content_lists(raw).collect()} == {"deep/broken", "deep/object", "deep/blank"}
+    assert {r.doc_id for r in content.parse_content_lists(raw).collect()} == {"deep/good"}
     start_ingestion(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), lambda b: b).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == content.read_content_lists(spark, str(tmp_path / "in")).count() == 12
 
@@ -117,3 +117,43 @@ def test_document_warnings_stand_with_the_first_question(spark, tmp_path):
     uploads = spark.createDataFrame([("d", "full_paper")], "doc_id string, layout_type string")
     rows = {r.question_number: r.warnings for r in documents_to_questions(read, uploads).collect()}
     assert rows[1] == [f"answer key contains Q{n} with no built question" for n in (3, 12)] and rows[2] == []
+
+
+def test_equal_file_names_stay_two_documents(spark, tmp_path):
+    for folder in ("a b+c", "d%20", "."):
+        (tmp_path / "in" / folder).mkdir(parents=True, exist_ok=True)
+        write_docs(tmp_path / "in" / folder, ["paper"])
+    for root in (tmp_path / "in", f"file://{tmp_path}/in/"):
+        counts = content.read_content_lists(spark, str(root)).groupBy("doc_id").count().collect()
+        assert {r.doc_id: r["count"] for r in counts} == {"a b+c/paper": 12, "d%20/paper": 12, "paper": 12}
+    (tmp_path / "images" / "a b+c" / "paper").mkdir(parents=True)
+    (tmp_path / "images" / "a b+c" / "paper" / "1.jpg").write_bytes(b"x")
+    assert [tuple(r) for r in content.read_image_listing(spark, str(tmp_path / "images")).collect()] == [("a b+c/paper", "1.jpg")]
+
+
+def test_bank_from_stream_equals_batch_and_survives_replays(spark, tmp_path):
+    docs, bank, once = tmp_path / "in", str(tmp_path / "bank"), str(tmp_path / "once")
+    (docs / "x").mkdir(parents=True)
+    write_docs(docs, ["d1"])
+    write_docs(docs / "x", ["d1"])
+    (docs / "bad_content_list.json").write_text("{")
+    (docs / "stray_content_list.json").write_text("[]")
+    uploads = spark.createDataFrame([(n, f"{n}.pdf", "inline_answer", "JEE Main", s) for n, s in (("d1", "physics"), ("x/d1", "biology"), ("bad", "physics"))],
+                                    "id string, filename string, layout_type string, exam_name string, subject string")
+    answers = spark.createDataFrame([("d1", 0, '{"chapter": "SHM", "difficulty": "easy"}')], "doc_id string, start_idx long, response string")
+    start_bank_ingestion(spark, str(docs), bank, str(tmp_path / "cp"), uploads, answers, files_per_batch=1).awaitTermination()
+    raw = content.raw_content_lists(spark, str(docs))
+    save_documents(raw, uploads, answers, once, 0)
+    rows = documents_to_bank(content.parse_content_lists(raw), uploads, answers)
+    shown = [c for c in rows.columns if c != "created_at"]
+    saved = lambda path: {str(r) for r in sinks.read_bank(spark, path, rows.schema).select(shown).collect()}
+    states = lambda path: {tuple(r) for r in sinks.read_bank_documents(spark, path).drop("batch").collect()}
+    want = saved(once)
+    assert len(want) == 6 and saved(bank) == want == {str(r) for r in rows.select(shown).collect()}
+    assert states(bank) == states(once) == {("d1", "completed", None), ("x/d1", "completed", None), ("bad", "failed", "no JSON array"),
+                                            ("stray", "failed", "no ingestion of this name")}
+    save_documents(raw, uploads, answers, once, 0)  # the same batch again, then a document that comes again with fewer questions
+    assert saved(once) == want
+    (docs / "d1_content_list.json").write_text("[]")
+    save_documents(content.raw_content_lists(spark, str(docs)).filter("doc_id = 'd1'"), uploads, answers, once, 1)
+    assert {r.ingestion_id for r in sinks.read_bank(spark, once, rows.schema).collect()} == {"x/d1"}
