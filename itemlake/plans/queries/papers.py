@@ -8,7 +8,7 @@ from itemlake.operators import select as S
 from itemlake.plans.queries import query
 from itemlake.plans.queries.requests import POOL, SHUFFLE_KEYS, shuffled_places
 from itemlake.session import new_folder
-from itemlake.sources.sinks import append_questions, write_markdown
+from itemlake.sources.sinks import append_questions, read_documents, write_documents, write_markdown
 
 ROWS = "paper_id, question_id, position, paper_section, display_number, locked"
 
@@ -353,6 +353,41 @@ def _(v):
     return E.in_parts(E.markdown_lines(v.papers, v.paper_rows, v.questions))
 
 
+@query("export_documents", LINES + """
+SELECT paper_id, string_agg(markdown, chr(10) ORDER BY position) AS markdown FROM lines GROUP BY paper_id""")
+def _(v):
+    return E.documents(E.markdown_lines(v.papers, v.paper_rows, v.questions))
+
+
+# All papers of a fifth of the customers in one document, so documents have far more than 1000 lines.
+BOOKS = LINES + """,
+books AS (SELECT p.custkey % 5 AS paper_id, l.paper_id * 1000 + l.position AS position, l.markdown
+  FROM lines l JOIN paps p ON p.id = l.paper_id)
+"""
+
+
+def books(v):
+    lines = E.markdown_lines(v.papers, v.paper_rows, v.questions)
+    owners = v.paps.select(F.col("id").alias("paper_id"), "custkey")
+    return lines.join(owners, "paper_id").selectExpr("custkey % 5 AS paper_id", "paper_id * 1000 + position AS position", "markdown")
+
+
+@query("export_long_documents", BOOKS + """
+SELECT paper_id, string_agg(markdown, chr(10) ORDER BY position) AS markdown FROM books GROUP BY paper_id""")
+def _(v):
+    return E.documents(books(v))
+
+
+@query("packed_documents", BOOKS + """
+SELECT paper_id, string_agg(markdown, chr(10) ORDER BY position) AS markdown FROM (SELECT * FROM books
+  UNION ALL SELECT paper_id + 100, position, markdown FROM lines) AS b GROUP BY paper_id""")
+def _(v):
+    path = new_folder(v.spark)
+    single = E.markdown_lines(v.papers, v.paper_rows, v.questions).selectExpr("paper_id + 100 AS paper_id", "cast(position AS bigint) AS position", "markdown")
+    write_documents(books(v).unionByName(single), path, size=1 << 20)
+    return read_documents(v.spark, path)
+
+
 @query("draft_markdown", """
 WITH body AS (SELECT pq.paper_id, pq.position, concat('## Q', pq.display_number, '.', chr(10), chr(10), q.stem_md, chr(10), chr(10),
     CASE WHEN q.section_type = 'mcq' THEN concat('- **A.** ', q.opt_a, CASE WHEN q.answer = 'A' THEN ' ✅' ELSE '' END, chr(10),
