@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from itemlake import constants as C
 from itemlake.functions import text as X
-from itemlake.operators.ordered import ordered_scan
+from itemlake.operators.ordered import by_range, ordered_scan
 from itemlake.session import cut_lineage
 
 NO_OPTIONS = "array<struct<label:string,value:string>>"
@@ -396,7 +396,11 @@ def build_full_paper(blocks: DataFrame, files: DataFrame | None = None) -> DataF
     kept = filter_noise(blocks)
     boundary = cut_lineage(key_boundary(kept))
     questions = settle_duplicates(full_paper_groups(blocks, boundary))
-    key = full_paper_key(kept, boundary)
+    return _with_key(questions, full_paper_key(kept, boundary), files)
+
+
+def _with_key(questions: DataFrame, key: DataFrame, files: DataFrame | None) -> DataFrame:
+    """Settled questions with their answers, images and warnings."""
     joined = questions.join(key, ["doc_id", "question_number"], "left")
     joined = link_images(joined, files)
     number = F.concat(F.lit("Q"), _col("question_number").cast("string"))
@@ -452,10 +456,14 @@ def document_warnings(blocks: DataFrame, questions: DataFrame) -> DataFrame:
     """``(doc_id, warning)`` rows of full papers: no readable key, key entries without a question."""
     kept = filter_noise(blocks)
     boundary = cut_lineage(key_boundary(kept))
+    return _document_warnings(boundary, full_paper_key(kept, boundary), questions)
+
+
+def _document_warnings(boundary: DataFrame, key: DataFrame, questions: DataFrame) -> DataFrame:
     unreadable = boundary.filter(_col("boundary_idx").isNull() | _col("key_img_path").isNotNull()).select(
         "doc_id", F.lit("answer-key boundary not found in MinerU text; the answer-key page "
                         "may have been emitted as an image block").alias("warning"))
-    orphans = orphan_key_entries(full_paper_key(kept, boundary), questions).select(
+    orphans = orphan_key_entries(key, questions).select(
         "doc_id", F.concat(F.lit("answer key contains Q"), _col("question_number").cast("string"),
                            F.lit(" with no built question")).alias("warning"))
     return unreadable.unionByName(orphans)
@@ -504,6 +512,63 @@ def quality_report(questions: DataFrame) -> DataFrame:
     return counts.join(missing_numbers(questions), "doc_id")
 
 
+def builder_report(blocks: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """The full-paper builder's report: a row per document of ``blocks``, also where no question was built.
+
+    To the counts of ``quality_report`` come ``answer_key_size`` (numbers in the key), ``duplicate_question_numbers``
+    (built more than once) and ``stage_warnings``: a missing key, then the key's numbers without question. The blocks
+    are filtered once and every later step reads that table.
+    """
+    kept = cut_lineage(filter_noise(blocks))
+    boundary = cut_lineage(key_boundary(kept))
+    settled = cut_lineage(settle_duplicates(full_paper_groups(kept, boundary)))
+    key = cut_lineage(full_paper_key(kept, boundary))
+    questions = cut_lineage(_with_key(settled, key, files))
+    sizes = key.groupBy("doc_id").agg(F.count(F.lit(1)).alias("answer_key_size"))
+    twice = settled.filter(_col("built") > 1).groupBy("doc_id").agg(
+        F.array_sort(F.collect_set("question_number")).alias("duplicate_question_numbers"))
+    number = F.regexp_extract("warning", r"contains Q(\d+) with", 1).try_cast("long")
+    told = _document_warnings(boundary, key, questions).groupBy("doc_id").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct(number.alias("n"), "warning"))), lambda w: w["warning"]).alias("stage_warnings"))
+    report = blocks.select("doc_id").distinct()
+    for part in (quality_report(questions), sizes, twice, told):
+        report = report.join(part, "doc_id", "left")
+    counts = ["total_extracted", "mcq_count", "integer_count", "with_diagram", "no_answer", "complete_options", "answer_key_size"]
+    lists = ["missing", "duplicate_question_numbers", "stage_warnings"]
+    return report.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+                         *[F.coalesce(_col(c), F.array().cast(report.schema[c].dataType)).alias(c) for c in lists])
+
+
+def processing_report(questions: DataFrame, stored: DataFrame, documents: DataFrame) -> DataFrame:
+    """A row per document of ``documents (doc_id)``: what was detected, stored and linked.
+
+    ``stored (doc_id, start_idx)`` names the questions that the bank took; the others count as skipped. As in the
+    bank every stored question has its answer, ``answers_mapped`` equals ``questions_stored``. Rows per question are
+    in ``question_report``, whose warnings are counted here.
+    """
+    keys = ["doc_id", "start_idx"]
+    kept = stored.select(*keys).distinct().withColumn("__kept", F.lit(True))
+    counts = document_report(questions)
+    saved = questions.select(*keys).join(kept, keys, "left").groupBy("doc_id").agg(F.count("__kept").alias("questions_stored"))
+    joined = (documents.select("doc_id").distinct().join(counts, "doc_id", "left").join(saved, "doc_id", "left")
+              .na.fill(0, ["questions_detected", "questions_stored", "images_linked", "warning_count"]))
+    return joined.select(
+        "doc_id", "questions_detected", "questions_stored",
+        (_col("questions_detected") - _col("questions_stored")).alias("questions_skipped"),
+        _col("questions_stored").alias("answers_mapped"), "images_linked", "warning_count",
+        F.coalesce("detected_subjects", F.array().cast("array<string>")).alias("detected_subjects"))
+
+
+def number_order(questions: DataFrame, document: str = "doc_id", tie: str = "start_idx") -> DataFrame:
+    """Adds ``ordinal``, the place of a question in its document by number; those without number come first.
+
+    Equal numbers follow in the order of ``tie``, which must be unique in a document.
+    """
+    numbered = questions.withColumn("__number", F.coalesce(_col("question_number").cast("long"), F.lit(0)))
+    return ordered_scan(numbered, [document], ["__number", tie], buckets=[_col("__number"), by_range(tie)],
+                        position="ordinal").drop("__number")
+
+
 def document_report(questions: DataFrame) -> DataFrame:
     """Scalars of a document's processing report; warnings stay rows, see ``question_report``."""
     return questions.groupBy("doc_id").agg(

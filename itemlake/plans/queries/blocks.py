@@ -393,6 +393,80 @@ def _(v):
                          F.size("missing").cast("long").alias("missing"))
 
 
+REPORT = FULL + """,
+orphan AS (SELECT k.doc_id, k.question_number FROM key k
+  WHERE NOT EXISTS (SELECT 1 FROM built b WHERE b.doc_id = k.doc_id AND b.question_number = k.question_number)),
+told AS (SELECT doc_id, -1 AS n, 'answer-key boundary not found in MinerU text; the answer-key page may have been emitted as an image block' AS warning
+  FROM boundary WHERE boundary_idx IS NULL OR image_idx IS NOT NULL
+  UNION ALL SELECT doc_id, question_number, concat('answer key contains Q', question_number, ' with no built question') FROM orphan),
+figures AS (SELECT doc_id, start_idx, count(*) AS linked FROM frag JOIN events e ON e.event_id = block_idx AND e.value < 50
+  WHERE type = 'image' GROUP BY ALL)
+"""
+
+
+@query("builder_report", REPORT + """
+SELECT d.doc_id, coalesce(q.total_extracted, 0) AS total_extracted, coalesce(q.mcq_count, 0) AS mcq_count,
+  coalesce(q.integer_count, 0) AS integer_count, coalesce(q.with_diagram, 0) AS with_diagram, coalesce(q.no_answer, 0) AS no_answer,
+  coalesce(q.complete_options, 0) AS complete_options,
+  (SELECT count(*) FROM key k WHERE k.doc_id = d.doc_id) AS answer_key_size,
+  coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT unnest(range(q.lo, q.hi + 1)) AS x) AS r WHERE NOT list_contains(q.seen, x)), '') AS missing,
+  coalesce((SELECT string_agg(question_number, ',' ORDER BY question_number) FROM (SELECT DISTINCT r.question_number FROM ranked r
+    WHERE r.doc_id = d.doc_id AND r.built > 1) AS t), '') AS duplicate_question_numbers,
+  coalesce((SELECT string_agg(warning, '; ' ORDER BY n) FROM told t WHERE t.doc_id = d.doc_id), '') AS stage_warnings
+FROM (SELECT DISTINCT doc_id FROM blk_full) AS d LEFT JOIN (SELECT b.doc_id, count(*) AS total_extracted,
+    count(*) FILTER (section_type = 'mcq') AS mcq_count, count(*) FILTER (section_type = 'integer') AS integer_count,
+    count(*) FILTER (f.linked > 0) AS with_diagram, count(*) FILTER (answer = '') AS no_answer, count(*) FILTER (k = 4) AS complete_options,
+    min(question_number) AS lo, max(question_number) AS hi, list(question_number) AS seen
+  FROM built b LEFT JOIN figures f USING (doc_id, start_idx) GROUP BY b.doc_id) AS q USING (doc_id)""")
+def _(v):
+    files = v.events.filter("value < 50").selectExpr("user_id AS doc_id", "concat(event_id, '.jpg') AS filename")
+    report = L.builder_report(v.full_blocks, files)
+    return report.select(*[F.array_join(c, "; " if c == "stage_warnings" else ",").alias(c) if kind.startswith("array") else F.col(c)
+                           for c, kind in report.dtypes])
+
+
+@query("processing_report", REPORT + """
+SELECT d.doc_id, count(b.start_idx) AS questions_detected, count(b.stem_md) AS questions_stored,
+  count(b.start_idx) FILTER (b.stem_md IS NULL) AS questions_skipped, count(b.stem_md) AS answers_mapped,
+  CAST(coalesce(sum(b.linked), 0) AS BIGINT) AS images_linked
+FROM (SELECT DISTINCT doc_id FROM blk_full) AS d LEFT JOIN (SELECT b.doc_id, b.start_idx, f.linked,
+    CASE WHEN b.question_number % 7 <> 3 THEN b.stem_md END AS stem_md
+  FROM built b LEFT JOIN figures f USING (doc_id, start_idx)) AS b USING (doc_id) GROUP BY d.doc_id""")
+def _(v):
+    files = v.events.filter("value < 50").selectExpr("user_id AS doc_id", "concat(event_id, '.jpg') AS filename")
+    built = cut_lineage(L.build_full_paper(v.full_blocks, files))
+    report = L.processing_report(built, built.filter("question_number % 7 <> 3"), v.full_blocks)
+    return report.drop("warning_count", "detected_subjects")
+
+
+@query("question_warnings", FULL + """,
+im AS (SELECT f.doc_id, f.start_idx, f.block_idx FROM frag f LEFT JOIN events e ON e.event_id = f.block_idx AND e.value < 50
+  WHERE f.type = 'image' AND e.event_id IS NULL),
+starts AS (SELECT doc_id, question_number, min(start_idx) AS first_start FROM groups GROUP BY ALL)
+SELECT b.doc_id, b.question_number AS number, 'ok' AS status, concat(
+  CASE WHEN b.start_idx > s.first_start THEN concat('Q', b.question_number, ': duplicate question start detected;') ELSE '' END,
+  CASE WHEN b.k BETWEEN 1 AND 3 THEN concat('Q', b.question_number, ': options_missing — recovered ', b.k, '/4 options (PDF OCR may have dropped the rest);') ELSE '' END,
+  coalesce((SELECT string_agg(concat('Q', b.question_number, ': MinerU image ', chr(39), im.block_idx, '.jpg'' could not be linked;'), '' ORDER BY im.block_idx)
+    FROM im WHERE im.doc_id = b.doc_id AND im.start_idx = b.start_idx), ''),
+  CASE WHEN b.raw_answer IS NULL THEN concat('Q', b.question_number, ': answer not found in answer key;') ELSE '' END,
+  CASE WHEN b.k > 0 AND b.answer NOT IN ('', 'A', 'B', 'C', 'D') THEN concat('Q', b.question_number, ': unrecognised MCQ answer key value ', chr(39), b.raw_answer, chr(39), ';') ELSE '' END
+  ) AS warnings
+FROM built b JOIN starts s USING (doc_id, question_number)""")
+def _(v):
+    files = v.events.filter("value < 50").selectExpr("user_id AS doc_id", "concat(event_id, '.jpg') AS filename")
+    report = L.question_report(L.build_full_paper(v.full_blocks, files))
+    # Which of several option values wins is told by full_paper_groups.
+    told = F.filter("warnings", lambda w: ~F.contains(w, F.lit("conflict")))
+    return report.select("doc_id", "number", "status", F.array_join(F.transform(told, lambda w: F.concat(w, F.lit(";"))), "").alias("warnings"))
+
+
+@query("number_order", """
+SELECT ingestion_id, id, question_number, row_number() OVER (PARTITION BY ingestion_id ORDER BY coalesce(question_number, 0), id) - 1 AS ordinal
+FROM q_docs""")
+def _(v):
+    return L.number_order(v.q_docs.select("ingestion_id", "id", "question_number"), "ingestion_id", "id")
+
+
 # --- Images and reports -----------------------------------------------------------------------------------------
 
 @query("image_linking", FULL + """,

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from itemlake.operators import export
 from itemlake.operators import layouts as L
 from itemlake.operators.clean import clean_blocks
 from itemlake.plans import drafting
@@ -157,3 +158,32 @@ def test_bank_from_stream_equals_batch_and_survives_replays(spark, tmp_path):
     (docs / "d1_content_list.json").write_text("[]")
     save_documents(content.raw_content_lists(spark, str(docs)).filter("doc_id = 'd1'"), uploads, answers, once, 1)
     assert {r.ingestion_id for r in sinks.read_bank(spark, once, rows.schema).collect()} == {"x/d1"}
+
+
+def test_packed_documents_span_files_and_share_them(spark, tmp_path):
+    lines = [(1, i, f"line é {i}\nsecond") for i in range(2000)] + [(p, 1, f"paper {p}") for p in range(2, 40)] + [(2, 0, ""), (3, 0, None)]
+    table = spark.createDataFrame(lines, "paper_id long, position long, markdown string").repartition(5)
+    path = str(tmp_path / "packed")
+    sinks.write_documents(table, path, size=8 << 10)
+    want = {}
+    for paper, _, text in sorted((x for x in lines if x[2] is not None), key=lambda x: x[:2]):
+        want[paper] = f"{want[paper]}\n{text}" if paper in want else text
+    assert {r.paper_id: r.markdown for r in sinks.read_documents(spark, path).collect()} == want
+    assert {r.paper_id: r.markdown for r in export.documents(table, part=100).collect()} == want
+    index = spark.read.parquet(f"{path}/index")
+    assert index.filter("paper_id = 1").count() > 1 and index.groupBy("file").count().filter("count > 1").count() > 0
+    asked = spark.createDataFrame([(1,), (7,), (7,), (99,)], "paper_id long")
+    assert {r.paper_id: r.markdown for r in sinks.read_documents(spark, path, asked).collect()} == {p: want[p] for p in (1, 7)}
+    sinks.write_documents(table.filter("paper_id < 0"), str(tmp_path / "none"))
+
+
+def test_bank_files_are_in_number_order(spark, tmp_path):
+    rows = spark.createDataFrame([("E", "s", f"d{d}", n, d * 10 + i) for d in range(4) for i, n in enumerate([9, None, 2, 5])],
+                                 "exam_name string, subject string, ingestion_id string, question_number int, id long").repartition(4)
+    told = spark.createDataFrame([(f"d{d}", "completed", None) for d in range(4)], "doc_id string, status string, reason string")
+    sinks.save_bank_batch(rows, told, str(tmp_path), 0)
+    back = spark.read.parquet(f"{tmp_path}/rows/batch=0").select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    seen = {}
+    for r in back.orderBy("at").collect():
+        seen.setdefault(r.ingestion_id, []).append(r.question_number)
+    assert seen == {f"d{d}": [None, 2, 5, 9] for d in range(4)}
