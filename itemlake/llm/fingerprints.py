@@ -119,7 +119,7 @@ def fingerprint(text: str | Column) -> Column:
 
 
 RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-          "near_edited double, near_next double")
+          "near_edited double, near_next double, contained_edited double, contained_next double")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,12 +141,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
                  pa.array([as_text(x[4]) for x, _ in pairs], pa.string()), pa.array([as_text(c) for c in after], pa.string()),
                  pa.array([likeness(x[4], c) for (x, _), c in zip(pairs, after)], pa.float64()),
-                 pa.array([likeness(x[4], y[4]) for x, y in pairs], pa.float64())],
+                 pa.array([likeness(x[4], y[4]) for x, y in pairs], pa.float64()),
+                 pa.array([containment(x[4], c) for (x, _), c in zip(pairs, after)], pa.float64()),
+                 pa.array([containment(x[4], y[4]) for x, y in pairs], pa.float64())],
                 [f.split()[0] for f in RESULT.split(", ")])
 
 
 def compare_with_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of every document and of its edited text, and their likeness.
+    """Fingerprints of every document and of its edited text, their likeness and containment.
+
+    ``contained_edited`` and ``contained_next`` are the shares of the document's bytes that lie in chunks which the
+    edited text, the next document has too.
 
     In the edited text the last quarter of the characters (rounded down) is replaced by as many from the
     start of the next document in ascending id order, or all it has; after the last comes the first.

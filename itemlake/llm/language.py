@@ -130,33 +130,51 @@ def _softmax(scores: Column) -> Column:
     return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
 
 
-def _sums(size: int, column: str) -> list[Column]:
-    return [F.sum(F.col(column)[i]).alias(f"s{i}") for i in range(size)]
-
-
-def identify(rows: DataFrame, model: Model, *, key: str = "id") -> DataFrame:
+def identify(rows: DataFrame, model: Model, pages: DataFrame | None = None, *, key: str = "id") -> DataFrame:
     """``rows (key, text, host, declared, address)`` to key, ``lang``, ``confidence`` and ``text_lang``.
 
-    Each row gives a row. NULL evidence counts for no language; rows without host take the corpus'
-    prior; a text without letters is judged by the other evidence alone; without a model ``lang`` is NULL.
+    ``pages (key, host, declared, address)`` may say more about a key, any number of times. Where there are pages they
+    count instead of the row's own declaration and address, and the row's host only for pages without one: each page's
+    evidence is a sum of logarithms, and the mean over the pages is added to the text's, as pages of one document
+    repeat each other. Trust tables and host priors are measured over all of them.
+
+    Each row gives a row, also of repeated or NULL keys; pages of unknown or NULL keys count for nothing. NULL
+    evidence counts for no language; rows without host take the corpus' prior; a text without letters is judged by the
+    other evidence alone; without a model ``lang`` is NULL.
     """
     size = len(model.languages)
     scored = cut_lineage(rows.select(
-        F.col(key), F.col("host").alias("host"), F.substring_index("host", ".", -2).alias("domain"), "declared", "address",
+        F.monotonically_increasing_id().alias("row"), F.col(key), "host", "declared", "address",
         text_evidence(model, "text").alias("text_score")))
     if not size:
         return scored.select(key, F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"),
                              F.lit(None).cast("string").alias("text_lang"))
     names = F.array(*[F.lit(x) for x in model.languages])
-    first = scored.withColumn("share", _softmax(F.col("text_score")))
 
     def known(column: str) -> Column:
         return F.when(F.col(column).isin(model.languages), F.col(column)).when(F.col(column).isNotNull(), F.lit("other"))
 
+    told = scored.withColumns({"n": F.lit(1).cast("long"), "paged": F.lit(False)})
+    if pages is not None:
+        # Equal pages of a key are counted before they meet its row, so a key with very many is few rows.
+        counts = pages.filter(F.col(key).isNotNull()).groupBy(
+            F.col(key).alias("p_key"), F.col("host").alias("p_host"), known("declared").alias("p_declared"),
+            known("address").alias("p_address")).agg(F.count(F.lit(1)).alias("p_n"))
+        paged = F.col("p_key").isNotNull()
+        told = cut_lineage(scored.join(counts, scored[key] == F.col("p_key"), "left").select(
+            "row", key, "text_score", F.coalesce("p_host", "host").alias("host"),
+            F.when(paged, F.col("p_declared")).otherwise(F.col("declared")).alias("declared"),
+            F.when(paged, F.col("p_address")).otherwise(F.col("address")).alias("address"),
+            F.coalesce("p_n", F.lit(1)).alias("n"), paged.alias("paged")))
+    first = told.withColumns({"share": _softmax(F.col("text_score")), "domain": F.substring_index("host", ".", -2)})
+
+    def sums() -> list[Column]:
+        return [F.sum(F.col("n") * F.col("share")[i]).alias(f"s{i}") for i in range(size)]
+
     def trusted(column: str) -> Column:
         """log P(said | language): at most (languages + 1) * languages sums come back."""
         table = {r["said"]: [r[f"s{i}"] for i in range(size)] for r in
-                 first.groupBy(known(column).alias("said")).agg(*_sums(size, "share")).collect() if r["said"]}
+                 first.groupBy(known(column).alias("said")).agg(*sums()).collect() if r["said"]}
         said = [*model.languages, "other"]
         totals = [sum(v[i] for v in table.values()) for i in range(size)]
         pairs = []
@@ -168,10 +186,10 @@ def identify(rows: DataFrame, model: Model, *, key: str = "id") -> DataFrame:
         none = F.array(*[F.lit(0.0)] * size)
         return F.coalesce(F.create_map(*pairs)[known(column)], none)
 
-    whole = first.agg(*_sums(size, "share")).first()
+    whole = first.agg(*sums()).first()
     count = sum(x or 0.0 for x in whole)
     corpus = F.array(*[F.lit(((x or 0.0) + 1) / (count + size)) for x in whole])
-    hosts = first.filter(F.col("host").isNotNull()).groupBy("host", "domain").agg(*_sums(size, "share"))
+    hosts = first.filter(F.col("host").isNotNull()).groupBy("host", "domain").agg(*sums())
 
     def smoothed(parent: Column) -> Column:
         own = F.array(*[F.col(f"s{i}") for i in range(size)])
@@ -180,28 +198,36 @@ def identify(rows: DataFrame, model: Model, *, key: str = "id") -> DataFrame:
 
     domains = (hosts.groupBy("domain").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(size)])
                .select("domain", smoothed(corpus).alias("parent")))
-    priors = cut_lineage(hosts.join(domains, "domain").select(F.col("host").alias("__host"), smoothed(F.col("parent")).alias("prior")))
-    joined = first.join(priors, first["host"] == priors["__host"], "left").withColumn("prior", F.coalesce("prior", corpus))
-    total = F.zip_with(F.zip_with("text_score", F.transform("prior", lambda x: F.log(x)), lambda a, b: a + b),
-                       F.zip_with(trusted("declared"), trusted("address"), lambda a, b: a + b), lambda a, b: a + b)
-    judged = joined.withColumn("posterior", _softmax(total))
+    priors = cut_lineage(hosts.join(domains, "domain").select(F.col("host").alias("p_host"), smoothed(F.col("parent")).alias("prior")))
+    joined = first.join(priors, first["host"] == priors["p_host"], "left").withColumn("prior", F.coalesce("prior", corpus))
+    evidence = F.zip_with(F.transform("prior", lambda x: F.log(x)),
+                          F.zip_with(trusted("declared"), trusted("address"), lambda a, b: a + b), lambda a, b: a + b)
+    valued = joined.select("row", key, "text_score", "n", "paged", evidence.alias("evidence"))
+    if pages is not None:
+        mean = F.array(*[F.sum(F.col("n") * F.col("evidence")[i]) / F.sum("n") for i in range(size)])
+        valued = valued.filter(~F.col("paged")).select(key, "text_score", "evidence").unionByName(
+            valued.filter("paged").groupBy("row").agg(F.first(key).alias(key), F.first("text_score").alias("text_score"),
+                                                      mean.alias("evidence")).drop("row"))
+    judged = (valued.withColumn("posterior", _softmax(F.zip_with("text_score", "evidence", lambda a, b: a + b)))
+              .withColumn("share", _softmax(F.col("text_score"))))
     best = F.array_max("posterior")
     return judged.select(
         key, F.element_at(names, F.array_position("posterior", best).cast("int")).alias("lang"), best.alias("confidence"),
         F.element_at(names, F.array_position("share", F.array_max("share")).cast("int")).alias("text_lang"))
 
 
-def documents_with_addresses(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Documents with what the pages at their addresses say: ``id, text, host, declared, address``.
+def document_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Documents as rows to identify: ``id, text, host, declared, address``; the source is the host. Other columns go."""
+    return typed(docs, {"id": (doc_id, "long"), "text": (text, "string"), "host": (source, "string")}).withColumns(
+        {"declared": F.lit(None).cast("string"), "address": F.lit(None).cast("string")})
+
+
+def page_evidence(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
+    """What every page says about the document whose number ends its address: ``id, host, declared, address``.
 
-    A page's address ends in a document's number. Of several pages of a document the one with the least
-    id counts; documents without page have their source as host.
+    Pages whose address ends in no number, or is NULL, are left out.
     """
     number = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://)?[^/?#]+/(?:[^?#]*/)?(\d+)(?:\.\w+)?/?(?:[?#].*)?$", 1)
-    said = pages.select(number.try_cast("long").alias("__id"), "page_id", host_of("url").alias("__host"),
-                        declared_language("html").alias("declared"), address_language("url").alias("address"))
-    one = said.filter(F.col("__id").isNotNull()).groupBy("__id").agg(
-        F.min_by(F.struct("__host", "declared", "address"), F.coalesce("page_id", F.lit(2**62))).alias("p"))
-    return (docs.join(one, F.col("doc_id") == F.col("__id"), "left")
-            .select(F.col("doc_id").alias("id"), "text", F.coalesce(F.col("p")["__host"], F.col("source")).alias("host"),
-                    F.col("p")["declared"].alias("declared"), F.col("p")["address"].alias("address")))
+    said = typed(pages, {"url": (url, "string"), "html": (html, "string")})
+    return said.select(number.try_cast("long").alias("id"), host_of("url").alias("host"), declared_language("html").alias("declared"),
+                       address_language("url").alias("address")).filter(F.col("id").isNotNull())

@@ -104,8 +104,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.fit(docs)
-    rows = language.documents_with_addresses(docs, read(spark, sf_dir, "pages"))
-    return language.identify(rows, model).withColumnRenamed("id", "doc_id")
+    said = language.page_evidence(read(spark, sf_dir, "pages"))
+    return language.identify(language.document_rows(docs), model, said).withColumnRenamed("id", "doc_id")
 
 
 @query("op2_quotes")

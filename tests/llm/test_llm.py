@@ -1,6 +1,7 @@
 """Operators on small fixtures: brute force, exact round trips, and awkward rows."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -293,6 +294,7 @@ def test_fingerprints(spark):
         assert (r.doc_id, r.n_chars, r.edited_sha256) == (d, len(t), hashlib.sha256(edited.encode()).hexdigest())
         a, b = fingerprints.from_text(r.fingerprint), fingerprints.from_text(r.edited_fingerprint)
         assert r.near_edited == pytest.approx(fingerprints.likeness(a, b)) and 0 <= r.near_next <= 1
+        assert r.contained_edited == pytest.approx(fingerprints.containment(a, b)) and r.contained_next >= r.near_next
     random.seed(1)
     text = "".join(random.choices("abcdefgh ", k=5000))
     a, b = fingerprints.chunk_sets(pa.array([text, "shifted " + text]))
@@ -372,9 +374,100 @@ def test_language(spark):
     assert language.identify(table.limit(0), model).count() == 0
 
 
+def test_language_of_documents_with_many_pages(spark):
+    """All pages of a document count, against the same sums in plain Python."""
+    random.seed(7)
+    sound = {"aa": "kivo lura mesta", "bb": "tschn grumpf zwick", "cc": "oey uai aei"}
+    langs = sorted(sound)
+    docs = [(i, " ".join(random.choices(sound[x].split(), k=i % 9)), random.choice(["s.org", "t.s.org", "u.net", None]))
+            for i, x in enumerate(langs * 30)] + [(5, "kivo grumpf", "u.net"), (None, "lura", "s.org"), (None, None, None)]
+    model = language.fit(spark.createDataFrame([(d, t, langs[d % 3]) for d, t, _ in docs if d is not None and t],
+                                               "doc_id long, text string, lang string"))
+    said = [(random.randrange(80), random.choice(["s.org", "v.net", None]), random.choice([*langs, "zz", None]),
+             random.choice(["aa", "yy", None])) for _ in range(150)]
+    said += [(3, "hot.org", "bb", None)] * 400 + [(None, "s.org", "aa", "aa"), (10**6, "s.org", "bb", "bb")]
+    rows = spark.createDataFrame([(d, t, h, None, None) for d, t, h in docs], "id long, text string, host string, declared string, address string")
+    pages = spark.createDataFrame(said, "id long, host string, declared string, address string").repartition(5)
+    scores = [r[0] for r in rows.coalesce(1).select(language.text_evidence(model, "text")).collect()]
+
+    def softmax(v):
+        top = max(v)
+        e = [math.exp(x - top) for x in v]
+        return [x / sum(e) for x in e]
+
+    def known(x):
+        return x if x in langs or x is None else "other"
+
+    facts = []  # row, host, declared, address, share
+    for i, (d, _, host) in enumerate(docs):
+        own = [(h or host, known(a), known(b)) for p, h, a, b in said if p is not None and p == d] or [(host, None, None)]
+        facts += [(i, *f, softmax(scores[i])) for f in own]
+    size = range(len(langs))
+    whole = [sum(f[4][i] for f in facts) for i in size]
+    corpus = [(whole[i] + 1) / (sum(whole) + len(langs)) for i in size]
+
+    def smooth(rows_, parent):
+        own = [sum(f[4][i] for f in rows_) for i in size]
+        return [(own[i] + parent[i] * language.HOST) / (sum(own) + language.HOST) for i in size]
+
+    def trust(at, value):
+        if value is None:
+            return [0.0] * len(langs)
+        all_ = [sum(f[4][i] for f in facts if f[at] is not None) for i in size]
+        mine = [sum(f[4][i] for f in facts if f[at] == value) for i in size]
+        guess = [0.7 if value == x else 0.3 / len(langs) for x in langs]
+        return [math.log((mine[i] + language.TRUST * guess[i]) / (all_[i] + language.TRUST)) for i in size]
+
+    def domain(host):
+        return ".".join(host.split(".")[-2:])
+
+    want = []
+    for i, (d, _, _) in enumerate(docs):
+        own = [f for f in facts if f[0] == i]
+        total = list(scores[i])
+        for _, host, declared, address, _ in own:
+            prior = corpus
+            if host is not None:
+                parent = smooth([f for f in facts if f[1] is not None and domain(f[1]) == domain(host)], corpus)
+                prior = smooth([f for f in facts if f[1] == host], parent)
+            parts = (trust(2, declared), trust(3, address))
+            total = [total[j] + (math.log(prior[j]) + parts[0][j] + parts[1][j]) / len(own) for j in size]
+        want.append((d, max(softmax(total))))
+    got = [(r.id, r.confidence) for r in language.identify(rows, model, pages).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert [r[0] for r in sorted(got, key=order)] == [r[0] for r in sorted(want, key=order)]
+    assert [r[1] for r in sorted(got, key=order)] == pytest.approx([r[1] for r in sorted(want, key=order)], abs=1e-9)
+    assert len(language.identify(rows, model, pages.limit(0)).collect()) == len(docs)
+
+
+def test_language_tables_of_documents_and_pages(spark):
+    docs = spark.createDataFrame([(1, "x", "src", "p", "n"), (None, None, None, None, None)],
+                                 "doc_id long, text string, source string, p string, host string")
+    rows = language.document_rows(docs).collect()
+    assert [tuple(r) for r in rows if r.id] == [(1, "x", "src", None, None)] and len(rows) == 2
+    pages = spark.createDataFrame([(1, "https://a.b.de/fr/x/17.html", "<html lang='EN-gb'>", 3), (2, "https://c.org/about", None, 3),
+                                   (3, None, "<html>", 3), (4, "http://h.org/99999999999999999999", "", 3)],
+                                  "page_id long, url string, html string, id long")
+    assert [tuple(r) for r in language.page_evidence(pages).collect()] == [(17, "a.b.de", "en", "fr")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_language_is_right_on_documents_that_were_not_fitted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    part = F.crc32(F.col("doc_id").cast("string")) % 2
+    model = language.fit(docs.filter(part == 0))
+    rest = docs.filter(part == 1)
+    found = language.identify(language.document_rows(rest), model,
+                              language.page_evidence(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")))
+    right = found.withColumnRenamed("lang", "found").join(rest, F.col("id") == F.col("doc_id")).agg(
+        F.avg((F.col("found") == F.col("lang")).cast("double"))).first()[0]
+    print("accuracy on rows not fitted", right, rest.count())
+    assert right > 0.97
+
+
 def test_queries_are_registered():
     from itemlake.llm.queries import QUERIES
-    assert {int(re.match(r"op(\d+)_", q).group(1)) for q in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", q).group(1)) for q in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
