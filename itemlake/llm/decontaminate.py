@@ -1,11 +1,13 @@
 """Benchmark decontamination by winnowing.
 
-Of every ``GUARANTEE - K + 1`` consecutive K-word hashes the smallest is kept, on benchmark items and
-documents alike, so any shared span of GUARANTEE words has a kept hash in common. Documents' kept
-hashes pass a bitmap of fixed size made of the benchmark's and are then joined with them. A match
-names an item and a diagonal (document position minus item position); along it the words of both
-are compared from end to end, and every equal run of at least a window's length is a hit. Items
-shorter than a window are one window: they are found by the hash of all their words.
+Of every ``WINDOW - K + 1`` consecutive K-word hashes the smallest is kept, on benchmark items and documents alike, so
+equal windows of WINDOW words keep an equal hash, their print. A print of a document goes on if it passes a bitmap of the
+benchmark's, and with it the check hashes of the windows that it stands for; windows meet the benchmark's distinct windows on
+print and check together, and hit windows that touch or overlap are extended to spans. Items shorter than a window are one
+window, whose print is the hash of all their words.
+
+Distinct windows are joined, not items: a passage that many items share is one window to a document. Windows that stand in the
+same items have one set of items, found by sums of hashes, and a text meets a set once.
 """
 
 from __future__ import annotations
@@ -18,118 +20,101 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemlake.llm.common import bitmap, cut_lineage, freeing, in_bitmap, typed
-from itemlake.llm.words import grams, word_slices, words_of
+from itemlake.llm.words import grams, mix, word_slices, words_of
 
 WINDOW = 13
 K = 6
-FOUND = "n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>"
+FOUND = "n_words long, n_hit long, spans array<struct<start:int,end:int>>"
+#: Turns word hashes into others for the check of a window, which is thereby independent of its print.
+_OTHER = np.uint64(0xA24BAED4963EE407)
 
 
-def winnowed(gram: np.ndarray, fits: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the smallest of every ``width`` neighbours, all of them where several are equal.
-
-    ``fits`` marks the places where a whole run of neighbours begins.
-    """
-    n = len(gram)
-    if n < width:
-        return np.zeros(0, np.int64)
+def winnowed(gram: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of every ``width`` neighbours, by the place of the first of them."""
     low, span = gram, 1
+    if len(gram) < width:
+        return gram[:0]
     while span < width:  # running minimum, twice as wide each time
         step = min(span, width - span)
         low = np.minimum(low[:len(low) - step], low[step:])
         span += step
-    chosen = np.zeros(n, bool)
-    for j in range(width):
-        chosen[j:j + len(low)] |= fits[:len(low)] & (gram[j:j + len(low)] == low)
-    return np.flatnonzero(chosen)
+    return low
 
 
-def _prints(hashes: np.ndarray, bounds: np.ndarray, short: list[int], whole: bool,
-            window: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """``(positions, hashes, kind)``; kind 0 is winnowed, kind n the hash of n words.
+def _windows(hashes: np.ndarray, bounds: np.ndarray, short: list[int], whole: bool, window: int, k: int,
+             bits: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """``(starts, size, prints, checks)`` of the windows of all texts of a slice, those whose print is in ``bits`` if given.
 
-    ``whole`` restricts kind n to texts of just n words (the items).
+    Windows of fewer than ``window`` words come in the sizes ``short``; ``whole`` restricts them to texts of just that
+    many words (the items).
     """
     lengths = np.diff(bounds)
     of = np.repeat(np.arange(len(lengths)), lengths)
     left = bounds[1:][of] - np.arange(len(hashes))  # words from here to the end of the text
-    gram = grams(hashes, k)
-    fits = left[:len(gram)] >= window
-    at = winnowed(gram, fits, window - k + 1)
-    yield at, gram[at], 0
-    for n in short:
-        gram = grams(hashes, n)
-        at = np.flatnonzero((left[:len(gram)] == n) & (lengths[of[:len(gram)]] == n) if whole
-                            else left[:len(gram)] >= n)
-        yield at, gram[at], n
-
-
-def _item_prints(window: int, k: int):
+    other = mix(hashes ^ _OTHER)
+    for size in [window, *short]:
+        n = max(0, len(hashes) - size + 1)
+        prints = winnowed(grams(hashes, k), window - k + 1) if size == window else grams(hashes, size)
+        fits = (left[:n] >= size) if size == window or not whole else (left[:n] == size) & (lengths[of[:n]] == size)
+        if bits is not None and n:
+            head = np.concatenate([[True], prints[1:] != prints[:-1]])  # neighbours mostly share their print
+            fits = fits & in_bitmap(bits, prints[head])[np.cumsum(head) - 1]
+        starts = np.flatnonzero(fits)
+        checks = grams(other, size)
+        yield starts, size, prints[starts], checks[starts]
+
+
+def _item_windows(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, w in word_slices(batch.column(1)):
                 items = np.array(batch.column(0).slice(first, last - first).to_pylist(), object)
-                for at, prints, kind in _prints(w.hashes, w.bounds, list(range(1, window)), True, window, k):
+                for at, size, prints, checks in _windows(w.hashes, w.bounds, list(range(1, window)), True, window, k):
                     of = np.searchsorted(w.bounds, at, "right") - 1
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(items[of], pa.string()), pa.array((at - w.bounds[of]).astype(np.int32)),
-                         pa.array(prints.view(np.int64)), pa.array(np.full(len(at), kind, np.int32))],
-                        ["item", "item_at", "print", "kind"])
+                        [pa.array(items[of], pa.string()), pa.array(np.full(len(at), size, np.int32)),
+                         pa.array(prints.view(np.int64)), pa.array(checks.view(np.int64))], ["item", "size", "print", "check"])
     return run
 
 
-def _document_prints(short: list[int], bits: np.ndarray, window: int, k: int):
+def _document_windows(short: list[int], bits: np.ndarray, check_bits: np.ndarray, window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for first, last, w in word_slices(batch.column(1)):
-                for at, prints, _ in _prints(w.hashes, w.bounds, short, False, window, k):
-                    seen = in_bitmap(bits, prints)
-                    at, prints = at[seen], prints[seen]
+                for at, size, prints, checks in _windows(w.hashes, w.bounds, short, False, window, k, bits):
+                    seen = in_bitmap(check_bits, checks)
+                    at, prints, checks = at[seen], prints[seen], checks[seen]
                     of = np.searchsorted(w.bounds, at, "right") - 1
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys[first:last][of]), pa.array((at - w.bounds[of]).astype(np.int32)),
-                         pa.array(prints.view(np.int64))], ["text_key", "at", "print"])
+                         pa.array(np.full(len(at), size, np.int32)), pa.array(prints.view(np.int64)),
+                         pa.array(checks.view(np.int64))], ["text_key", "at", "size", "print", "check"])
     return run
 
 
-def _extend(window: int):
-    def one(doc: np.ndarray, hits) -> tuple[list[tuple[int, int]], list[str]]:
-        spans, items = [], set()
-        for hit in hits:
-            item = np.frombuffer(hit["words"], np.uint64)
-            need = min(window, len(item))
-            for shift in hit["shifts"]:
-                a, b = max(shift, 0), min(shift + len(item), len(doc))
-                if b - a < need:
-                    continue
-                same = np.concatenate([[0], doc[a:b] == item[a - shift:b - shift], [0]]).astype(np.int8)
-                edge = np.diff(same)
-                for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-                    if e - s >= need:
-                        spans.append((a + int(s), a + int(e)))
-                        items.update(hit["items"])
-        merged: list[tuple[int, int]] = []
-        for s, e in sorted(spans):
-            if merged and s <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
+def _extend():
+    """Number of words of each text, and its hit windows extended over those that touch or overlap them."""
+    def spans_of(hits) -> list[dict]:
+        merged: list[dict] = []
+        for start, end in sorted((h["at"], h["at"] + h["size"]) for h in hits):
+            if merged and start <= merged[-1]["end"]:
+                merged[-1]["end"] = max(end, merged[-1]["end"])
             else:
-                merged.append((s, e))
-        return merged, sorted(items)
+                merged.append({"start": start, "end": end})
+        return merged
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()),
-                          ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                          ("items", pa.list_(pa.string()))])
+                          ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
         for texts, hits in batches:
             has_hits = np.asarray(hits.is_valid())
             out = []
             for first, last, w in word_slices(texts):
                 for i in range(last - first):
-                    doc = w.hashes[w.bounds[i]:w.bounds[i + 1]]
-                    spans, items = one(doc, hits[first + i].as_py()) if has_hits[first + i] else ([], [])
-                    out.append({"n_words": len(doc), "n_hit": sum(e - s for s, e in spans),
-                                "spans": [{"start": s, "end": e} for s, e in spans], "items": items})
+                    spans = spans_of(hits[first + i].as_py()) if has_hits[first + i] else []
+                    out.append({"n_words": int(w.bounds[i + 1] - w.bounds[i]), "n_hit": sum(s["end"] - s["start"] for s in spans),
+                                "spans": spans})
             yield pa.array(out, kind)
     return run
 
@@ -142,6 +127,20 @@ def _item_words():
     return run
 
 
+def _with_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(print, check, items_of)`` of the distinct windows and ``(items_of, item)`` of the distinct sets of items.
+
+    A set is named by the number and three sums of hashes of its items, so no row ever holds a whole set; its items are those of
+    one of its windows.
+    """
+    spread = [F.sum(F.xxhash64("item", F.lit(i)) % F.lit(1 << 32)).alias(f"s{i}") for i in (1, 2, 3)]
+    named = (rows.groupBy("print", "check").agg(F.count(F.lit(1)).alias("s0"), *spread)
+             .select("print", "check", F.sha2(F.concat_ws(" ", "s0", "s1", "s2", "s3"), 256).alias("items_of")))
+    windows = cut_lineage(named)
+    one = windows.groupBy("items_of").agg(F.min(F.struct("print", "check")).alias("w")).select("items_of", "w.print", "w.check")
+    return windows, rows.join(one, ["print", "check"]).select("items_of", "item")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", window: int = WINDOW, k: int = K, result: str = "contamination") -> DataFrame:
     """``docs`` with a struct of what they share with the benchmark.
@@ -156,26 +155,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     """
     named = typed(benchmark, {"item": (item_id, "string"), "text": (item_text, "string")}).na.fill({"item": ""})
     worded = named.select("item", "text", F.arrow_udf(_item_words(), "binary")(F.coalesce("text", F.lit(""))).alias("words"))
-    classes = cut_lineage(worded.filter(F.length("words") > 0).groupBy("words").agg(
-        F.collect_set("item").alias("items"), F.min("text").alias("text"))
-        .withColumn("item", F.sha2("words", 256)))
-    prints = cut_lineage(classes.select("item", "text").mapInArrow(
-        _item_prints(window, k), "item string, item_at int, print long, kind int"))
-    short = sorted(r[0] for r in prints.select("kind").distinct().collect() if r[0])  # at most window - 1
-    bits = bitmap(prints, "print")
+    worded = cut_lineage(worded.filter(F.length("words") > 0).select(F.col("item").alias("name"), "text", F.sha2("words", 256).alias("item")))
+    distinct = worded.groupBy("item").agg(F.min("text").alias("text"))
+    rows = cut_lineage(distinct.mapInArrow(_item_windows(window, k), "item string, size int, print long, check long").distinct())
+    short = sorted(r[0] for r in rows.select("size").distinct().collect() if r[0] < window)  # at most window - 1
+    windows, sets = _with_sets(rows)
 
     key = F.xxhash64(F.col(f"`{text}`"))
-    found = (typed(docs, {"text": (text, "string")}).select(F.xxhash64("text").alias("text_key"), "text")
-             .mapInArrow(freeing(_document_prints(short, bits, window, k)), "text_key long, at int, print long"))
-    matches = (found.join(prints, "print")
-               .groupBy("text_key", "item").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts")))
-    hits = cut_lineage(matches.join(classes.select("item", "items", "words"), "item")
-                       .groupBy("text_key").agg(F.collect_list(F.struct("items", "words", "shifts")).alias("__hits")))
-    # Equal keys of different texts do no harm: matches are checked word by word.
-    joined = docs.join(hits.withColumnRenamed("text_key", "__text_key"), key == F.col("__text_key"), "left")
-    find = F.arrow_udf(freeing(_extend(window)), FOUND)
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns],
-                         find(F.col(f"`{text}`").cast("string"), F.col("__hits")).alias(result))
+    texts = typed(docs, {"text": (text, "string")}).select(F.xxhash64("text").alias("text_key"), "text")
+    seen = texts.mapInArrow(freeing(_document_windows(short, bitmap(windows, "print"), bitmap(windows, "check"), window, k)),
+                            "text_key long, at int, size int, print long, check long")
+    met = cut_lineage(seen.join(windows, ["print", "check"]).select("text_key", "at", "size", "items_of"))
+    hits = met.groupBy("text_key").agg(F.collect_set(F.struct("at", "size")).alias("__hits"))  # at most a text's words
+    held = (met.select("text_key", "items_of").distinct().join(sets, "items_of").select("text_key", "item").distinct()
+            .join(worded.select("item", "name"), "item").groupBy("text_key").agg(F.sort_array(F.collect_set("name")).alias("__items")))
+    told = cut_lineage(hits.join(held, "text_key").withColumnRenamed("text_key", "__text_key"))
+    joined = docs.join(told, key == F.col("__text_key"), "left")
+    find = F.arrow_udf(freeing(_extend()), FOUND)
+    measured = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__items",
+                             find(F.col(f"`{text}`").cast("string"), F.col("__hits")).alias("__measured"))
+    items = F.coalesce("__items", F.array().cast("array<string>")).alias("items")
+    return measured.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(
+        "__measured.n_words", "__measured.n_hit", "__measured.spans", items).alias(result))
 
 
 def contaminated(result: str = "contamination", share: int = 20) -> Column:
