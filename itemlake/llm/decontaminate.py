@@ -20,11 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemlake.llm.common import bitmap, cut_lineage, freeing, in_bitmap, typed
-from itemlake.llm.words import grams, mix, word_slices, words_of
+from itemlake.llm.words import grams, mix, word_counts, word_slices, words_of
 
 WINDOW = 13
 K = 6
-FOUND = "n_words long, n_hit long, spans array<struct<start:int,end:int>>"
+FOUND = "n_hit long, spans array<struct<start:int,end:int>>"
 #: Turns word hashes into others for the check of a window, which is thereby independent of its print.
 _OTHER = np.uint64(0xA24BAED4963EE407)
 
@@ -80,21 +80,21 @@ def _item_windows(window: int, k: int):
 def _document_windows(short: list[int], bits: np.ndarray, check_bits: np.ndarray, window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
             for first, last, w in word_slices(batch.column(1)):
+                keys, lengths = batch.column(0).slice(first, last - first), np.diff(w.bounds)
                 for at, size, prints, checks in _windows(w.hashes, w.bounds, short, False, window, k, bits):
                     seen = in_bitmap(check_bits, checks)
                     at, prints, checks = at[seen], prints[seen], checks[seen]
                     of = np.searchsorted(w.bounds, at, "right") - 1
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[first:last][of]), pa.array((at - w.bounds[of]).astype(np.int32)),
+                        [keys.take(pa.array(of)), pa.array(lengths[of].astype(np.int64)), pa.array((at - w.bounds[of]).astype(np.int32)),
                          pa.array(np.full(len(at), size, np.int32)), pa.array(prints.view(np.int64)),
-                         pa.array(checks.view(np.int64))], ["text_key", "at", "size", "print", "check"])
+                         pa.array(checks.view(np.int64))], ["text_key", "n_words", "at", "size", "print", "check"])
     return run
 
 
 def _extend():
-    """Number of words of each text, and its hit windows extended over those that touch or overlap them."""
+    """Hit windows of each text, extended over those that touch or overlap them."""
     def spans_of(hits) -> list[dict]:
         merged: list[dict] = []
         for start, end in sorted((h["at"], h["at"] + h["size"]) for h in hits):
@@ -104,18 +104,18 @@ def _extend():
                 merged.append({"start": start, "end": end})
         return merged
 
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()),
-                          ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-        for texts, hits in batches:
-            has_hits = np.asarray(hits.is_valid())
-            out = []
-            for first, last, w in word_slices(texts):
-                for i in range(last - first):
-                    spans = spans_of(hits[first + i].as_py()) if has_hits[first + i] else []
-                    out.append({"n_words": int(w.bounds[i + 1] - w.bounds[i]), "n_hit": sum(s["end"] - s["start"] for s in spans),
-                                "spans": spans})
-            yield pa.array(out, kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+        for texts in batches:
+            found = [spans_of(hits.as_py()) for hits in texts]
+            yield pa.array([{"n_hit": sum(s["end"] - s["start"] for s in spans), "spans": spans} for spans in found], kind)
+    return run
+
+
+def _counts():
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(word_counts(texts))
     return run
 
 
@@ -141,17 +141,15 @@ def _with_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return windows, rows.join(one, ["print", "check"]).select("items_of", "item")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id",
-                  item_text: str = "text", window: int = WINDOW, k: int = K, result: str = "contamination") -> DataFrame:
-    """``docs`` with a struct of what they share with the benchmark.
+def _key(text: str) -> Column:
+    return F.md5(F.col(f"`{text}`").cast("string"))
 
-    ``n_words``; ``n_hit`` words that lie inside an occurrence of an item's window; their ``spans`` in
-    words; ``items`` (ids as strings) with an occurring window. A window is ``window`` consecutive words;
-    an item with fewer, but not none, is one window.
 
-    NULL and empty texts have no words and no hits. An item without id is taken for id ``''``; items
-    with equal words are looked for once and all named. Rows of ``docs`` are neither lost nor doubled,
-    whatever their ids, and their other columns stay; an empty benchmark hits nothing.
+def hit_texts(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+              window: int = WINDOW, k: int = K) -> DataFrame:
+    """``(text_key, n_words, n_hit, spans, items)``: one row for each different text with a hit, without the text.
+
+    ``text_key`` is the text's md5; the rest is as in ``contamination``.
     """
     named = typed(benchmark, {"item": (item_id, "string"), "text": (item_text, "string")}).na.fill({"item": ""})
     worded = named.select("item", "text", F.arrow_udf(_item_words(), "binary")(F.coalesce("text", F.lit(""))).alias("words"))
@@ -161,31 +159,50 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     short = sorted(r[0] for r in rows.select("size").distinct().collect() if r[0] < window)  # at most window - 1
     windows, sets = _with_sets(rows)
 
-    key = F.xxhash64(F.col(f"`{text}`"))
-    texts = typed(docs, {"text": (text, "string")}).select(F.xxhash64("text").alias("text_key"), "text")
+    texts = typed(docs, {"text": (text, "string")}).select(_key("text").alias("text_key"), "text")
     seen = texts.mapInArrow(freeing(_document_windows(short, bitmap(windows, "print"), bitmap(windows, "check"), window, k)),
-                            "text_key long, at int, size int, print long, check long")
-    met = cut_lineage(seen.join(windows, ["print", "check"]).select("text_key", "at", "size", "items_of"))
-    hits = met.groupBy("text_key").agg(F.collect_set(F.struct("at", "size")).alias("__hits"))  # at most a text's words
+                            "text_key string, n_words long, at int, size int, print long, check long")
+    met = cut_lineage(seen.join(windows, ["print", "check"]).select("text_key", "n_words", "at", "size", "items_of"))
+    spans = F.arrow_udf(_extend(), FOUND)(F.collect_set(F.struct("at", "size")))  # at most as many as the text has words
+    hits = met.groupBy("text_key").agg(F.max("n_words").alias("n_words"), spans.alias("found"))
     held = (met.select("text_key", "items_of").distinct().join(sets, "items_of").select("text_key", "item").distinct()
-            .join(worded.select("item", "name"), "item").groupBy("text_key").agg(F.sort_array(F.collect_set("name")).alias("__items")))
-    told = cut_lineage(hits.join(held, "text_key").withColumnRenamed("text_key", "__text_key"))
-    joined = docs.join(told, key == F.col("__text_key"), "left")
-    find = F.arrow_udf(freeing(_extend()), FOUND)
-    measured = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__items",
-                             find(F.col(f"`{text}`").cast("string"), F.col("__hits")).alias("__measured"))
-    items = F.coalesce("__items", F.array().cast("array<string>")).alias("items")
-    return measured.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(
-        "__measured.n_words", "__measured.n_hit", "__measured.spans", items).alias(result))
+            .join(worded.select("item", "name"), "item").groupBy("text_key").agg(F.sort_array(F.collect_set("name")).alias("items")))
+    return cut_lineage(hits.join(held, "text_key").select("text_key", "n_words", "found.n_hit", "found.spans", "items"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", result: str = "contamination", **options) -> DataFrame:
+    """``docs`` with a struct of what they share with the benchmark.
+
+    ``n_words``; ``n_hit`` words that lie inside an occurrence of an item's window; their ``spans`` in
+    words; ``items`` (ids as strings) with an occurring window. A window is ``window`` consecutive words;
+    an item with fewer, but not none, is one window. ``options`` are those of ``hit_texts``.
+
+    NULL and empty texts have no words and no hits. An item without id is taken for id ``''``; items
+    with equal words are looked for once and all named. Rows of ``docs`` are neither lost nor doubled,
+    whatever their ids, and their other columns stay; an empty benchmark hits nothing. Words are counted before hits are
+    joined, so texts move only where the caller goes on to read them.
+    """
+    told = hit_texts(docs, benchmark, text=text, **options).select(
+        F.col("text_key").alias("__text_key"), "n_hit", "spans", "items").withColumnsRenamed({c: f"__{c}" for c in ("n_hit", "spans", "items")})
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    n_words = F.arrow_udf(freeing(_counts()), "long")(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    joined = docs.select(*columns, _key(text).alias("__text_key"), n_words.alias("__n_words")).join(told, "__text_key", "left")
+    return joined.select(*columns, F.struct(
+        F.col("__n_words").alias("n_words"), F.coalesce("__n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("__spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
+        F.coalesce("__items", F.array().cast("array<string>")).alias("items")).alias(result))
+
+
+def _too_many(n_words: Column, n_hit: Column, share: int) -> Column:
+    return (n_hit > 0) & (n_hit * share >= n_words)
 
 
 def contaminated(result: str = "contamination", share: int = 20) -> Column:
     """Whether at least one in ``share`` words is hit."""
-    found = F.col(result)
-    return (found["n_hit"] > 0) & (found["n_hit"] * share >= found["n_words"])
+    return _too_many(F.col(result)["n_words"], F.col(result)["n_hit"], share)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, unchanged."""
-    found = contamination(docs, benchmark, result="__found", **options)
-    return found.filter(~contaminated("__found")).drop("__found")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", share: int = 20, **options) -> DataFrame:
+    """The documents that are not contaminated, unchanged. Only the keys of the others are joined."""
+    bad = hit_texts(docs, benchmark, text=text, **options).filter(_too_many(F.col("n_words"), F.col("n_hit"), share))
+    return docs.join(bad.select(F.col("text_key").alias("__text_key")), _key(text) == F.col("__text_key"), "left_anti")

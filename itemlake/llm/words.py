@@ -99,6 +99,25 @@ def word_slices(texts: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iter
         yield first, last, words_of(texts.slice(first, last - first))
 
 
+def word_counts(texts: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> np.ndarray:
+    """Number of words of every text (no NULLs); nothing is hashed."""
+    texts = plain_strings(texts)
+    counts = np.zeros(len(texts), np.int64)
+    for first, last in text_slices(texts, limit):
+        part = plain_strings(texts.slice(first, last - first))
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset:part.offset + len(part) + 1]
+        data = part.buffers()[2]
+        inside = INSIDE[np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]]] if data is not None else np.zeros(0, bool)
+        bounds = offsets - offsets[0]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        heads = bounds[:-1][bounds[:-1] < len(inside)]
+        begins[heads] = inside[heads]
+        sums = np.concatenate([[0], np.cumsum(begins)])
+        counts[first:last] = sums[bounds[1:]] - sums[bounds[:-1]]
+    return counts
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of every ``k`` consecutive words; position i is the gram that starts at word i."""
     n = len(hashes) - k + 1
