@@ -8,9 +8,10 @@ from itemlake.operators import clean as K
 from itemlake.operators import layouts as L
 from itemlake.plans import ingest
 from itemlake.plans.queries import query
+from itemlake.plans.queries.bank import LATEST
 from itemlake.session import cut_lineage, new_folder
 from itemlake.sources.content import parse_content_lists
-from itemlake.streaming.status import read_status_board, start_status_board
+from itemlake.streaming.status import BOARD, read_status_board, start_status_board
 
 
 def flat(options="options"):
@@ -513,13 +514,13 @@ def _(v):
 
 # --- Streams --------------------------------------------------------------------------------------------------------
 
-@query("status_board_stream", """
-SELECT ingestion_id, arg_max(status, seq) AS status, max(seq) AS seq FROM ing GROUP BY ingestion_id""")
+@query("status_board_stream", LATEST + "SELECT * FROM latest")
 def _(v):
     work = new_folder(v.spark)
     stream = (v.spark.readStream.schema(v.events.schema).option("pathGlobFilter", "events.parquet").parquet(v.folder)
               .selectExpr("user_id AS ingestion_id", "event_id AS seq", """CASE event_type WHEN 'signup' THEN 'UPLOADED'
                   WHEN 'view' THEN 'MINERU_COMPLETE' WHEN 'click' THEN 'QUESTIONS_BUILT' WHEN 'purchase' THEN 'METADATA_COMPLETE'
-                  ELSE CASE WHEN event_id % 2 = 0 THEN 'FAILED' ELSE 'SAVED' END END AS status"""))
+                  ELSE CASE WHEN event_id % 2 = 0 THEN 'FAILED' ELSE 'SAVED' END END AS status""",
+                          "CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN concat('failed with ', props) END AS error"))
     start_status_board(stream, f"{work}/board", f"{work}/checkpoint").awaitTermination()
-    return read_status_board(v.spark.read.schema("ingestion_id bigint, status string, seq bigint").parquet(f"{work}/board"))
+    return read_status_board(v.spark.read.schema(f"{BOARD}, batch int").option("basePath", f"{work}/board").parquet(f"{work}/board"))
