@@ -1,6 +1,7 @@
 """Text functions and model responses over whole columns of text."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from itemlake.functions import metadata as M
 from itemlake.functions import text as X
@@ -9,7 +10,8 @@ from itemlake.operators import layouts as L
 from itemlake.plans import ingest
 from itemlake.plans.queries import query
 from itemlake.plans.queries.blocks import INLINE_BUILT, flat
-from itemlake.session import cut_lineage
+from itemlake.session import cut_lineage, new_folder
+from itemlake.sources import sinks
 
 MARK = "\\(\\s*([1-4A-Da-d])\\s*\\)"
 
@@ -235,13 +237,16 @@ def _(v):
         "doc_id", "start_idx", "question_number", "answer", "chapter", "topic", "difficulty", "has_formula")
 
 
-@query("bank_rows", INLINE_BUILT + """
+BANK_ROWS = INLINE_BUILT + """
 SELECT doc_id AS ingestion_id, concat('upload ', doc_id, '.pdf') AS source_pdf, question_number, stem_md, answer, section_type,
   'JEE Main' AS exam_name, 'physics' AS subject, concat('Chapter ', question_number % 5) AS chapter, 'hard' AS difficulty, 'active' AS status,
   trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
     concat(stem_md, ' ', regexp_replace(regexp_replace(options, '^A=', ''), '\\|[BCD]=', ' ', 'g')),
     '(?s)\\$\\$.*?\\$\\$', ' ', 'g'), '\\$[^$]+\\$', ' ', 'g'), '[{}\\\\^_]', ' ', 'g'), '\\s+', ' ', 'g')) AS raw_text
-FROM built_inline""")
+FROM built_inline"""
+
+
+@query("bank_rows", BANK_ROWS)
 def _(v):
     questions, metadata = _bank_parts(v)
     uploads = v.events.selectExpr("user_id AS id").distinct().selectExpr(
@@ -249,3 +254,26 @@ def _(v):
     rows = B.bank_rows(questions, metadata, uploads)
     return rows.select("ingestion_id", "source_pdf", "question_number", "stem_md", "answer", "section_type", "exam_name",
                        "subject", "chapter", "difficulty", "raw_text", "status")
+
+
+@query("saved_bank", BANK_ROWS)
+def _(v):
+    """The partitioned bank after a batch, the same batch again, and a batch of a third of the documents once more."""
+    listed = v.blk_inline.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
+        "block_idx", "type", "text", "text_level", "page_idx", "img_path"))).alias("blocks"))  # a content list is one file
+    listed = cut_lineage(listed.withColumn("doc_id", F.col("doc_id").cast("string")))
+    raw = listed.select("doc_id", F.to_json(F.transform("blocks", lambda b: b.dropFields("block_idx"))).alias("value"))
+    number = F.regexp_extract("b.text", r"^(\d+)\. Find", 1)
+    responses = listed.select("doc_id", F.posexplode("blocks").alias("at", "b")).filter(number != "").select(
+        "doc_id", F.col("at").cast("long").alias("start_idx"),
+        F.concat(F.lit('{"chapter": "Chapter '), number.cast("int") % 5, F.lit('", "difficulty": "hard"}')).alias("response"))
+    uploads = listed.selectExpr("doc_id AS id", "concat('upload ', doc_id, '.pdf') AS filename", "'inline_answer' AS layout_type",
+                                "'JEE Main' AS exam_name", "'physics' AS subject")
+    path = new_folder(v.spark)
+    for batch, part in ((0, raw), (0, raw), (1, raw.filter("CAST(doc_id AS BIGINT) % 3 = 0"))):
+        ingest.save_documents(part, uploads, responses, path, batch)
+    names = ["ingestion_id", "source_pdf", "question_number", "stem_md", "answer", "section_type", "exam_name", "subject", "chapter",
+             "difficulty", "raw_text", "status"]
+    kinds = {"question_number": IntegerType()}
+    rows = sinks.read_bank(v.spark, path, StructType([StructField(n, kinds.get(n, StringType())) for n in names]))
+    return rows.withColumn("ingestion_id", F.col("ingestion_id").cast("long"))
