@@ -152,3 +152,13 @@ def test_repeated_bank_and_syllabus_edits_give_one_row_each(spark):
 def test_pages_are_bounded(spark):
     with pytest.raises(ValueError, match="at most 500"):
         B.newest_page(spark.createDataFrame([(1, 1)], "id long, created_at long"), 0, 501)
+
+
+def test_alternatives_of_short_papers_need_no_scan(world, monkeypatch):
+    _, rows, bank = world
+    key = lambda out: sorted(map(tuple, out.select("paper_id", "question_id", "rank", "alternative_id").collect()))
+    monkeypatch.setattr(P, "SHORT_PAPER", 0)
+    scanned = key(P.alternatives(rows, bank, F.lit(1)))
+    monkeypatch.undo()
+    monkeypatch.setattr(P, "ordered_scan", None)
+    assert key(P.alternatives(rows, bank, F.lit(1))) == scanned and scanned
