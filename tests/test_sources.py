@@ -187,3 +187,16 @@ def test_bank_files_are_in_number_order(spark, tmp_path):
     for r in back.orderBy("at").collect():
         seen.setdefault(r.ingestion_id, []).append(r.question_number)
     assert seen == {f"d{d}": [None, 2, 5, 9] for d in range(4)}
+
+
+def test_packed_documents_carry_no_file_on(spark, tmp_path):
+    from pyspark.sql import functions as F
+    rows = spark.range(300).select((F.col("id") % 40).alias("paper_id"), F.col("id").alias("position"), F.concat(F.lit("é "), "id").alias("markdown"))
+    sinks.write_documents(rows, str(tmp_path / "packed"), size=1 << 10)
+    out = sinks.read_documents(spark, str(tmp_path / "packed"))
+    want = {p: "\n".join(f"é {i}" for i in range(p, 300, 40)) for p in range(40)}
+    assert {r.paper_id: r.markdown for r in out.collect()} == want
+    # A row per paper that still holds its whole file was a copy of the file for each.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    exploded = plan[:plan.index("Generate explode")].splitlines()
+    assert not any("content#" in line for line in exploded), plan
