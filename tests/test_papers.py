@@ -162,3 +162,17 @@ def test_alternatives_of_short_papers_need_no_scan(world, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(P, "ordered_scan", None)
     assert key(P.alternatives(rows, bank, F.lit(1))) == scanned and scanned
+
+
+def test_short_papers_get_positions_without_a_scan(spark, tmp_path, monkeypatch):
+    from itemlake.operators import ordered
+    from itemlake.plans.views import Views
+    lines = [(o, (o * 7 + n * 3) % 11, n % 4, "ANR"[n % 3], "FO"[o % 2]) for o in range(30) for n in range(o % 9)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    read = lambda v: sorted(map(tuple, v.paper_rows.collect()))
+    monkeypatch.setattr(Views, "SHORT", 3)
+    split = read(Views(spark, str(tmp_path)))
+    monkeypatch.undo()
+    monkeypatch.setattr(ordered, "ordered_scan", None)
+    assert read(Views(spark, str(tmp_path))) == split and split
