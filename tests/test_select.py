@@ -237,3 +237,17 @@ def test_resolution_errors(spark, syllabus, row, kind):
     assert r.resolver_error.startswith(kind)
     if kind == "ChapterNotFound":
         assert "'Kinematics', 'Laws of Motion'" in r.resolver_error
+
+
+def test_requests_of_one_file_are_judged_by_all_tasks(spark):
+    """One file is one task; the judged requests are written by as many as a shuffle has."""
+    from itemlake.plans import drafting
+    from itemlake.plans.views import VIEWS, Views
+    one = spark.createDataFrame([(i,) for i in range(40)], "c_custkey long").coalesce(1)
+    views = Views(spark, "")
+    views._made["reqs"] = spark.sql(VIEWS["reqs"], customer=one)
+    syllabus = spark.createDataFrame([("E0", "economy", 1, "Brand#1", ["Brand 1"])],
+                                     "exam_name string, subject string, chapter_order int, chapter_name string, chapter_aliases array<string>")
+    valid, rejected = drafting.judge_requests(views.requests, syllabus, fuzzy=False)
+    assert valid.count() + rejected.count() == 40
+    assert len(rejected.inputFiles()) > 1
