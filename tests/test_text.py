@@ -176,3 +176,31 @@ def test_numbers_in_other_scripts(spark):
     got = df.select("i", X.question_number(F.col("text")).alias("n"), X.start_number(F.col("type"), F.col("text")).alias("s"),
                     X.key_entries(F.col("text")).alias("k")).orderBy("i").collect()
     assert [r.n for r in got] == [12, 12, 3, None, 12] and got[3].s is None
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_strip_by_characters_equals_the_unicode_pattern(spark):
+    some = [chr(c) for c in (*range(0x21), 0x41, 0x7F, *range(0x80, 0xA2), 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), 0x205F,
+                             0x2060, 0x3000, 0x4E2D, 0xFEFF, 0x1F600)]
+    rows = [(a + b + "x" + b + "y" + a + b,) for a in some for b in some] + [(a + b,) for a in some for b in some] + [("",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    by_pattern = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    assert df.filter(~X.py_strip(F.col("t")).eqNullSafe(by_pattern)).count() == 0
+    assert "regexp_replace" not in plan_of(df.select(X.py_strip(F.col("t")).alias("r")))
+
+
+def test_noise_and_adverts_are_searched_once(spark):
+    df = spark.createDataFrame([("MathonGo",), ("xx m a t h o",), ("matho x",), ("JEE Main 2025 x",), ("Q1. JEE Main 2025 x",), ("12",), ("plain text",),
+                                ("join leader COURSE now",), ("don't prepare harder",), (None,)], "t string")
+    flags = df.select(X.is_noise(F.col("t")).alias("noise"), X.has_ad(F.col("t")).alias("ad")).collect()
+    assert [r.noise for r in flags] == [True, False, True, True, False, True, False, False, False, True]
+    assert [r.ad for r in flags] == [False] * 7 + [True, True, None]
+    assert plan_of(df.select(X.has_ad(F.col("t")).alias("ad"))).count("lower(") == 1
+
+
+def test_garbled_share_of_mixed_text(spark):
+    df = spark.createDataFrame([("plain",), ("",), ("\u8eab\u5e7fab",), ("\u8eababcd",), ("\U0001F600\U0001F600a",), (None,)], "t string")
+    assert [r[0] for r in df.select(X.is_garbled(F.col("t"))).collect()] == [False, False, True, False, True, None]
