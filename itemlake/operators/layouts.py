@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,8 +130,8 @@ def _inline_questions(runs: DataFrame, need_answer: bool) -> DataFrame:
     empty = F.array().cast(NO_OPTIONS)
     marker = F.coalesce(F.nullif(F.instr(raw, "(1)"), F.lit(0)), F.instr(raw, "(A)"))
     read = runs.withColumn("__raw", F.coalesce("text", F.lit(""))).withColumns({
-        "__direct": F.when(plain, X.split_options(raw)),
-        "__array": F.when(plain, X.latex_array_options(X.group1(raw, C.LATEX_ARRAY, 0))),
+        "__direct": F.when(plain & raw.rlike(C.OPTION_MARKER), X.split_options(raw)),
+        "__array": F.when(plain & F.contains(raw, F.lit("\\begin")), X.latex_array_options(X.group1(raw, C.LATEX_ARRAY, 0))),
         "__ans": F.when(plain, X.extract_answer(raw)),
         "__lead": F.when(plain & (marker > 1), X.py_strip(F.left(raw, marker - 1))),
     })
@@ -308,14 +309,15 @@ def _candidates(found: Column, source: str) -> Column:
 def _full_paper_groups(runs: DataFrame) -> DataFrame:
     """One row per run with its stem, options, option conflicts and image names."""
     plain, equation = X.is_text(_col("type")), _col("type") == "equation"
-    raw, t = _col("__raw"), _col("__t")
+    raw, t, none = _col("__raw"), _col("__t"), F.array().cast(NO_OPTIONS)
     is_embedded, is_merged = F.size("__embedded") > 0, _col("__merged").isNotNull()
     read = runs.withColumn("__raw", F.coalesce("text", F.lit(""))).withColumns({
         "__t": F.when(plain, X.normalize_text(raw)), "__eq": F.when(equation, X.py_strip(raw)),
     }).withColumns({
-        "__embedded": F.coalesce(X.embedded_array_options(t), F.array().cast(NO_OPTIONS)),
-        "__merged": X.merged_marker_options(t), "__inline": X.inline_options(t),
-        "__formula": X.equation_options(_col("__eq")),
+        "__embedded": F.when(F.contains(t, F.lit("\\begin")), X.embedded_array_options(t)).otherwise(none),
+        "__merged": X.merged_marker_options(t),
+        "__inline": F.when(t.rlike(C.OPTION_MARKER), X.inline_options(t)).otherwise(none),
+        "__formula": F.when(F.contains("__eq", F.lit("\\begin")), X.equation_options(_col("__eq"))).otherwise(none),
     })
     cands = (F.when(plain & is_embedded, _candidates(_col("__embedded"), "embedded array"))
              .when(plain & is_merged, _candidates(_col("__merged"), "merged marker"))
@@ -368,7 +370,11 @@ def _full_paper_groups(runs: DataFrame) -> DataFrame:
 def full_paper_groups(blocks: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
     """Question runs of the body as rows, before duplicates are settled."""
     kept = filter_noise(blocks)
-    boundary = key_boundary(kept) if boundary is None else boundary
+    return _body_groups(kept, key_boundary(kept) if boundary is None else boundary)
+
+
+def _body_groups(kept: DataFrame, boundary: DataFrame) -> DataFrame:
+    """``full_paper_groups`` of blocks whose noise is filtered."""
     body = (kept.join(boundary.select("doc_id", "boundary_idx"), "doc_id", "left")
             .filter(_col("boundary_idx").isNull() | (_col("block_idx") < _col("boundary_idx")))
             .select(kept.columns))
@@ -390,13 +396,27 @@ def settle_duplicates(groups: DataFrame) -> DataFrame:
     return picked.select("doc_id", "question_number", "q.*", "first_start", "runs", "built")
 
 
-def build_full_paper(blocks: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Full papers. ``files (doc_id, filename)`` lists the images that exist; without it no
-    image can be linked."""
-    kept = filter_noise(blocks)
+class FullPaper(NamedTuple):
+    """Blocks without noise, their ``key_boundary`` and ``full_paper_key``, each written once."""
+
+    kept: DataFrame
+    boundary: DataFrame
+    key: DataFrame
+
+
+def read_full_paper(blocks: DataFrame) -> FullPaper:
+    """What the builder and the document's warnings both read, so that texts are filtered and searched once."""
+    kept = cut_lineage(filter_noise(blocks))
     boundary = cut_lineage(key_boundary(kept))
-    questions = settle_duplicates(full_paper_groups(blocks, boundary))
-    return _with_key(questions, full_paper_key(kept, boundary), files)
+    return FullPaper(kept, boundary, cut_lineage(full_paper_key(kept, boundary)))
+
+
+def build_full_paper(blocks: DataFrame, files: DataFrame | None = None, paper: FullPaper | None = None) -> DataFrame:
+    """Full papers. ``files (doc_id, filename)`` lists the images that exist; without it no
+    image can be linked. ``paper`` is what was read of ``blocks`` already."""
+    paper = paper or read_full_paper(blocks)
+    questions = settle_duplicates(_body_groups(paper.kept, paper.boundary))
+    return _with_key(questions, paper.key, files)
 
 
 def _with_key(questions: DataFrame, key: DataFrame, files: DataFrame | None) -> DataFrame:
@@ -452,11 +472,10 @@ def link_images(questions: DataFrame, files: DataFrame | None) -> DataFrame:
     }).drop("yes", "no", "image_names")
 
 
-def document_warnings(blocks: DataFrame, questions: DataFrame) -> DataFrame:
+def document_warnings(blocks: DataFrame, questions: DataFrame, paper: FullPaper | None = None) -> DataFrame:
     """``(doc_id, warning)`` rows of full papers: no readable key, key entries without a question."""
-    kept = filter_noise(blocks)
-    boundary = cut_lineage(key_boundary(kept))
-    return _document_warnings(boundary, full_paper_key(kept, boundary), questions)
+    paper = paper or read_full_paper(blocks)
+    return _document_warnings(paper.boundary, paper.key, questions)
 
 
 def _document_warnings(boundary: DataFrame, key: DataFrame, questions: DataFrame) -> DataFrame:
@@ -519,10 +538,8 @@ def builder_report(blocks: DataFrame, files: DataFrame | None = None) -> DataFra
     (built more than once) and ``stage_warnings``: a missing key, then the key's numbers without question. The blocks
     are filtered once and every later step reads that table.
     """
-    kept = cut_lineage(filter_noise(blocks))
-    boundary = cut_lineage(key_boundary(kept))
-    settled = cut_lineage(settle_duplicates(full_paper_groups(kept, boundary)))
-    key = cut_lineage(full_paper_key(kept, boundary))
+    kept, boundary, key = read_full_paper(blocks)
+    settled = cut_lineage(settle_duplicates(_body_groups(kept, boundary)))
     questions = cut_lineage(_with_key(settled, key, files))
     sizes = key.groupBy("doc_id").agg(F.count(F.lit(1)).alias("answer_key_size"))
     twice = settled.filter(_col("built") > 1).groupBy("doc_id").agg(

@@ -35,9 +35,12 @@ def documents_to_questions(blocks: DataFrame, documents: DataFrame, files: DataF
     as a whole stand with its first question.
     """
     cleaned = cut_lineage(layouts.with_layout(clean.clean_blocks(blocks), documents), "layout_type")
-    questions = cut_lineage(layouts.build_questions(cleaned, files))
     papers = F.col("layout_type") == "full_paper"
-    warnings = layouts.document_warnings(cleaned.filter(papers).drop("layout_type"), questions.filter(papers))
+    blocks_of_papers = cleaned.filter(papers).drop("layout_type")
+    paper = layouts.read_full_paper(blocks_of_papers)
+    builders = {**layouts.BUILDERS, "full_paper": lambda blocks, listed: layouts.build_full_paper(blocks, listed, paper)}
+    questions = cut_lineage(layouts.build_questions(cleaned, files, builders))
+    warnings = layouts.document_warnings(blocks_of_papers, questions.filter(papers), paper)
     return layouts.attach_document_warnings(questions, warnings)
 
 

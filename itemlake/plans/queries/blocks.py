@@ -351,9 +351,8 @@ def _(v):
 @query("orphan_key_entries", FULL + """
 SELECT k.* FROM key k WHERE NOT EXISTS (SELECT 1 FROM built b WHERE b.doc_id = k.doc_id AND b.question_number = k.question_number)""")
 def _(v):
-    kept = cut_lineage(L.filter_noise(v.full_blocks))
-    key = L.full_paper_key(kept, L.key_boundary(kept))
-    return L.orphan_key_entries(key, L.build_full_paper(v.full_blocks))
+    paper = L.read_full_paper(v.full_blocks)
+    return L.orphan_key_entries(paper.key, L.build_full_paper(v.full_blocks, paper=paper))
 
 
 @query("document_warnings", FULL + """
@@ -362,8 +361,8 @@ FROM boundary WHERE boundary_idx IS NULL OR image_idx IS NOT NULL
 UNION ALL SELECT k.doc_id, concat('answer key contains Q', k.question_number, ' with no built question') FROM key k
 WHERE NOT EXISTS (SELECT 1 FROM built b WHERE b.doc_id = k.doc_id AND b.question_number = k.question_number)""")
 def _(v):
-    blocks = v.full_blocks
-    return L.document_warnings(blocks, cut_lineage(L.build_full_paper(blocks)))
+    blocks, paper = v.full_blocks, L.read_full_paper(v.full_blocks)
+    return L.document_warnings(blocks, cut_lineage(L.build_full_paper(blocks, paper=paper)), paper)
 
 
 @query("missing_option_labels", FULL + """
@@ -508,7 +507,7 @@ def _(v):
         "doc_id", "CASE doc_id % 3 WHEN 0 THEN 'full_paper' WHEN 1 THEN 'inline_answer' ELSE 'separate_answer_key' END AS layout_type")
     blocks = v.blk_full.filter("doc_id % 3 = 0").unionByName(v.blk_inline.filter("doc_id % 3 = 1")).unionByName(
         v.blk_sep.filter("doc_id % 3 = 2"))
-    return ingest.documents_to_questions(blocks, documents).select(
+    return ingest.documents_to_questions(cut_lineage(blocks), documents).select(
         "doc_id", "question_number", "layout_type", "section_type", "answer")
 
 

@@ -186,3 +186,26 @@ def test_buckets_do_not_change_results(make_blocks, monkeypatch):
     before = sorted(map(str, whole.collect()))
     monkeypatch.setattr(ordered.by_range, "__defaults__", (2,))
     assert sorted(map(str, L.build_full_paper(make_blocks(*docs)).drop("images").collect())) == before
+
+
+def test_steps_before_repeated_answers_are_written_once(make_blocks):
+    cleaned = K.clean_blocks(make_blocks(t("51. block", OPT, "Ans. (2)", "Ans. (3)")))
+    assert kept(cleaned) == ["51. block", OPT, "Ans. (3)"]
+    assert "join leader course" not in cleaned._jdf.queryExecution().optimizedPlan().toString()  # both scans read the written table
+
+
+def test_full_paper_is_read_once(make_blocks, spark, monkeypatch):
+    """Builder and document warnings share the filtered blocks, the boundary and the key."""
+    from itemlake.plans import ingest
+    calls = {}
+    for name in ("filter_noise", "key_boundary", "full_paper_key"):
+        def counted(*args, name=name, real=getattr(L, name)):
+            calls[name] = calls.get(name, 0) + 1
+            return real(*args)
+        monkeypatch.setattr(L, name, counted)
+    blocks = make_blocks(t("Q1. What is the value of x", OPT, "MathonGo", "ANSWER KEYS", "1.(2) 7.(3)"))
+    documents = spark.createDataFrame([("d0", "full_paper")], "doc_id string, layout_type string")
+    row = ingest.documents_to_questions(blocks, documents).collect()[0]
+    assert (row.question_number, row.answer, opts(row)["A"]) == (1, "B", "a")
+    assert row.warnings[-1] == "answer key contains Q7 with no built question"
+    assert calls == {"filter_noise": 1, "key_boundary": 1, "full_paper_key": 1}
