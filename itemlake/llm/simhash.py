@@ -1,13 +1,15 @@
-"""SimHash fingerprints and the groups of those that differ in few bits, by vantage-point trees.
+"""SimHash fingerprints and the groups of those that differ in few bits, by trees of masks and vantage points.
 
-A node of the tree has a vantage point and a radius: fingerprints nearer than the radius go left, the others
+A node of the tree cuts in one of two ways, whichever brings fewer rows for what it tells apart. By masks: it has
+``RADIUS + 1`` sets of bits without a common bit, and a fingerprint goes once for each set to those with equal bits there.
+At most ``RADIUS`` bits cannot differ in all sets, so every near pair meets. This cuts fingerprints that are spread, however
+many. By a vantage point and a radius, for what is dense: fingerprints nearer than the radius go left, the others
 right. Two fingerprints at most ``RADIUS`` bits apart that part there are both near the border, by the triangle inequality:
-the left one lies within ``RADIUS`` of it. So the left ones in that belt also go right, every pair meets in a leaf,
-and what lies farther from the border is pruned. Radius and vantage point are those with the smallest belt for
-what they tell apart.
+the left one lies within ``RADIUS`` of it. So the left ones in that belt also go right, and what lies farther from
+the border is pruned.
 
 A tree over a bounded sample cuts the distinct fingerprints into shards and every shard gets the fingerprints
-that the belts bring in. In a task the tree goes on down to small leaves. Equal fingerprints are one from the start, and a shard
+that its cuts bring in. In a task the tree goes on down to small leaves. Equal fingerprints are one from the start, and a shard
 gives a spanning forest of its links, so a group of copies gives no pairs.
 """
 
@@ -33,6 +35,10 @@ SAMPLE, LEAST_SAMPLE, SHARD = 1 << 17, 32, 8192
 LARGEST = 1 << 20
 #: Points of a leaf, and points that a node's choice looks at.
 LEAF, LOOK = 768, 1024
+#: Points of equal bits that are compared side by side, without a leaf of their own.
+FEW = 48
+#: Times the size of a leaf beyond which what has equal bits is cut on in the upper tree.
+HEAVY = 4
 #: Shingles hashed at once.
 AT_ONCE = 1 << 16
 _U = np.uint64
@@ -102,10 +108,47 @@ def _apart(x: np.ndarray, y) -> np.ndarray:
     return np.bitwise_count(x ^ y)
 
 
-def split_at(points: np.ndarray, radius: int = RADIUS) -> tuple[np.uint64, int] | None:
-    """Vantage point and border with the smallest belt for what they tell apart; None where no border helps."""
+class Cut(NamedTuple):
+    """Masks without a common bit, or a vantage point and its border."""
+
+    masks: np.ndarray | None
+    vantage: np.uint64 = _U(0)
+    border: int = 0
+
+
+def _masks(look: np.ndarray, radius: int, least: float) -> tuple[float, np.ndarray] | None:
+    """Share of pairs with equal bits in a mask if all bits are dealt to ``radius + 1`` masks, and masks of so few bits
+    that the share falls to ``least``. Bits are dealt by how evenly they are set, so that masks tell about the same."""
+    ones = np.unpackbits(look.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, ::-1].sum(axis=0, dtype=np.int64)
+    even = np.minimum(ones, len(look) - ones)
+    most = np.count_nonzero(even) // (radius + 1)
+    if not most:
+        return None
+    bits = np.argsort(-even, kind="stable")[:most * (radius + 1)].astype(_U).reshape(most, radius + 1)
+    bits[::2] = bits[::2, ::-1].copy()
+
+    def of(k: int) -> tuple[float, np.ndarray]:
+        masks = np.bitwise_or.reduce(_U(1) << bits[:k], axis=0)
+        sizes = np.concatenate([np.unique(look & m, return_counts=True)[1] for m in masks])
+        return (sizes * (sizes - 1)).sum() / (radius + 1) / (len(look) * (len(look) - 1)), masks
+
+    share, masks = of(most)
+    for k in range(max(1, int(-np.log2(2 * least))), most):  # fewer bits cannot do
+        fewer, found = of(k)
+        if fewer <= least:
+            masks = found
+            break
+    return (max(share, 1 / len(look) ** 2), masks) if share < 1 else None
+
+
+def split_at(points: np.ndarray, radius: int = RADIUS, size: int = 1) -> Cut | None:
+    """Cut that brings the fewest rows for what it tells apart; None where no cut helps. Masks get no more bits than
+    parts of ``size`` points need."""
     look = points[np.linspace(0, len(points) - 1, min(LOOK, len(points))).astype(np.int64)]
     best, found = 0.95, None
+    masked = _masks(look, radius, size / len(points))
+    if masked and np.log2(radius + 1) < best * -np.log2(masked[0]):
+        best, found = np.log2(radius + 1) / -np.log2(masked[0]), Cut(masked[1])
     for at in np.linspace(0, len(look) - 1, 6).astype(np.int64):
         share = np.bincount(_apart(look, look[at]), minlength=66) / len(look)
         below = np.concatenate([[0], np.cumsum(share)])  # below[b]: share nearer than b
@@ -116,39 +159,61 @@ def split_at(points: np.ndarray, radius: int = RADIUS) -> tuple[np.uint64, int]
                 continue
             told = -left * np.log2(left) - (1 - left) * np.log2(1 - left)
             if np.log2(1 + belt) / told < best:
-                best, found = np.log2(1 + belt) / told, (look[at], border)
+                best, found = np.log2(1 + belt) / told, Cut(None, look[at], border)
     return found
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _parts(points: np.ndarray, node: np.ndarray, masks: np.ndarray, j: int) -> np.ndarray:
+    """Number of the part of a node's mask ``j`` that a point is in. Parts of one number are one, which only adds points."""
+    return _mixed((points & masks) ^ _mixed((node * 64 + j + 1).astype(_U))).view(np.int64)
+
+
 class Tree(NamedTuple):
-    """Nodes by number: vantage point, border and children; a child below zero is leaf ``-1 - child``."""
+    """Nodes by number: masks (zeros at a vantage point), vantage point, border and children; a child below zero is
+    leaf ``-1 - child``. A part of equal bits is a leaf by its number, or goes on at a child where ``heavy`` has it."""
 
+    masks: np.ndarray
     vantage: np.ndarray
     border: np.ndarray
     near: np.ndarray
     far: np.ndarray
-    leaves: int
+    heavy: np.ndarray
+    child: np.ndarray
 
 
 def build_tree(sample: np.ndarray, leaves: int, radius: int = RADIUS) -> Tree:
-    """A tree of about ``leaves`` leaves with equal parts of the sample."""
+    """A tree of about ``leaves`` leaves, or ``radius + 1`` times as many by masks, with equal parts of the sample."""
     size = max(LEAST_SAMPLE, len(sample) // max(1, leaves))
     nodes: list[list] = []
-    count, todo = 0, [(sample, None, 0)]
+    heavy: dict[int, int] = {}
+    count, todo = 0, [(sample, {}, 0)]
     while todo:
         points, parent, side = todo.pop()
-        cut = split_at(points, radius) if len(points) > size else None
+        cut = split_at(points, radius, size) if len(points) > size else None
         if cut is None:
-            child, count = -1 - count, count + 1
+            parent[side], count = -1 - count, count + 1
+            continue
+        parent[side] = child = len(nodes)
+        if cut.masks is None:
+            nodes.append([np.zeros(radius + 1, _U), cut.vantage, cut.border, 0, 0])
+            d = _apart(points, cut.vantage)
+            todo += [(points[d < cut.border], nodes[child], 3), (points[d >= cut.border], nodes[child], 4)]
         else:
-            child = len(nodes)
-            nodes.append([*cut, 0, 0])
-            d = _apart(points, cut[0])
-            todo += [(points[d < cut[1]], child, 2), (points[d >= cut[1]], child, 3)]
-        if parent is not None:
-            nodes[parent][side] = child
-    kinds = (_U, np.int64, np.int64, np.int64)
-    return Tree(*[np.array([n[i] for n in nodes], k) for i, k in enumerate(kinds)], count)
+            nodes.append([cut.masks, 0, 0, 0, 0])
+            for j, mask in enumerate(cut.masks):
+                part = _parts(points, np.array([child]), mask, j)
+                found, sizes = np.unique(part, return_counts=True)
+                todo += [(points[part == p], heavy, int(p)) for p in found[sizes > HEAVY * size]]
+    kinds = (_U, _U, np.int64, np.int64, np.int64)
+    at = sorted(heavy)
+    return Tree(*[np.array([n[i] for n in nodes], k) for i, k in enumerate(kinds)],
+                np.array(at, np.int64), np.array([heavy[p] for p in at], np.int64))
 
 
 def shards_of(tree: Tree, points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -160,25 +225,35 @@ def shards_of(tree: Tree, points: np.ndarray, radius: int = RADIUS) -> tuple[np.
         places.append(at[done])
         leaves.append(-1 - node[done])
         at, node = at[~done], node[~done]
+        masked = tree.border[node] == 0
+        m_at, m_node = at[masked], node[masked]
+        at, node = at[~masked], node[~masked]
         d, border = _apart(points[at], tree.vantage[node]).astype(np.int64), tree.border[node]
         left, right = d < border, d >= border - radius
-        at, node = np.concatenate([at[left], at[right]]), np.concatenate([tree.near[node[left]], tree.far[node[right]]])
+        ats, nodes = [at[left], at[right]], [tree.near[node[left]], tree.far[node[right]]]
+        for j in range(radius + 1 if len(m_at) else 0):
+            part = _parts(points[m_at], m_node, tree.masks[m_node, j], j)
+            where = np.minimum(np.searchsorted(tree.heavy, part), max(0, len(tree.heavy) - 1))
+            on = tree.heavy[where] == part if len(tree.heavy) else np.zeros(len(part), bool)
+            places.append(m_at[~on])
+            leaves.append(part[~on])
+            ats.append(m_at[on])
+            nodes.append(tree.child[where[on]])
+        at, node = np.concatenate(ats), np.concatenate(nodes)
     return np.concatenate(places), np.concatenate(leaves)
 
 
 # --- Links within a shard ------------------------------------------------------------------------
 
-def _connect(points: np.ndarray, radius: int, out: list[tuple[np.ndarray, np.ndarray]]) -> None:
+def _connect(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join all distinct points within ``radius``, directly or over others.
 
-    Few links are found by comparing all. Else balls are cut around leaders: members within half the radius are linked to
+    Points of a leaf are all compared. Else balls are cut around leaders: members within half the radius are linked to
     their leader, leaders with each other, and only balls that are still apart and near enough are compared.
     """
     if len(points) <= LEAF:
         i, j = np.nonzero(np.triu(_apart(points[:, None], points[None, :]) <= radius, 1))
-        if len(i) <= 4 * len(points):
-            out.append((points[i], points[j]))
-            return
+        return points[i], points[j]
     inner, rest, leaders, balls = radius // 2, points, [], []
     while len(rest):
         mine = _apart(rest, rest[0]) <= inner
@@ -187,7 +262,6 @@ def _connect(points: np.ndarray, radius: int, out: list[tuple[np.ndarray, np.nda
         rest = rest[~mine]
     lead = np.array(leaders, _U)
     sizes = np.array([len(b) for b in balls])
-    out.append((np.repeat(lead, sizes), np.concatenate(balls)))
     members, ends = np.concatenate(balls), np.cumsum(sizes)
     label, pairs = np.arange(len(lead)), []
 
@@ -213,34 +287,86 @@ def _connect(points: np.ndarray, radius: int, out: list[tuple[np.ndarray, np.nda
             if len(hit):
                 first = {int(j): cand[h] for j, h in zip(owner[hit][::-1], hit[::-1])}
                 join(i, np.array(sorted(first)), lambda j: (point, first[int(j)]))
-    if pairs:
-        out.append((np.array([p[0] for p in pairs], _U), np.array([p[1] for p in pairs], _U)))
+    return (np.concatenate([np.repeat(lead, sizes), np.array([p[0] for p in pairs], _U)]),
+            np.concatenate([members, np.array([p[1] for p in pairs], _U)]))
+
+
+def _side_by_side(points: np.ndarray, mask: np.uint64, radius: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Links of points with equal bits in the mask where they are few; the others, by their bits."""
+    points = points[np.argsort(points & mask)]
+    first = np.flatnonzero(np.diff(points & mask, prepend=~(points[:1] & mask)))
+    sizes = np.diff(first, append=len(points))
+    after = np.repeat(np.where(sizes <= FEW, first + sizes, 0), sizes) - np.arange(len(points)) - 1
+    at, step, a, b = np.flatnonzero(after > 0), 1, [points[:0]], [points[:0]]
+    while len(at):
+        hit = at[_apart(points[at], points[at + step]) <= radius]
+        a.append(points[hit])
+        b.append(points[hit + step])
+        step += 1
+        at = at[after[at] >= step]
+    many = [points[x:x + n] for x, n in zip(first[sizes > FEW].tolist(), sizes[sizes > FEW].tolist())]
+    return np.concatenate(a), np.concatenate(b), many
+
+
+class _Forest:
+    """Links that join what was apart, of all links shown to it."""
+
+    def __init__(self, points: np.ndarray):
+        self.points = np.sort(points)
+        self.root = np.arange(len(points))
+        self.taken: list[np.ndarray] = []
+
+    def tops(self, at: np.ndarray) -> np.ndarray:
+        top = self.root[at]
+        while (up := self.root[top]).tobytes() != top.tobytes():
+            top = up
+        self.root[at] = top
+        return top
+
+    def whole(self, points: np.ndarray) -> bool:
+        """Whether the points are joined already."""
+        top = self.tops(np.searchsorted(self.points, points))
+        return bool((top == top[:1]).all())
+
+    def take(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Every class takes its link to the least class below it, until no link leads to another."""
+        i, j = np.searchsorted(self.points, a), np.searchsorted(self.points, b)
+        while True:
+            x, y = self.tops(i), self.tops(j)
+            apart = x != y
+            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+            if not len(i):
+                return
+            lower, upper = np.minimum(x, y), np.maximum(x, y)
+            order = np.lexsort([lower, upper])
+            one = order[np.flatnonzero(np.diff(upper[order], prepend=-1))]
+            self.root[upper[one]] = lower[one]  # always to a lower number: no rings
+            self.taken.append(np.stack([i[one], j[one]]))
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.concatenate([np.zeros((2, 0), np.int64), *self.taken], axis=1)
+        return self.points[i], self.points[j]
 
 
 def links_among(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between distinct points at most ``radius`` bits apart."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    todo = [points]
+    forest, todo = _Forest(points), [points]
     while todo:
         now = todo.pop()
+        if forest.whole(now):
+            continue
         cut = split_at(now, radius) if len(now) > LEAF else None
         if cut is None:
-            _connect(now, radius, out)
-            continue
-        d = _apart(now, cut[0])
-        todo += [now[d < cut[1]], now[d >= cut[1] - radius if cut[1] > radius else d >= 0]]
-    a, b = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, _U) for i in (0, 1))
-    ends, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    root, taken = list(range(len(ends))), []
-    for n, (i, j) in enumerate(zip(place[:len(a)].tolist(), place[len(a):].tolist())):
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        while root[j] != j:
-            root[j] = j = root[root[j]]
-        if i != j:
-            root[j] = i
-            taken.append(n)
-    return a[taken], b[taken]
+            forest.take(*_connect(now, radius))
+        elif cut.masks is not None:
+            for mask in cut.masks:
+                a, b, many = _side_by_side(now, mask, radius)
+                forest.take(a, b)
+                todo += many
+        else:
+            d = _apart(now, cut.vantage)
+            todo += [now[d < cut.border], now[d >= cut.border - radius if cut.border > radius else d >= 0]]
+    return forest.links()
 
 
 def _route(tree: Tree, radius: int):
@@ -295,7 +421,7 @@ def fingerprint_links(marks: DataFrame, *, radius: int = RADIUS, shard: int = SH
     mine = F.pmod(F.xxhash64("fingerprint"), "blocks").cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (
         F.least(j, mine).cast("long") * F.col("blocks") + F.greatest(j, mine)))
-    dealt = (routed.join(F.broadcast(sizes), "shard")  # a row per leaf of the tree: at most SAMPLE / LEAST_SAMPLE
+    dealt = (routed.join(F.broadcast(sizes), "shard")  # a row per leaf of the tree: a few times SAMPLE / LEAST_SAMPLE
              .select("shard", F.explode(cells).alias("cell"), "fingerprint")
              .repartition(tasks(marks.sparkSession), "shard", "cell").sortWithinPartitions("shard", "cell"))
     return cut_lineage(dealt.mapInArrow(freeing(_within(radius)), "a long, b long")).distinct()

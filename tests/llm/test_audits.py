@@ -92,6 +92,55 @@ def test_tree_finds_all_links(shape, monkeypatch):
     assert [top(i) for i in range(len(points))] == want.tolist()
 
 
+def test_spread_fingerprints_cost_in_proportion(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, 40_000, np.uint64)
+    bit = [np.uint64(1) << np.uint64(b) for b in (3, 17, 40, 63)]
+    near = np.concatenate([base[k * 20:k * 20 + 20] ^ np.bitwise_or.reduce(bit[:k + 1]) for k in range(4)])
+    points = np.unique(np.concatenate([base, near]))
+    compared, apart = [], simhash._apart
+    monkeypatch.setattr(simhash, "_apart", lambda x, y: (compared.append(np.broadcast_shapes(np.shape(x), np.shape(y))), apart(x, y))[1])
+    a, b = simhash.links_among(points)
+    assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist())} >= {
+        (min(x), max(x)) for x in zip(near.tolist(), base[:80].tolist())} and len(a) == 80
+    assert sum(int(np.prod(s)) for s in compared) < 50 * len(points)  # 25 times; 18,000 times by vantage points alone
+    tree = simhash.build_tree(points[::3], 40)
+    place, leaf = simhash.shards_of(tree, points)
+    assert len(place) <= 5 * len(points) and np.unique(leaf, return_counts=True)[1].max() < 2000
+    meet = set(zip(place.tolist(), leaf.tolist()))
+    spot = {p: i for i, p in enumerate(points.tolist())}
+    shards = {}
+    for at, x in meet:
+        shards.setdefault(at, set()).add(x)
+    assert all(shards[spot[x]] & shards[spot[y]] for x, y in zip(near.tolist(), base[:80].tolist()))
+
+
+@pytest.mark.parametrize("flips, share", [(6, 0.0), (9, 0.5)])
+def test_heavy_parts_are_cut_on(flips, share):
+    rng = np.random.default_rng(9)
+    dense = np.uint64(7) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (flips, 6000)).astype(np.uint64), axis=0)
+    points = np.unique(np.concatenate([dense, rng.integers(0, 2**64, int(6000 * share) + 20_000, np.uint64)]))
+    tree = simhash.build_tree(points, 60)
+    place, leaf = simhash.shards_of(tree, points)
+    i, j = np.nonzero(np.triu(np.bitwise_count(dense[:1500, None] ^ dense[None, :1500]) <= 4, 1))
+    i, j = (np.searchsorted(points, dense[k]) for k in (i, j))
+    shards = {}
+    for at, x in zip(place.tolist(), leaf.tolist()):
+        shards.setdefault(at, set()).add(x)
+    assert len(tree.heavy) > 0 or share
+    assert len(i) and all(shards[x] & shards[y] for x, y in zip(i.tolist(), j.tolist()))
+
+
+def test_forest_of_a_star_takes_few_rounds(monkeypatch):
+    points = np.arange(3000, dtype=np.uint64)
+    rounds, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: (rounds.append(1), lexsort(keys))[1])
+    forest = simhash._Forest(points)
+    forest.take(np.full(2999, 2999, np.uint64), points[:2999][::-1])
+    a, b = forest.links()
+    assert len(a) == 2999 and forest.whole(points) and len(rounds) <= 3
+
+
 def simhash_rows():
     random.seed(3)
     pool = [f"w{i}" for i in range(400)]
